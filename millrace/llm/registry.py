@@ -1,10 +1,14 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import sentencepiece_codec, token_counts
+from millrace.llm import exact_dedup, mixing, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+}
