@@ -1,8 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import exact_dedup, mixing, sentencepiece_codec, token_counts
+from millrace.llm import chat_format, exact_dedup, matroska, mixing, sentencepiece_codec, token_counts
 
 QUERIES = {
+    "op3_matroska": matroska.op3_matroska,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
@@ -10,5 +12,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": chat_format.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
