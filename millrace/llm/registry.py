@@ -1,17 +1,20 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import chat_format, exact_dedup, matroska, mixing, sentencepiece_codec, token_counts
+from millrace.llm import chat_format, exact_dedup, language_id, matroska, mixing, near_dedup, sentencepiece_codec, token_counts
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_matroska": matroska.op3_matroska,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
