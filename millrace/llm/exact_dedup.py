@@ -46,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = rows.repartitionByRange(*key).select("id", "digest", F.coalesce(neighbour == F.col("text"), F.lit(False)).alias("repeats"))
     runs = staged(runs)
     groups = runs.groupBy("digest").agg(F.min(F.when(~F.col("repeats"), F.col("id"))).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = staged(groups)  # so that the join deals out both sides itself and can split a hot text's rows
     return runs.join(groups, "digest").select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -56,12 +57,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of equal texts the one with the smallest id. Rows that
-    repeat both are reduced to one; which of their other columns stays is then the smallest row's."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"), F.unhex("text_sha256").alias("_digest"))
-    digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    found = docs.withColumn("_digest_of", digest).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest_of") == F.col("_digest")), "left_semi").drop("_digest_of")
-    return found.dropDuplicates([id_col, text_col])
+    """The rows of docs that stay, with all their columns: of equal texts the one with the smallest id. Of rows that
+    repeat both, one stays."""
+    row = lambda digest: F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(row(F.col("text_sha256")).alias("_row"))
+    rows = docs.withColumn("_row", row(F.sha2(normalised(F.col(text_col)), 256)))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.session import map_arrow
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
@@ -86,6 +87,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def to_learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return docs.where(~held_out(id_col) & F.col(id_col).isNotNull())
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and their distributions over buckets (BUCKETS x languages). Counts cover all rows with a language; a
     task sums its own first, and BUCKETS numbers for each language reach the driver."""
@@ -106,7 +111,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counted = counted.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_arrow(counted, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     at = np.array([names.index(x) for x in counted.column("lang").to_pylist()], np.int64) if names else np.zeros(0, np.int64)
     sums = np.zeros((BUCKETS, len(names)))
@@ -170,6 +175,24 @@ def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
     return top, chosen, share.max(1) * sure
 
 
+def predicted(texts: list[str | None], names: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]]]:
+    """Language, score and set of languages of each text."""
+    of, bucket, n = trigrams(texts)
+    lang, score, sets = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+    at = 0
+    while at < len(of) and names:  # whole texts, some CELLS cells at once
+        end = min(len(of), at + CELLS // len(names))
+        if end < len(of):
+            end = max(int(np.searchsorted(of, of[end], "left")), int(np.searchsorted(of, of[at], "right")))
+        here, start = np.unique(of[at:end], return_index=True)
+        top, chosen, sure = infer(start, n[at:end], p[bucket[at:end]])
+        score[here] = sure
+        for k, t, c in zip(here, top, chosen, strict=True):
+            lang[k], sets[k] = names[t], [names[j] for j in np.flatnonzero(c)]
+        at = end
+    return lang, score, sets
+
+
 def predict(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, languages (the set chosen). Only the text is looked at; a null
     text, one without letters, or a model without languages gives `und` and 0. A plain map over whole texts."""
@@ -177,24 +200,23 @@ def predict(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc
     model = docs.sparkSession.sparkContext.broadcast((names, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, p = model.value
         for b in batches:
-            of, bucket, n = trigrams(b.column(1).to_pylist())
-            lang, score, sets = [UNKNOWN] * len(b), np.zeros(len(b)), [[] for _ in range(len(b))]
-            at = 0
-            while at < len(of) and names:  # whole texts, some CELLS cells at once
-                end = min(len(of), at + CELLS // len(names))
-                if end < len(of):
-                    end = max(int(np.searchsorted(of, of[end], "left")), int(np.searchsorted(of, of[at], "right")))
-                here, start = np.unique(of[at:end], return_index=True)
-                top, chosen, sure = infer(start, n[at:end], p[bucket[at:end]])
-                score[here] = sure
-                for k, t, c in zip(here, top, chosen, strict=True):
-                    lang[k], sets[k] = names[t], [names[j] for j in np.flatnonzero(c)]
-                at = end
+            lang, score, sets = predicted(b.column(1).to_pylist(), *model.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[id_col, "lang_pred", "score", "languages"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, languages array<string>")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, lang_pred string, score double, languages array<string>")
+
+
+def accepted(docs: DataFrame, names: list[str], p: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language: those predicted as `und` go. A plain map."""
+    model = docs.sparkSession.sparkContext.broadcast((names, p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, _ = predicted(b.column(b.schema.names.index(text_col)).to_pylist(), *model.value)
+            yield b.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -203,7 +225,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Null ids are not held out and not learned from; null languages are not learned from. Repeated rows are learned
     from and predicted each; other columns are not read. An empty table gives an empty one.
     """
-    names, p = learn(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), text_col, lang_col)
+    names, p = learn(to_learn_from(docs, id_col), text_col, lang_col)
     got = predict(docs, names, p, id_col, text_col)
     return got.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "languages")
 

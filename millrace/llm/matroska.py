@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import table
+from millrace.session import map_arrow
 
 # Element ids of the format (fixed values).
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -312,7 +313,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                     cols = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([at] * len(some))), *cols], names=[id_col, *names])
 
-    return media.select(id_col, media_col).mapInArrow(run, f"{id_col} {kind}, packet int, {PACKETS}, error string")
+    return map_arrow(media.select(id_col, media_col), run, f"{id_col} {kind}, packet int, {PACKETS}, error string")
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +330,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 files.append(mux(payload))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_bytes long, media binary")
 
 
 def described(got: Media, samples: bytes) -> str:
@@ -362,7 +363,7 @@ def features(media: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes"
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)] if rows else [pa.array([], t) for t in types.values()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=[id_col, size_col, *types])
 
-    return media.select(id_col, size_col, media_col).mapInArrow(run, f"{id_col} {kind}, {size_col} long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media.select(id_col, size_col, media_col), run, f"{id_col} {kind}, {size_col} long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

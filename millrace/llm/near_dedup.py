@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import staged, table
+from millrace.session import map_arrow
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -181,7 +182,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, class_hash binary, bands array<long>")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_shingles long, class_hash binary, bands array<long>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(raw[begin:end])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
+    return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import chat_format, exact_dedup, language_id, matroska, mixing, near_dedup, sentencepiece_codec, token_counts
+from millrace.llm import chat_format, exact_dedup, language_id, matroska, mixing, near_dedup, quality, sentencepiece_codec, token_counts, url_lists
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_matroska": matroska.op3_matroska,
+    "op4_url_lists": url_lists.op4_url_lists,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -15,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": near_dedup.OP1_SQL,
+    "op4_url_lists": url_lists.OP4_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

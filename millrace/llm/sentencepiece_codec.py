@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import table
 from millrace.llm.token_counts import MEMO_LENGTH, MODEL, PRE_TOKENS, fence, load, marked
+from millrace.session import map_arrow
 
 #: Pre-tokens and pairs a worker remembers; then it forgets them and goes on.
 MEMO = 700_000
@@ -140,7 +141,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
             ids = [ids_of(encode_bytes(model, t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +163,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

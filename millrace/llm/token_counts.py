@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import table, tokenizer_path
+from millrace.session import map_arrow
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -114,7 +115,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, id_col
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
