@@ -6,11 +6,13 @@ COORDINATES rounds fill one given bin each. So every coordinate of every sketch
 for long ones, after a few rounds in most cases, and the share of equal coordinates of two sketches is concentrated
 about the similarity of the sets as if each coordinate were an independent sample.
 
-Coordinates are grouped in BANDS bands of ROWS; documents that agree on a band share a bucket. Documents with the same
-set are one class from the start. In each bucket all are compared with the smallest identifier, on their full sets, and
-joined; only where a bucket still holds several components after that are members of different components compared
-with each other. So a large group of near copies costs a comparison for each member, not for each pair, and no link
-between components is lost.
+Coordinates are grouped in bands; documents that agree on a band share a bucket. Documents with the same set are one
+class from the start. In each bucket all are compared with the smallest identifier, on their full sets, and joined: a
+large group of near copies costs a comparison for each member, not for each pair. Where a bucket still holds several
+components after that, links between them are looked for among the documents of such buckets: blocks of a cluster
+compare longer sketches inside tasks, and only pairs of different components whose sketches leave a link possible are
+compared on their full sets. So no link between components is lost but with a probability below MISS, and no group's
+pairs are ever rows.
 """
 
 from __future__ import annotations
@@ -26,13 +28,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import staged, table
-from millrace.session import map_arrow
+from millrace.session import map_arrow, ship
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-BANDS, ROWS = 40, 8
-COORDINATES = BANDS * ROWS
+COORDINATES = 320
+#: For the second look at documents whose buckets hold several components: a byte for each coordinate.
+LONG = 1280
+#: Documents of a cluster that are compared with as many others in one task.
+BLOCK = 1024
+#: Chance of missing a pair that is just similar enough, for the bands and for the longer sketches.
+MISS = 1e-5
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -40,7 +47,7 @@ U = np.uint64
 _random = np.random.Generator(np.random.PCG64(20_240_601))
 LETTERS = _random.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 LETTERS[65:91] = LETTERS[97:123]
-ROUND_SEEDS = _random.integers(0, 1 << 63, 2 * COORDINATES, dtype=U)
+ROUND_SEEDS = _random.integers(0, 1 << 63, 2 * LONG, dtype=U)
 STEP, WORD_STEP, SHORT_STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA24BAED4963EE407)
 SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -121,32 +128,50 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """The sketches of non-empty sets (sets x COORDINATES), no coordinate empty. A value holds its round first, so a
-    later round never displaces an earlier one, and rounds after a sketch is full change nothing."""
-    sketch = np.full(len(sets) * COORDINATES, EMPTY, U)
+def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
+    """The sketches of non-empty sets (sets x size), no coordinate empty. A value holds its round first, so a later
+    round never displaces an earlier one, and rounds after a sketch is full change nothing."""
+    sketch = np.full(len(sets) * size, EMPTY, U)
     x = np.concatenate(sets) if sets else np.zeros(0, U)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for i in range(2 * COORDINATES):
+    for i in range(2 * size):
         h = mixed(x ^ ROUND_SEEDS[i])
-        place = ((h >> U(40)) * U(COORDINATES) >> U(24)).astype(np.int64) if i < COORDINATES else i - COORDINATES
-        np.minimum.at(sketch, of * COORDINATES + place, (U(i) << U(40)) | (h & U((1 << 40) - 1)))
+        place = ((h >> U(40)) * U(size) >> U(24)).astype(np.int64) if i < size else i - size
+        np.minimum.at(sketch, of * size + place, (U(i) << U(40)) | (h & U((1 << 40) - 1)))
         if i < 6 or i % 4 == 0:
-            open_ = (sketch.reshape(-1, COORDINATES) == EMPTY).any(1)
+            open_ = (sketch.reshape(-1, size) == EMPTY).any(1)
             if not open_.all():
                 some = open_[of]
                 x, of = x[some], of[some]
             if not len(x):
                 break
-    return sketch.reshape(-1, COORDINATES)
+    return sketch.reshape(-1, size)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
+def rows_of(percent: int) -> int:
+    """Rows of a band: as many as keep the chance that a pair at the threshold shares no band below MISS."""
+    miss = lambda r: (1 - (percent / 100) ** r) ** (COORDINATES // r)
+    return max([1, *(r for r in range(1, 17) if miss(r) <= MISS)])
+
+
+def least_matches(percent: int, size: int) -> int:
+    """Equal coordinates that a pair at the threshold has but with a chance of MISS."""
+    p, chance, n = percent / 100, 0.0, 0
+    term = size * np.log(1 - p)  # logarithm of the chance of n equal coordinates
+    while chance + np.exp(term) < MISS:
+        chance += np.exp(term)
+        term += np.log((size - n) / (n + 1) * p / (1 - p))
+        n += 1
+    return n
+
+
+def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     """A bucket for each band; the band's number is part of it."""
-    h = np.arange(1, BANDS + 1, dtype=U)[None, :] * STEP
-    rows = sketch.reshape(-1, BANDS, ROWS)
-    for j in range(ROWS):
-        h = mixed(h * WORD_STEP + rows[:, :, j])
+    bands = sketch.shape[1] // rows
+    h = np.arange(1, bands + 1, dtype=U)[None, :] * STEP
+    of_band = sketch[:, : bands * rows].reshape(-1, bands, rows)
+    for j in range(rows):
+        h = mixed(h * WORD_STEP + of_band[:, :, j])
     return h.view(np.int64)
 
 
@@ -161,7 +186,7 @@ def grouped(texts: list, sizes: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketched(docs: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, class_hash, bands) of whole texts; without words: 0 and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +195,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for begin, end in grouped(texts):
                 sets = shingle_sets(texts[begin:end])
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys = dict(zip(full, band_keys(sketches([sets[k] for k in full])), strict=True)) if full else {}
+                keys = dict(zip(full, band_keys(sketches([sets[k] for k in full]), rows), strict=True)) if full else {}
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, end - begin),
@@ -213,45 +238,93 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked for."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = staged(full_sets(texts.join(need, "id", "left_semi").select("id", "text")))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are as similar as asked for. Sets are dealt out alike at every size of the input."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+    both = both.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def long_sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, sketch): LONG coordinates of a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                some = [np.asarray(x, np.int64).view(U) for x in batch.column(1).slice(begin, 256).to_pylist()]
+                got = (mixed(sketches(some, LONG)) & U(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 256), pa.array([len(x) for x in some], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["id", "n", "sketch"])
+
+    return map_arrow(sets.select("id", "shingles"), run, f"id {sets.schema['id'].dataType.simpleString()}, n long, sketch binary")
+
+
+def possible(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (cluster, id, label, n, sketch) of one cluster, with different labels, whose sizes and sketches
+    leave a link possible. A cluster is dealt into blocks of some BLOCK documents, and each two blocks meet in a task."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "label", "n", "sketch")
+    short = 256
+    least_short, least_long = least_matches(percent, short), least_matches(percent, LONG)
+    kind = members.schema["id"].dataType.simpleString()
+
+    def compare(table_: pa.Table) -> pa.Table:
+        n, label = table_.column("n").to_numpy(), table_.column("label").to_numpy()
+        block, ids = table_.column("block").to_numpy(), table_.column("id").to_numpy()
+        one, two = table_.column("one")[0].as_py(), table_.column("two")[0].as_py()
+        order = np.argsort(n, kind="stable")
+        n, label, block, ids = n[order], label[order], block[order], ids[order]
+        sketch = np.frombuffer(b"".join(table_.column("sketch").to_pylist()), np.uint8).reshape(-1, LONG)[order]
+        begins = np.ascontiguousarray(sketch[:, :short])
+        a, b = [], []
+        for k in range(len(n) - 1):
+            end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))  # the sizes of a link
+            near = np.flatnonzero((label[k + 1 : end] != label[k]) & ((block[k + 1 : end] != block[k]) | (one == two))) + k + 1
+            near = near[np.count_nonzero(begins[near] == begins[k], axis=1) >= least_short]
+            near = near[np.count_nonzero(sketch[near] == sketch[k], axis=1) >= least_long]
+            a.append(np.minimum(ids[near], ids[k]))
+            b.append(np.maximum(ids[near], ids[k]))
+        empty = ids[:0]
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    ship(members.sparkSession)
+    return dealt.groupBy("cluster", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
+    """One row per row of docs: id (an integer), n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null id is linked with nothing, has no
     component and is kept. Rows that repeat an id are documents under that id: with equal texts they are one, with
     others they are linked by their own texts. Other columns of docs are not read. An empty table gives an empty one.
     """
-    sketch = staged(sketched(docs, id_col, text_col))
+    sketch = staged(sketched(docs, rows_of(percent), id_col, text_col))
     own = sketch.where(F.col("id").isNotNull() & F.col("class_hash").isNotNull())
     classes = staged(own.groupBy("class_hash").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("class_hash", F.col("r.id").alias("id"), "r.n_shingles", "r.bands"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     postings = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     shared = staged(postings.join(hubs, "key"))  # buckets with several members; the others are done
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    need = shared.select("id").distinct()
+    sets = staged(full_sets(texts.join(need.hint("merge"), "id", "left_semi")))
+
     near_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  else no link is possible
     hub_size = classes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     star = shared.where("id <> hub").select("hub", "id", "n").distinct().join(hub_size, "hub").where(near_size(F.col("n"), F.col("hub_n")))
-    star = staged(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    links = staged(linked(star, texts, percent))
+    links = staged(linked(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets, percent))
     labels = components(links)
 
-    # buckets in which different components are left: their members are compared across components
-    member = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    # buckets in which different components are left, and the clusters that these buckets form
+    member = shared.join(labels, "id", "left").select("key", "id", "hub", F.coalesce("label", "id").alias("label"))
     open_ = member.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    member = staged(member.join(open_, "key").distinct())
-    x, y = member.alias("x"), member.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near_size(F.col("x.n"), F.col("y.n")))
-    across = staged(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = staged(linked(across, texts, percent))
+    member = staged(member.join(open_, "key").select("id", "hub", "label").distinct())
+    clusters = components(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    looked_at = member.select("id", "label").distinct().join(clusters.select("id", F.col("label").alias("cluster")), "id")
+    members = staged(looked_at.join(long_sketches(sets.join(looked_at.select("id").hint("merge"), "id", "left_semi")), "id"))
+    more = staged(linked(possible(members, percent).distinct(), sets, percent))
     labels = components(links.union(more))
 
     of_class = classes.join(labels, "id", "left").select("class_hash", F.coalesce("label", "id").alias("component"))
