@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import digests
+from millrace.plans import digests, texts
 
-MODULES = [digests]
+MODULES = [digests, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

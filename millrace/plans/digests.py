@@ -154,7 +154,7 @@ item0 AS (SELECT window_id, group_key, count(*) AS n_signals, min(id) AS member,
   coalesce(first(description ORDER BY published_nano DESC, id) FILTER (description <> ''), '') AS description,
   coalesce(first(region ORDER BY published_nano DESC, id) FILTER (region <> ''), '') AS region,
   first(signal_type ORDER BY w DESC, published_nano DESC, id) AS signal_type, max(w) AS w, max(published_nano) AS published_nano,
-  list_sort(list(DISTINCT category)) AS categories, {FOLD} AS f, list_sort(list(DISTINCT source_id || '@' || source_url)) AS sources
+  list_sort(list(DISTINCT category)) AS categories, {FOLD} AS f, list_transform(list_sort(list(DISTINCT struct_pack(a := source_id, b := source_url))), lambda s: s.a || '@' || s.b) AS sources
   FROM weighted GROUP BY window_id, group_key),
 items AS (SELECT *, base || '|member:' || member AS identity, list_sort(list_distinct(f.investors)) AS investors FROM item0)"""
 PEOPLE_SQL = f"""people AS (SELECT s.telegram_id, p.region AS liked_region, p.category AS liked_category, p.timezone, p.delivery_time, p.max_items,
