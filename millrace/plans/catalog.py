@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import digests, texts
+from millrace.plans import digests, services, texts
 
-MODULES = [digests, texts]
+MODULES = [digests, texts, services]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
