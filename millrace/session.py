@@ -22,6 +22,16 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Only where it names none (tests), a local one
+    is made."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once for each Spark context: their Python workers need not find it on a path."""
     context = spark.sparkContext

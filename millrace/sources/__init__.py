@@ -1 +1 @@
-
+"""Sources: feeds and item lists from a landing zone."""

@@ -1 +1 @@
-
+"""Structured Streaming drivers of the same operators."""
