@@ -290,7 +290,8 @@ def possible(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
     ship(members.sparkSession)
-    return dealt.groupBy("cluster", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
+    # dealt by blocks: without this the placement by cluster would do for the grouping, and one task have all of a cluster
+    return dealt.repartition("cluster", "one", "two").groupBy("cluster", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
