@@ -35,6 +35,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no column of that name."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file by path, or by its name among the public tokenizers of the machine that asks."""
     if os.path.isabs(name):

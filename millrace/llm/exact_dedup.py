@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, table
+from millrace.llm.common import staged, table, unused
 
 SALTS = 64
 #: Code points of a text's beginning in the sort key.
@@ -60,9 +60,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs that stay, with all their columns: of equal texts the one with the smallest id. Of rows that
     repeat both, one stays."""
     row = lambda digest: F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest)
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(row(F.col("text_sha256")).alias("_row"))
-    rows = docs.withColumn("_row", row(F.sha2(normalised(F.col(text_col)), 256)))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    name = unused(docs, "_row")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(row(F.col("text_sha256")).alias(name))
+    rows = docs.withColumn(name, row(F.sha2(normalised(F.col(text_col)), 256)))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
