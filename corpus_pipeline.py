@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
-from millrace.llm.common import staged, table
+from millrace.llm.common import staged, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: rows are repeated, or go."""
-    rows = docs.withColumn("_row", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    copies = mixing.mixed(rows, id_col="_row").where("copies > 0").select("_row", "copies")
-    taken = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    row, times = unused(docs, "_row"), unused(docs, "_copies")
+    rows = docs.withColumn(row, F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+    copies = mixing.mixed(rows, id_col=row).where("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(times))
+    taken = rows.join(copies, row).withColumn(times, F.explode(times))
     return taken.select(*docs.columns)
 
 
