@@ -2,8 +2,9 @@
 
 A list is a log of dated changes (a pattern was added to or removed from a block or an allow list). Changes become
 validity intervals; every capture is then joined as of its fetch time with the entries that were active. A pattern is a
-host or domain, alone or with the beginning of a path; a capture is looked up under the host and each parent domain,
-each alone and with each beginning of its path up to DEPTH segments, so the join is an equality on these keys.
+host or domain, alone or with the beginning of a path; a capture is looked up under its host or parent domain and the
+beginning of its path in each shape, a number of labels and of segments, that a pattern of the list has, so the join is
+an equality on these keys.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 
 SALTS = 16
-DEPTH = 3
-#: Labels of a host that are looked up as parent domains.
-LABELS = 6
 URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
@@ -40,14 +38,19 @@ def intervals(changes: DataFrame) -> DataFrame:
     return log.withColumn("valid_to", F.lead("at").over(order)).where("change = 'add'").select("pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All patterns that match: the host and its parents, each alone and with beginnings of the path."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    domains = F.array_distinct(F.concat(domains, F.array(host)))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    begins = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(DEPTH))), lambda k: F.array_join(F.transform(F.slice(parts, 1, k), lambda x: F.concat(F.lit("/"), x)), ""))
-    return F.flatten(F.transform(domains, lambda d: F.transform(begins, lambda b: F.concat(d, b))))
+def shapes_of(changes: DataFrame) -> DataFrame:
+    """One row: the numbers of labels and of path segments that the patterns of a log have, each pair once."""
+    parts = F.split("pattern", "/")
+    shape = F.struct(F.size(F.split(parts[0], r"\.")).alias("labels"), (F.size(parts) - 1).alias("depth"))
+    return changes.where("pattern IS NOT NULL AND change = 'add'").agg(F.collect_set(shape).alias("shapes"))
+
+
+def keys_of(host: Column, path: Column, shapes: Column) -> Column:
+    """All patterns of these shapes that match: the host or a parent, alone or with the beginning of the path."""
+    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
+    fitting = F.filter(shapes, lambda s: (s["labels"] <= F.size(labels)) & (s["depth"] <= F.size(parts)))
+    domain = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    return F.transform(fitting, lambda s: F.array_join(F.concat(F.array(domain(s["labels"])), F.slice(parts, 1, s["depth"])), "/"))
 
 
 def filtered(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -61,7 +64,8 @@ def filtered(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", u
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
     host = F.when(host_of(F.col("url")) != "", host_of(F.col("url")))
     rows = rows.withColumns({"host": host, "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
-    keys = F.when(F.col("host").isNotNull() & F.col("at").isNotNull(), keys_of(F.col("host"), F.col("path")))
+    rows = rows.crossJoin(F.broadcast(shapes_of(changes)))
+    keys = F.when(F.col("host").isNotNull() & F.col("at").isNotNull(), keys_of(F.col("host"), F.col("path"), F.col("shapes")))
     rows = rows.select("id", "url", "at", "host", F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode_outer(keys).alias("k", "pattern"))
     entries = intervals(changes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     active = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
