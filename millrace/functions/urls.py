@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import parse_qsl, quote_plus, urlsplit
+import re
+from urllib.parse import quote, quote_plus, unquote, unquote_to_bytes, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +20,12 @@ LONGEST = 2048
 
 PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: What the native form handles: plain host, maybe a port, no escapes in the query.
-SIMPLE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]+(:[0-9]{1,5})?(/[A-Za-z0-9._~/\-]*)?(\?[A-Za-z0-9._~=&\-]*)?(#[^\s%]*)?$"
+SIMPLE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]+(:[0-9]{1,5})?(/[A-Za-z0-9._~/\-]*)?(\?[A-Za-z0-9._~=&\-]*)?(#[^\s%\p{Cntrl}]*)?\z"
+#: What no URL may hold: control characters and broken escapes; and what no host may.
+BROKEN = re.compile(r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})")
+BROKEN_HOST = re.compile(r"[\\^`{|}@\s]|%(?!25|[89A-Fa-f])")
+#: Paths that stay as they are written; others are decoded and escaped anew.
+ESCAPED_PATH = re.compile(r"[A-Za-z0-9\-_.~!$&'()*+,;=:@/\[\]%]*")
 
 
 def tracking(key: Column) -> Column:
@@ -48,37 +54,38 @@ def normal_simple(url: Column) -> Column:
 
 
 def normal_form(raw: str | None) -> str | None:
-    """Normal form of any https URL, or None."""
+    """Normal form of any https URL, or None. Escapes in a query and what is not ASCII are escaped anew, in UTF-8."""
     raw = (raw or "").strip()
-    if any(ord(c) < 32 or ord(c) == 127 for c in raw):
+    if BROKEN.search(raw):
         return None
     try:
         u = urlsplit(raw)
         port = u.port
     except ValueError:
         return None
-    host = (u.hostname or "").lower()
-    if u.scheme.lower() != "https" or not host or "@" in u.netloc or " " in u.netloc or (port is not None and not 1 <= port <= 65535):
+    host = unquote(u.hostname or "").lower()
+    if u.scheme.lower() != "https" or not host or BROKEN_HOST.search(u.netloc) or (port is not None and not 1 <= port <= 65535) or ";" in u.query:
         return None
-    if ";" in u.query or "%" in u.query and any(len(x) < 2 or not all(c in "0123456789abcdefABCDEF" for c in x[:2]) for x in u.query.split("%")[1:]):
-        return None
-    pairs = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if k.lower() not in TRACKING_KEYS and not k.lower().startswith(TRACKING_PREFIXES)]
-    query = "&".join(f"{quote_plus(k, safe='~')}={quote_plus(v, safe='~')}" for k, v in sorted(pairs, key=lambda p: p[0]))
-    place = f"[{host}]" if ":" in host else host
+    pairs = [tuple(unquote_to_bytes(x.replace("+", " ")) for x in p.partition("=")[::2]) for p in u.query.split("&") if p]
+    pairs = [p for p in pairs if not (key := p[0].decode(errors="replace").lower()).startswith(TRACKING_PREFIXES) and key not in TRACKING_KEYS]
+    query = "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in sorted(pairs, key=lambda p: p[0]))
+    place = quote(host, safe="!$&'()*+,;=:[]<>\"")
+    place = f"[{place}]" if ":" in host else place
     if port is not None and port != 443:
         place += f":{port}"
-    path = "" if u.path == "/" else u.path
+    path = "" if u.path == "/" else u.path if ESCAPED_PATH.fullmatch(u.path) else quote(unquote_to_bytes(u.path), safe="$&+,/:;=@")
     return f"https://{place}{path}" + (f"?{query}" if query else "")
 
 
 @F.pandas_udf(StringType())
 def normal_any(url: pd.Series) -> pd.Series:
-    return url.map(normal_form)
+    return url.map(normal_form, na_action="ignore")
 
 
-def normal_url(url: Column, any_form: bool = False) -> Column:
-    """Normal form, or null where the URL is rejected. Natively for simple URLs; with any_form others go to an Arrow UDF."""
-    return F.when(F.trim(url).rlike(SIMPLE), normal_simple(url)).otherwise(normal_any(url)) if any_form else normal_simple(url)
+def normal_url(url: Column) -> Column:
+    """Normal form, or null where the URL is rejected: natively for simple URLs, others go to an Arrow UDF."""
+    simple = F.trim(url).rlike(SIMPLE)
+    return F.when(simple, normal_simple(url)).otherwise(normal_any(F.when(~simple, url)))
 
 
 def reject_reason(url: Column) -> Column:
@@ -116,16 +123,15 @@ def public_address(address: str | None) -> bool:
 
 @F.pandas_udf(BooleanType())
 def is_public_address(address: pd.Series) -> pd.Series:
-    return address.map(public_address)
+    return address.map(public_address).astype(bool)
 
 
 LITERAL = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 
 
-def public_url(url: Column, literals: bool = False) -> Column:
-    """A safe https URL whose host is not local. Address literals are rejected, or with literals=True looked at in an
-    Arrow UDF."""
+def public_url(url: Column) -> Column:
+    """A safe https URL whose host is not local. Address literals are looked at in an Arrow UDF, names natively."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), ":[0-9]+$", ""), r"\.$", "")
     named = (host != "") & (host != "localhost") & ~host.endswith(".localhost") & ~host.endswith(".local")
     literal = host.rlike(LITERAL)
-    return reject_reason(url).isNull() & named & (F.when(literal, is_public_address(host)).otherwise(True) if literals else ~literal)
+    return reject_reason(url).isNull() & named & (~literal | is_public_address(F.when(literal, host)))
