@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space for Java's expressions, whose \s is ASCII.
 SPACES = r"[\s\u0085\p{Z}]+"
@@ -29,6 +29,11 @@ def unescape_all(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else html.unescape(x) for x in v])
+
+
 def unescape_common(text: Column) -> Column:
     """The five entities of XML, without leaving the JVM."""
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -36,26 +41,43 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
+#: The beginning of an entity that is not one of the common five; old names need no semicolon.
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|amp|#39);)[#A-Za-z]"
+
+
+def unescaped(text: Column) -> Column:
+    """All HTML entities: the common five natively, text with others goes to an Arrow UDF."""
+    other = text.rlike(OTHER_ENTITY)
+    return F.when(other, unescape_all(F.when(other, text))).otherwise(unescape_common(text))
+
+
 def escape_html(text: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))
     return text
 
 
-def clean_text(text: Column, limit: int, all_entities: bool = False) -> Column:
-    """Plain text of feed markup: entities, script and style blocks, tags, stray brackets, control and direction
-    characters, white space; at most `limit` code points."""
-    text = F.coalesce(text, F.lit(""))
-    text = unescape_all(text) if all_entities else unescape_common(text)
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
+def without_markup(text: Column, limit: int | None = None) -> Column:
+    """Unescaped text without script and style blocks, tags, stray brackets, control and direction characters, and runs
+    of white space; at most `limit` code points."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    text = F.regexp_replace(text, rf"[<>\p{{Cc}}]|{BIDI}", " ")
-    return F.substring(squeezed(text), 1, limit)
+    text = squeezed(F.regexp_replace(text, rf"[<>\p{{Cc}}]|{BIDI}", " "))
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def clean_text(text: Column, limit: int | None = None) -> Column:
+    """Plain text of feed markup: entities, then all that without_markup() takes out; at most `limit` code points."""
+    return without_markup(unescaped(F.coalesce(text, F.lit(""))), limit)
 
 
 def clean_strings(values: Column, most: int, limit: int) -> Column:
     """The first `most` values, cleaned; those that are empty then go."""
-    return F.filter(F.transform(F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, most), lambda v: clean_text(v, limit)), lambda v: v != "")
+    values = F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, most)
+    # a UDF cannot be called for each value inside transform
+    other = F.exists(values, lambda v: v.rlike(OTHER_ENTITY))
+    plain = F.when(other, unescape_each(F.when(other, values))).otherwise(F.transform(values, unescape_common))
+    return F.filter(F.transform(plain, lambda v: without_markup(v, limit)), lambda v: v != "")
 
 
 def name_token(name: Column, strip_suffix: bool = False) -> Column:

@@ -26,8 +26,10 @@ def url_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without markup. As in the SQL, entities other than the common five stay; text.clean_text() decodes all."""
     p = derive.table(spark, sf_dir, "pages")
-    return p.select("page_id", text.clean_text(F.col("html"), 280).alias("clean"), text.clean_text(F.col("html"), 10_000_000).alias("whole"))
+    plain = text.unescape_common(F.col("html"))
+    return p.select("page_id", text.without_markup(plain, 280).alias("clean"), text.without_markup(plain).alias("whole"))
 
 
 def first_words(column: str, n: int) -> F.Column:
