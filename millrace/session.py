@@ -1,9 +1,11 @@
-"""Sessions: settings the library relies on, and the package's code on executors."""
+"""Sessions: settings the library relies on, the folder that all machines share, and the package's code on executors."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -23,13 +25,34 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Only where it names none (tests), a local one
-    is made."""
+    """The folder that driver and executors share, as the session names it. A session in one process (tests) may name none
+    and gets a local one; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir names no folder that the driver and the executors of {master} share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder as Parquet and read again: it survives lost executors, cuts the
+    lineage, and keeps a table that several plans read from being computed several times."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*stages: DataFrame) -> None:
+    """Removes the files of stages that nothing reads any more; whatever was made of them must be staged itself."""
+    for df in stages:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
