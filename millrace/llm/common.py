@@ -1,38 +1,47 @@
-"""What several operators of this subpackage need: table access, shared staging, vocabulary files."""
+"""What several operators of this subpackage need: table access, bounded parts of Arrow batches, vocabulary files."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import dropped, staged
+
+__all__ = ["SPACE", "WORD", "dropped", "grouped", "parts", "staged", "table", "tokenizer_path", "unused"]
+
 #: A word, for sizes and shingles: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a task works on at once; a longer text is a part of its own.
+PART = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a local one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder as Parquet and read again: it survives lost executors, cuts the
-    lineage, and keeps a table that several plans read from being computed several times."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def grouped(sizes: list[int], most: int = PART) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs whose sizes add up to `most`, or of one larger."""
+    begin = size = 0
+    for k, n in enumerate(sizes):
+        if k > begin and size + n > most:
+            yield begin, k
+            begin, size = k, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def parts(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some `most` bytes in column `at`: what is made of a part stays small however many rows
+    Spark puts in a batch, and however long they are."""
+    for batch in batches:
+        for begin, end in grouped(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), most):
+            yield batch.slice(begin, end - begin)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -8,7 +8,7 @@ long as the log-likelihood gains more than a penalty. The largest proportion is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import parts, table
 from millrace.session import map_arrow
 
 BUCKETS = 1 << 16
@@ -24,8 +24,10 @@ SMOOTHING = 0.05
 ROUNDS = 8
 #: A further language must gain this much for each doubling of the trigrams, and this share of a nat for each of them.
 GAIN_LOG, GAIN_EACH = 3.0, 0.02
-#: Characters, and trigrams times languages, that are worked on at once.
-CHARS, CELLS = 1 << 20, 1 << 22
+#: Bytes of documents, characters of one document, and trigrams times languages that are worked on at once.
+BYTES, CHARS, CELLS = 1 << 19, 1 << 18, 1 << 18
+#: Languages a model may have: it goes to all tasks as BUCKETS numbers for each.
+LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -34,51 +36,37 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """The texts in parts of some CHARS characters; a longer one is cut, with two characters in both parts."""
-    at, some, size = [], [], 0
-    for k, t in enumerate(texts):
-        t = (t or "").lower()
-        for begin in range(0, max(1, len(t)), CHARS):
-            part = t[max(0, begin - 2) : begin + CHARS]
-            if some and size + len(part) > CHARS:
-                yield at, some
-                at, some, size = [], [], 0
-            at.append(k)
-            some.append(part)
-            size += len(part)
-    if some:
-        yield at, some
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each trigram around a letter. Anything but letters counts as one space."""
+    # each text stands between spaces, so no trigram spans two
+    chars = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(texts)), [len(s) + 1 for s in texts])
+    of = np.concatenate([of[:1], of])
+    is_letter = letters()[chars]
+    keep = is_letter.copy()
+    keep[0] = True
+    keep[1:] |= is_letter[:-1]  # a space after a letter stays, others go
+    x, of, middle = np.where(is_letter, chars, 32)[keep], of[keep], is_letter[keep]
+    if len(x) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = x[:-2] * np.uint32(0x9E3779B1) ^ (x[1:-1] * np.uint32(0x85EBCA77) + np.uint32(0x165667B1)) ^ (x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(3)
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    middle = middle[1:-1]
+    return of[1:-1][middle], (h >> np.uint32(16)).astype(np.int64)[middle]
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, count) of the trigrams around letters, sorted by text and bucket. Anything but letters counts
-    as one space."""
-    keys, counts = [], []
-    for at, some in slices(texts):
-        # each part stands between spaces, so no trigram spans two
-        chars = np.frombuffer((" " + " ".join(some) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        of = np.repeat(np.array(at, np.int64), [len(s) + 1 for s in some])
-        of = np.concatenate([of[:1], of])
-        is_letter = letters()[chars]
-        keep = is_letter.copy()
-        keep[0] = True
-        keep[1:] |= is_letter[:-1]  # a space after a letter stays, others go
-        x, of, middle = np.where(is_letter, chars, 32)[keep], of[keep], is_letter[keep]
-        if len(x) < 3:
-            continue
-        h = x[:-2] * np.uint32(0x9E3779B1) ^ (x[1:-1] * np.uint32(0x85EBCA77) + np.uint32(0x165667B1)) ^ (x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(3)
-        h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-        bucket = (h >> np.uint32(16)).astype(np.int64)
-        key, n = np.unique((of[1:-1] * BUCKETS + bucket)[middle[1:-1]], return_counts=True)
-        keys.append(key)
-        counts.append(n)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    if len(keys) > 1:  # parts of one text meet
-        key, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, n, len(key)).astype(np.int64)
+    """(text, bucket, count) of the trigrams of a part of the documents, sorted by text and bucket. Several texts are
+    short together; a long one stands alone and is read in pieces of CHARS characters, two characters in both of two
+    pieces, into BUCKETS counts."""
+    if len(texts) == 1:
+        text, sums = (texts[0] or "").lower(), np.zeros(BUCKETS, np.int64)
+        for begin in range(0, len(text), CHARS):
+            sums += np.bincount(hashed([text[max(0, begin - 2) : begin + CHARS]])[1], minlength=BUCKETS)
+        bucket = np.flatnonzero(sums)
+        return np.zeros(len(bucket), np.int64), bucket, sums[bucket]
+    of, bucket = hashed([(t or "").lower() for t in texts])
+    key, n = np.unique(of * BUCKETS + bucket, return_counts=True)
     return key // BUCKETS, key % BUCKETS, n
 
 
@@ -93,11 +81,12 @@ def to_learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and their distributions over buckets (BUCKETS x languages). Counts cover all rows with a language; a
-    task sums its own first, and BUCKETS numbers for each language reach the driver."""
+    task sums its own first, and BUCKETS numbers for each language reach the driver. More than LANGUAGES different
+    languages are an error: such a column names something else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in parts(batches, 0, BYTES):
             of, bucket, n = trigrams(b.column(0).to_pylist())
             langs = b.column(1).to_pylist()
             names = sorted(set(langs))
@@ -111,6 +100,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    some = [r["lang"] for r in counted.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    if len(some) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} different values")
     counted = map_arrow(counted, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     at = np.array([names.index(x) for x in counted.column("lang").to_pylist()], np.int64) if names else np.zeros(0, np.int64)
@@ -131,8 +123,9 @@ def fit(start: np.ndarray, n: np.ndarray, p: np.ndarray, among: np.ndarray) -> t
     return share, np.add.reduceat(n * np.log(mix), start)
 
 
-def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts whose trigrams begin at `start`: the language, the set chosen (texts x languages), the score."""
+def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts whose trigrams begin at `start`: the language, the set chosen (texts x languages), the score, and the
+    mixture's log-likelihood."""
     n = n.astype(float)
     alone = np.add.reduceat(n[:, None] * np.log(p), start)
     total = np.add.reduceat(n, start)
@@ -172,25 +165,27 @@ def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
     else:
         sure = np.ones(texts)
     top = share.argmax(1)
-    return top, chosen, share.max(1) * sure
+    return top, chosen, share.max(1) * sure, now
 
 
-def predicted(texts: list[str | None], names: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]]]:
-    """Language, score and set of languages of each text."""
+def predicted(texts: list[str | None], names: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]], np.ndarray]:
+    """Language, score, set of languages, and gain of each text of a part. The gain is the log-likelihood of the text's
+    mixture over that of trigrams that are all alike, in nats for a trigram."""
     of, bucket, n = trigrams(texts)
-    lang, score, sets = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+    lang, score, sets, gain = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts], np.zeros(len(texts))
     at = 0
     while at < len(of) and names:  # whole texts, some CELLS cells at once
         end = min(len(of), at + CELLS // len(names))
         if end < len(of):
             end = max(int(np.searchsorted(of, of[end], "left")), int(np.searchsorted(of, of[at], "right")))
         here, start = np.unique(of[at:end], return_index=True)
-        top, chosen, sure = infer(start, n[at:end], p[bucket[at:end]])
+        top, chosen, sure, likely = infer(start, n[at:end], p[bucket[at:end]])
         score[here] = sure
+        gain[here] = likely / np.add.reduceat(n[at:end], start) + np.log(BUCKETS)
         for k, t, c in zip(here, top, chosen, strict=True):
             lang[k], sets[k] = names[t], [names[j] for j in np.flatnonzero(c)]
         at = end
-    return lang, score, sets
+    return lang, score, sets, gain
 
 
 def predict(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,21 +195,25 @@ def predict(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc
     model = docs.sparkSession.sparkContext.broadcast((names, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score, sets = predicted(b.column(1).to_pylist(), *model.value)
+        for b in parts(batches, 1, BYTES):
+            lang, score, sets, _ = predicted(b.column(1).to_pylist(), *model.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[id_col, "lang_pred", "score", "languages"])
 
     return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, lang_pred string, score double, languages array<string>")
 
 
-def accepted(docs: DataFrame, names: list[str], p: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have a language: those predicted as `und` go. A plain map."""
+def accepted(docs: DataFrame, names: list[str], p: np.ndarray, languages: Collection[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are in a language: predicted as one of `languages` (null: any that
+    was learned), by a mixture that explains the text better than trigrams drawn all alike do. So rows without text
+    or letters go, and those in letters that no learned language is made of. Rows of any other columns stay as they are,
+    repeated ones each; an empty table gives an empty one. A plain map."""
     model = docs.sparkSession.sparkContext.broadcast((names, p))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, _, _ = predicted(b.column(b.schema.names.index(text_col)).to_pylist(), *model.value)
-            yield b.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+        for b in parts(batches, at, BYTES):
+            lang, _, _, gain = predicted(b.column(at).to_pylist(), *model.value)
+            yield b.filter(pa.array([x != UNKNOWN and g > 0 and (languages is None or x in languages) for x, g in zip(lang, gain, strict=True)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -21,7 +21,7 @@ def test_languages_of_a_mixed_text(spark):
     names, p = language_id.learn(language_id.to_learn_from(docs))
     long = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND n_chars BETWEEN 1500 AND 4000").groupBy("lang").agg(F.min("text").alias("text")).collect()}
     one, two = sorted(long)[:2]
-    _, score, sets = language_id.predicted([long[one], long[one][:1500] + " " + long[two][:1500]], names, p)
+    _, score, sets, _ = language_id.predicted([long[one], long[one][:1500] + " " + long[two][:1500]], names, p)
     assert sets[0] == [one] and set(sets[1]) >= {one, two} and score[1] < score[0]
 
 
