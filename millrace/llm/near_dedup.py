@@ -24,10 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, table
+from millrace.llm.common import dropped, parts, staged, table
 from millrace.session import map_arrow, ship
 
 WORDS = 5
@@ -175,36 +175,23 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def grouped(texts: list, sizes: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > sizes:
-            yield begin, k
-            begin, size = k, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def sketched(docs: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, class_hash, bands) of whole texts; without words: 0 and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
-            for begin, end in grouped(texts):
-                sets = shingle_sets(texts[begin:end])
-                full = [k for k, s in enumerate(sets) if len(s)]
-                keys = dict(zip(full, band_keys(sketches([sets[k] for k in full]), rows), strict=True)) if full else {}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, end - begin),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64())),
-                    ],
-                    names=["id", "n_shingles", "class_hash", "bands"],
-                )
+        for part in parts(batches):
+            sets = shingle_sets([(t or "").encode("utf-8") for t in part.column(1).to_pylist()])
+            full = [k for k, s in enumerate(sets) if len(s)]
+            keys = dict(zip(full, band_keys(sketches([sets[k] for k in full]), rows), strict=True)) if full else {}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64())),
+                ],
+                names=["id", "n_shingles", "class_hash", "bands"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_shingles long, class_hash binary, bands array<long>")
@@ -214,11 +201,9 @@ def full_sets(texts: DataFrame) -> DataFrame:
     """(id, shingles) of (id, text), shingles as sorted distinct 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
-            for begin, end in grouped(raw):
-                sets = [s.view(np.int64) for s in shingle_sets(raw[begin:end])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        for part in parts(batches):
+            sets = [s.view(np.int64) for s in shingle_sets([(t or "").encode("utf-8") for t in part.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
@@ -227,25 +212,57 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of links (a, b) reaches. Labels go along links and then along labels,
     until none changes; each round is written to the shared folder, and only a count comes to the driver."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
+    after = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
     while True:
+        before, labels = after, after.select("id", "label")
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         closer = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
         after = staged(closer.join(jump, "label", "left").select("id", "old", F.least("label", "beyond").alias("label")))
-        labels = after.select("id", "label")
+        dropped(before)
         if not after.where("label < old").limit(1).count():
-            return labels
+            dropped(both)
+            return after.select("id", "label")
+
+
+def with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the labels of both ends, as label_a and label_b, where these differ."""
+    both = pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a")
+    return both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked for. Sets are dealt out alike at every size of the input."""
+    """Pairs (a, b) of a stage whose full sets are as similar as asked for. The sets of documents in no pair are left out
+    first; the others are dealt out alike at every size of the input."""
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets.join(need, "id", "left_semi")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def joined(labels: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels (id, label) after all links among the candidates (a, b), in rounds. In each round a document b compares the
+    smallest of its candidates that are in another component still, four times as many as in the round before; links join
+    components, and a candidate that they make needless is never compared. No candidate of two components is left out."""
+    left, at_once = candidates, 1
+    while True:
+        nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        open_ = staged(with_labels(left, labels).select("a", "b", nth.alias("nth")))
+        now = staged(open_.where(F.col("nth") <= at_once).select("a", "b"))
+        if not now.limit(1).count():
+            dropped(open_, now)
+            return labels
+        links = staged(linked(now, sets, percent))
+        left, at_once = open_.where(F.col("nth") > at_once).select("a", "b"), 4 * at_once
+        if not links.limit(1).count():
+            continue
+        lower = components(with_labels(links, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        labels = staged(labels.join(lower.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
+        dropped(now, links)
+
+
 def long_sketches(sets: DataFrame) -> DataFrame:
     """(id, n, sketch): LONG coordinates of a byte each."""
 
@@ -261,10 +278,17 @@ def long_sketches(sets: DataFrame) -> DataFrame:
 
 def possible(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of (cluster, id, label, n, sketch) of one cluster, with different labels, whose sizes and sketches
-    leave a link possible. A cluster is dealt into blocks of some BLOCK documents, and each two blocks meet in a task."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    leave a link possible. A cluster is dealt into blocks of some BLOCK documents. Those of its largest label, which need
+    no comparison with each other, are in blocks of their own; each block of others meets every block in a task."""
+    of_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = of_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
+    placed = members.join(sizes, "cluster").withColumn("at", F.xxhash64("id"))
+    block = F.when(F.col("label") == F.col("top"), F.col("others") + F.pmod("at", F.col("tops"))).otherwise(F.pmod("at", F.col("others"))).cast("int")
+    placed = placed.withColumn("block", block)
+    last = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("tops")).otherwise(F.col("others")) - 1
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = placed.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "label", "n", "sketch")
     short = 256
     least_short, least_long = least_matches(percent, short), least_matches(percent, LONG)
@@ -309,24 +333,23 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     shared = staged(postings.join(hubs, "key"))  # buckets with several members; the others are done
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    need = shared.select("id").distinct()
-    sets = staged(full_sets(texts.join(need.hint("merge"), "id", "left_semi")))
+    labels = staged(shared.select("id", F.col("id").alias("label")).distinct())
+    sets = staged(full_sets(texts.join(labels.select("id").hint("merge"), "id", "left_semi")))
 
     near_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  else no link is possible
     hub_size = classes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     star = shared.where("id <> hub").select("hub", "id", "n").distinct().join(hub_size, "hub").where(near_size(F.col("n"), F.col("hub_n")))
-    links = staged(linked(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets, percent))
-    labels = components(links)
+    labels = joined(labels, star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
 
     # buckets in which different components are left, and the clusters that these buckets form
-    member = shared.join(labels, "id", "left").select("key", "id", "hub", F.coalesce("label", "id").alias("label"))
+    member = shared.join(labels, "id").select("key", "id", "hub", "label")
     open_ = member.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     member = staged(member.join(open_, "key").select("id", "hub", "label").distinct())
     clusters = components(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     looked_at = member.select("id", "label").distinct().join(clusters.select("id", F.col("label").alias("cluster")), "id")
     members = staged(looked_at.join(long_sketches(sets.join(looked_at.select("id").hint("merge"), "id", "left_semi")), "id"))
-    more = staged(linked(possible(members, percent).distinct(), sets, percent))
-    labels = components(links.union(more))
+    labels = joined(labels, staged(possible(members, percent).distinct()), sets, percent)
+    dropped(shared, sets, member, members)
 
     of_class = classes.join(labels, "id", "left").select("class_hash", F.coalesce("label", "id").alias("component"))
     out = sketch.select("id", "n_shingles", "class_hash").join(of_class, "class_hash", "left")
