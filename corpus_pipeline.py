@@ -10,25 +10,29 @@ from millrace.llm.common import staged, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the documents themselves; texts that have none (null, or without
-    letters) go."""
+    """Documents in one of the languages learned from the documents themselves, and explained by a mixture of these.
+    Texts that have none go: null, without letters, or in letters and runs of letters of no learned language. Null and
+    repeated ids and rows are judged each by its text; an empty table gives an empty one; all columns stay."""
     names, p = language_id.learn(language_id.to_learn_from(docs))
     return language_id.accepted(docs, names, p)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, white space aside, the document with the smallest doc_id."""
+    """Of equal texts, white space aside, the document with the smallest doc_id, with all columns. Null texts count as
+    empty; a null id loses to any other; of rows that repeat both one stays; an empty table gives an empty one."""
     return exact_dedup.distinct_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id. Documents without a doc_id stay."""
+    """Of each group of near duplicates, the document with the smallest doc_id, with all columns. Documents without a
+    doc_id or without words stay; rows that repeat an id stay or go together; an empty table gives an empty one."""
     gone = near_dedup.near_groups(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: rows are repeated, or go."""
+    """Each document as often as the mix takes it: rows are repeated, with all columns, or go. Null and empty texts have
+    no words and go; a null source is a source of its own; an empty table gives an empty one."""
     row, times = unused(docs, "_row"), unused(docs, "_copies")
     rows = docs.withColumn(row, F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
     copies = mixing.mixed(rows, id_col=row).where("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(times))
@@ -37,7 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document of the mix. Null and empty texts have the begin and
+    end ids alone; repeated rows are encoded each; an empty table gives an empty one."""
     return sentencepiece_codec.round_trip(docs)
 
 
