@@ -1,10 +1,13 @@
 """Exact deduplication by a content sort.
 
 Normalised texts are range-partitioned by sampled splitters, sorted externally within each range so that equal texts
-lie side by side, and each row is compared with its neighbour in full. The first row of a run of equals has the
-run's smallest identifier. Splitters stay small whatever the texts are: the sort key is the text's beginning, its
-digest and a salt of the identifier, then the whole text. The salt cuts a text that fills a third of the table into
-SALTS runs, which are joined by a grouping that is aggregated before it shuffles.
+lie side by side, and each row is compared with its neighbour in full. Rows that a comparison finds equal are a run, whose
+first row has the run's smallest identifier. Splitters stay small whatever the texts are: the sort key is the text's
+beginning, a hash that parts long texts with one beginning, and a part number, then the whole text and the identifier.
+
+A text with more than HOT rows is dealt into as many parts as the root of its count, so that no task sorts more than
+that many of its rows; each part is a run, and one representative of each run is sorted and compared in full again.
+The hash decides where a row is sorted, never whether two texts are equal.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, table, unused
+from millrace.llm.common import dropped, staged, table, unused
 
-SALTS = 64
+#: Rows with one beginning and hash that are sorted together; above, they are dealt into parts.
+HOT = 256
 #: Code points of a text's beginning in the sort key.
 BEGINNING = 24
 #: White space that is not one plain space already.
@@ -26,6 +30,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), LOOSE_SPACE, " ")
 
 
+def mark(text: Column) -> Column:
+    """Parts texts with one beginning; texts with one mark need not be equal."""
+    return F.xxhash64(text)
+
+
+def runs(rows: DataFrame, key: list[str], *carried: str) -> DataFrame:
+    """rows (id, n, text, wanted, the key and the carried columns) in runs of equal text under a key: `run` is its number,
+    `repeats` says whether the row before has the same text, keep_id is the run's smallest id and group_size the sum of n.
+    The text goes, but for the `head` of a run where `wanted`."""
+    order = Window.partitionBy(*key).orderBy("text", F.col("id").asc_nulls_last())
+    compared = rows.repartitionByRange(*key).withColumn("repeats", F.coalesce(F.lag("text").over(order) == F.col("text"), F.lit(False)))
+    # the windows ask for the rows of a key together: the ranges have them so, and nothing moves again
+    numbered = compared.withColumn("run", F.sum((~F.col("repeats")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = numbered.select(*key, *carried, "id", "n", "run", "repeats", F.when(F.col("wanted") & ~F.col("repeats"), F.col("text")).alias("head"))
+    of_run = Window.partitionBy(*key, "run")
+    return numbered.withColumns({"keep_id": F.min("id").over(of_run), "group_size": F.sum("n").over(of_run)}).drop("n")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
@@ -33,27 +55,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group has none but null ids, keep_id is null and one row is kept. Rows that repeat id and text count in
     group_size, and one of them is kept. Other columns of docs are not read. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text")).select(
-        "id",
-        "text",
-        F.substring("text", 1, BEGINNING).alias("begins"),
-        F.unhex(F.sha2("text", 256)).alias("digest"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    key = ["begins", "digest", "salt"]
-    neighbour = F.lag("text").over(Window.partitionBy(*key).orderBy("text", F.col("id").asc_nulls_last()))
-    # the window asks for rows with one key together, in order: the ranges already are, so nothing moves again
-    runs = rows.repartitionByRange(*key).select("id", "digest", F.coalesce(neighbour == F.col("text"), F.lit(False)).alias("repeats"))
-    runs = staged(runs)
-    groups = runs.groupBy("digest").agg(F.min(F.when(~F.col("repeats"), F.col("id"))).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = staged(groups)  # so that the join deals out both sides itself and can split a hot text's rows
-    return runs.join(groups, "digest").select(
-        F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("repeats")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    text = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
+    rows = staged(
+        text.select(
+            "id",
+            "text",
+            F.substring("text", 1, BEGINNING).alias("begins"),
+            mark(F.col("text")).alias("mark"),
+            F.unhex(F.sha2("text", 256)).alias("digest"),
+            F.monotonically_increasing_id().alias("at"),
+            F.lit(1).cast("long").alias("n"),
+        )
     )
+    hot = staged(rows.groupBy("begins", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).withColumn("parts", F.ceil(F.sqrt("n"))).drop("n"))
+    dealt = rows.join(hot, ["begins", "mark"], "left").withColumns({"wanted": F.col("parts").isNotNull(), "part": F.coalesce(F.pmod("at", F.col("parts")), F.lit(0))})
+
+    key = ["begins", "mark", "part"]
+    first = staged(runs(dealt, key, "digest", "wanted"))
+    cold = first.where("NOT wanted").select("id", "keep_id", "group_size", ~F.col("repeats"), "digest")
+
+    # the parts of a hot text: one representative of each run, with what its run counts
+    heads = first.where("wanted AND NOT repeats").select(*key, F.col("run").alias("part_run"), F.col("keep_id").alias("id"), F.col("group_size").alias("n"), F.col("head").alias("text"), F.lit(False).alias("wanted"))
+    again = staged(runs(heads, key[:2], "part", "part_run"))
+    again = again.select(*key, F.col("part_run").alias("run"), F.col("keep_id").alias("keep"), F.col("group_size").alias("size"), F.col("repeats").alias("later"))
+    warm = first.where("wanted").join(again, [*key, "run"]).select("id", "keep", "size", ~F.col("later") & ~F.col("repeats"), "digest")
+
+    out = cold.toDF("id", "keep_id", "group_size", "kept", "digest").union(warm)
+    dropped(rows, hot)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,6 +24,22 @@ def test_exact_groups(odd):
     assert sorted(map(repr, map(tuple, exact_dedup.exact_groups(odd).collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_exact_groups_rest_on_the_comparison_of_texts(spark, monkeypatch, hot):
+    """Texts of one beginning and one mark are told apart by their content alone, in one part and over many."""
+    monkeypatch.setattr(exact_dedup, "mark", lambda text: exact_dedup.F.lit(1).cast("long"))
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    begin = "the same beginning of all texts "
+    rows = [(k, begin + "abcd"[k * 7 % 11 % 4] * (1 + k % 2)) for k in range(90)] + [(None, begin + "a"), (None, begin + "only null ids")] * 2
+    want, least = [], {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        least.setdefault(t, i)
+    for k, (i, t) in enumerate(rows):
+        want.append((i, least[t], sum(t == u for _, u in rows), i == least[t] and (i, t) not in rows[:k], brute.sha(t)))
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_distinct_documents_keep_all_columns(odd):
     got = exact_dedup.distinct_documents(odd)
     assert got.columns == odd.columns
