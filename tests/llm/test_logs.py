@@ -9,23 +9,22 @@ from pyspark.sql import functions as F
 from millrace.llm import chat_format, url_lists
 
 KINDS = ["message", "delta", "delta", "delta", "edit", "regenerate"]
-LOG = "conv_id long, seq long, kind string, turn long, role string, text string"
+LOG = "conv_id long, seq long, kind string, turn long, role string, text string, message long"
 
 
 def fold(events):
     """One event after another."""
-    out = {}
+    out, begun = {}, set()
     for _, _, kind, turn, role, text in sorted(events, key=lambda e: e[1]):
         text = text or ""
         if kind == "message":
             out[turn] = [role, text]
-        elif turn in out:
-            if kind == "delta":
-                out[turn][1] += text
-            else:
-                out[turn][1] = text
-                if kind == "regenerate":
-                    out = {t: m for t, m in out.items() if t <= turn}
+            begun.add(turn)
+        elif turn in begun:
+            if kind == "regenerate":
+                out = {t: m for t, m in out.items() if t <= turn}
+            if turn in out:
+                out[turn][1] = out[turn][1] + text if kind == "delta" else text
     return [(t, *out[t]) for t in sorted(out)]
 
 
@@ -41,7 +40,7 @@ def test_folded_logs(spark):
             else:
                 events.append((conv, seq, r.choice(KINDS[1:]), n if r.random() < 0.8 else r.randrange(1, n + 1), None, r.choice([None, "ab", " c"])))
         logs[conv] = events
-    rows = [e for events in logs.values() for e in events]
+    rows = [(*e, 0) for events in logs.values() for e in events]
     r.shuffle(rows)
     got = {}
     for m in chat_format.folded(spark.createDataFrame(rows, LOG)).collect():
@@ -49,6 +48,29 @@ def test_folded_logs(spark):
     assert {c: sorted(m) for c, m in got.items()} == {c: want for c, e in logs.items() if (want := fold(e))}
 
 
+def test_long_logs_fold_over_many_parts(spark):
+    """A conversation of hundreds of turns: regenerations drop what began before them, in their own part and later ones."""
+    r, events = random.Random(14), []
+    for seq in range(900):
+        kind = r.choices(["message", "delta", "edit", "regenerate"], [50, 30, 10, 1])[0]
+        turn = seq // 2 + 3 if kind == "message" else r.randrange(max(1, seq // 2 - 150), seq // 2 + 3)
+        events.append((1, seq, kind, turn, "user", f"t{seq}"))
+    got = chat_format.folded(spark.createDataFrame([(*e, 0) for e in events], LOG).repartition(5))
+    want = fold(events)
+    assert 50 < len(want) < 400 and sorted((m.turn, m.role, m.text) for m in got.collect()) == want
+
+
+def test_derived_logs_have_all_kinds_and_fold_to_the_table(spark, sf):
+    odd = [(-1, None, "assistant", "x" * 700), (-1, 1, "assistant", "y"), (-1, 1, "assistant", "y"), (None, 0, "user", None), (-2, 70, None, "a\x00b"), (-2, 10**9, "assistant", "z" * 300_000), (-3, -5, "assistant", "")]
+    given = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    log = chat_format.events_of(given)
+    kinds = {x.kind: x["count"] for x in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(KINDS) and kinds["message"] > given.count() and kinds["regenerate"] > 30
+    assert log.where("kind = 'delta'").agg(F.max(F.length("text"))).first()[0] == 300
+    got = sorted(repr(tuple(m)) for m in chat_format.folded(log).collect())
+    assert got == sorted(repr((m.conv_id, m.turn, m.role, m.text or "")) for m in given.collect())
+
+
 def test_format_reads_back(spark):
     r = random.Random(12)
     parts = ["\\", "\\e", "<turn:", "</turn>", "\n", ">", "o", "\\c", "🙂", "</turn>\n<turn:user>"]
