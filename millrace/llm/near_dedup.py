@@ -36,7 +36,7 @@ PERCENT = 80
 COORDINATES = 320
 #: For the second look at documents whose buckets hold several components: a byte for each coordinate.
 LONG = 1280
-#: Documents of a cluster that are compared with as many others in one task.
+#: Documents of a cluster, the buckets with one smallest identifier, that are compared with as many others in one task.
 BLOCK = 1024
 #: Chance of missing a pair that is just similar enough, for the bands and for the longer sketches.
 MISS = 1e-5
@@ -330,24 +330,23 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     classes = staged(own.groupBy("class_hash").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("class_hash", F.col("r.id").alias("id"), "r.n_shingles", "r.bands"))
 
     postings = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    shared = staged(postings.join(hubs, "key"))  # buckets with several members; the others are done
+    hubs = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # buckets with several members; the others are done
+    shared = staged(postings.join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "key"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     labels = staged(shared.select("id", F.col("id").alias("label")).distinct())
     sets = staged(full_sets(texts.join(labels.select("id").hint("merge"), "id", "left_semi")))
 
     near_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  else no link is possible
-    hub_size = classes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    star = shared.where("id <> hub").select("hub", "id", "n").distinct().join(hub_size, "hub").where(near_size(F.col("n"), F.col("hub_n")))
+    star = shared.where((F.col("id") != F.col("hub")) & near_size(F.col("n"), F.col("hub_n")))
     labels = joined(labels, star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
 
-    # buckets in which different components are left, and the clusters that these buckets form
+    # buckets in which different components are left; those with one smallest identifier are looked at together
     member = shared.join(labels, "id").select("key", "id", "hub", "label")
     open_ = member.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    member = staged(member.join(open_, "key").select("id", "hub", "label").distinct())
-    clusters = components(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    looked_at = member.select("id", "label").distinct().join(clusters.select("id", F.col("label").alias("cluster")), "id")
-    members = staged(looked_at.join(long_sketches(sets.join(looked_at.select("id").hint("merge"), "id", "left_semi")), "id"))
+    member = staged(member.join(open_, "key").select(F.col("hub").alias("cluster"), "id", "label").distinct())
+    sketches_ = long_sketches(sets.join(member.select("id").distinct().hint("merge"), "id", "left_semi"))
+    members = staged(member.join(sketches_, "id"))
     labels = joined(labels, staged(possible(members, percent).distinct()), sets, percent)
     dropped(shared, sets, member, members)
 
