@@ -37,10 +37,12 @@ def grouped(sizes: list[int], most: int = PART) -> Iterator[tuple[int, int]]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = PART) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of some `most` bytes in column `at`: what is made of a part stays small however many rows
+    """The batches in parts of some `most` bytes of text, or numbers of lists, in column `at`: what is made of a part stays small however many rows
     Spark puts in a batch, and however long they are."""
     for batch in batches:
-        for begin, end in grouped(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), most):
+        column = batch.column(at)
+        sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+        for begin, end in grouped(pc.fill_null(sizes, 0).to_pylist(), most):
             yield batch.slice(begin, end - begin)
 
 

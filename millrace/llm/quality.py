@@ -1,32 +1,44 @@
 """Quality classification by co-training.
 
-Two naive Bayes classifiers see different views of a document: one the shape of its text, one its page's metadata. Each is
-first fitted on the labelled documents; then, for some rounds, each also learns from what the other is confident about
-among all unlabelled documents. Each view's log-odds are calibrated on labelled documents that neither was fitted on,
-and the calibrated views are added up to one score for every document.
-
-Features are computed once per document and kept as a few small numbers; all fitting is counting, so every round is a
-grouping over these numbers, and what reaches the driver has one row for each feature and class, however many
-documents there are.
+Two classifiers see different views of a document: one the content of its text (hashed words and pairs of words, and the
+text's shape), one its page's metadata. Each is a naive Bayes model, first fitted on the labelled documents; then, for
+some rounds, each also learns from what the other is confident about among all unlabelled documents. A view is confident
+in a class where, on labelled documents that neither was fitted on, so confident predictions of that class are wrong at
+most PART of the times that the class is wrong at large; so each class has a bar of its own, and a view that cannot tell
+a class teaches nothing of it. Each view's log-odds are calibrated on the same documents, and the calibrated views are
+added up to one score for every document.
+
+Features are computed once per document and kept as small numbers. All fitting is counting: a round is two passes in
+which each task sums up a table of fixed size, and these tables are all that reaches the driver, however many documents
+there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, staged, table
+from millrace.llm.common import SPACE, dropped, parts, staged, table
+from millrace.llm.near_dedup import STEP, mixed, word_hashes
+from millrace.session import map_arrow
 
 ROUNDS = 2
-#: A view teaches the other with documents whose calibrated probability is this far from either end at most.
-CONFIDENT = 0.02
+#: A view teaches the other where it errs this part as often as the class's share would.
+PART = 0.25
 SMOOTHING = 1.0
 BINS = 16
 SOURCES, LANGS = 512, 64
-#: Log-odds are counted in tenths for the calibration, within this range.
-RANGE = 30.0
+#: Buckets of words and of pairs of words.
+WORDS = 1 << 16
+#: Steps of a log-odds value in the calibration's counts, and their range either way.
+STEPS, RANGE = 4, 20
+#: The known labels' place in the tables of a pass, and the folds: learned from, calibrated on, held out.
+KNOWN, CALIBRATED, HELD_OUT = (0, 1), 3, 2
 
 
 def binned(share: Column) -> Column:
@@ -60,6 +72,10 @@ def meta_view(lang: Column, source: Column, n_chars: Column) -> list[Column]:
 
 #: Values that each feature may have.
 TEXT_SIZES, META_SIZES = [BINS] * 8, [LANGS, SOURCES, 64]
+#: The models: values of all features of each.
+SIZES = {"shape": sum(TEXT_SIZES), "words": WORDS, "meta": sum(META_SIZES)}
+#: The models that make up a view.
+VIEWS = {"text": ("shape", "words"), "meta": ("meta",)}
 
 
 def numbered(features: list[Column], sizes: list[int]) -> Column:
@@ -67,47 +83,187 @@ def numbered(features: list[Column], sizes: list[int]) -> Column:
     return F.array(*[f + sum(sizes[:k]) for k, f in enumerate(features)])
 
 
-def log_odds(counted: dict[tuple[int, int], float], sizes: list[int]) -> list[float]:
-    """For each value of each feature: the logarithm of its share among the good over that among the bad."""
-    out, begin = [], 0
-    for size in sizes:
-        of = [[counted.get((begin + v, c), 0.0) + SMOOTHING for v in range(size)] for c in (0, 1)]
-        bad, good = sum(of[0]), sum(of[1])
-        out += [math.log(of[1][v] / good) - math.log(of[0][v] / bad) for v in range(size)]
-        begin += size
-    return out
+def with_words(rows: DataFrame) -> DataFrame:
+    """rows (text, id, ...) with `words`, the distinct buckets of words and of neighbouring pairs, in place of the text."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 0):
+            of, h = word_hashes([(t or "").encode("utf-8") for t in b.column(0).to_pylist()])
+            pair = of[1:] == of[:-1]
+            both = mixed(h[:-1][pair] * STEP + h[1:][pair])
+            keys = np.unique(np.concatenate([of, of[1:][pair]]) * WORDS + (np.concatenate([h, both]) >> np.uint64(48)).astype(np.int64))
+            at = np.searchsorted(keys, np.arange(len(b) + 1) * WORDS).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(at), pa.array((keys % WORDS).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), words], names=[*kept, "words"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+    return map_arrow(rows.select("text", *kept), run, f"{types}, words array<int>")
+
+
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), column.flatten().to_numpy()
+
+
+class Model:
+    """Log-odds of all features, and each view's calibration: the logit of good is a + b . (scores of its models)."""
+
+    def __init__(self, odds: dict[str, np.ndarray]):
+        self.odds = odds
+        self.curve: dict[str, np.ndarray] = {}
+        self.bars: dict[str, tuple[float, float]] = {}
+
+    def scores(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """For each view rows x models, in steps. Words count by their mean: a long text is no surer for its length."""
+        out = {}
+        for view, models in VIEWS.items():
+            cols = []
+            for m in models:
+                of, value = flat(batch.column(batch.schema.names.index(m)))
+                total = np.bincount(of, self.odds[m][value], len(batch))
+                cols.append(10 * total / np.maximum(1, np.bincount(of, minlength=len(batch))) if m == "words" else total)
+            out[view] = np.clip(np.round(np.stack(cols, 1) * STEPS), -RANGE * STEPS, RANGE * STEPS)
+        return out
+
+    def logits(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {v: self.curve[v][0] + x @ self.curve[v][1:] for v, x in self.scores(batch).items()}
+
+    def lessons(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """What each view says of each row: 1 good, 0 bad, -1 not confident."""
+        return {v: np.where(x >= self.bars[v][1], 1, np.where(x <= self.bars[v][0], 0, -1)) for v, x in self.logits(batch).items()}
+
+
+def summed(rows: DataFrame, count) -> dict[tuple, int]:
+    """Sums over all rows of what count(batch) gives for each batch, arrays by name: each task adds up its own and sends
+    what is not 0. The arrays have fixed sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in parts(batches, names.index("words")):
+            for name, x in count(b).items():
+                sums[name] = sums.get(name, 0) + x
+        for name, x in sums.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at].astype(np.int64))], names=["name", "at", "n"])
+
+    names = rows.columns
+    found = map_arrow(rows, run, "name string, at long, n long").groupBy("name", "at").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    return dict(zip(zip(found["name"], found["at"], strict=True), found["n"], strict=True))
 
 
-def fitted(rows: DataFrame, view: str, label: Column, sizes: list[int]) -> Column:
-    """The log-odds of a view as a column, fitted on the rows whose label is 0 or 1."""
-    counts = rows.select(label.alias("label"), F.explode(view).alias("f")).where("label IS NOT NULL").groupBy("f", "label").count()
-    table_ = log_odds({(r["f"], r["label"]): float(r["count"]) for r in counts.collect()}, sizes)
-    return F.aggregate(F.transform(view, lambda f: F.get(F.array(*map(F.lit, table_)), f)), F.lit(0.0), lambda s, x: s + x)
+def known_labels(batch: pa.RecordBatch, folds: tuple[int, ...]) -> np.ndarray:
+    """1 good, 0 bad, -1 neither or of another fold."""
+    quality = batch.column(batch.schema.names.index("quality")).fill_null(-1).to_numpy(zero_copy_only=False)
+    fold = batch.column(batch.schema.names.index("fold")).to_numpy()
+    return np.where(np.isin(fold, folds), quality, -1)
 
 
-def calibrated(rows: DataFrame, score: Column, label: Column) -> tuple[float, float]:
-    """(offset, slope) of the logistic curve through score and label, by Newton's method on counts of tenths."""
-    at = F.round(F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), score)), 1)
-    points = [(r["at"], r["label"], r["count"]) for r in rows.select(at.alias("at"), label.alias("label")).where("label IS NOT NULL").groupBy("at", "label").count().collect()]
-    good, bad = (sum(n for _, y, n in points if y == c) for c in (1, 0))
-    a, b = math.log((good + 1) / (bad + 1)), 0.0
+def fitted(rows: DataFrame, teacher: Model | None) -> Model:
+    """Each model's log-odds from the labelled documents to learn from and, where there is a teacher, from what the other
+    view is confident about among the unlabelled ones."""
+
+    def count(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        known, any_label = known_labels(batch, KNOWN), batch.column(batch.schema.names.index("quality")).is_valid().to_numpy(zero_copy_only=False)
+        lessons = teacher.lessons(batch) if teacher else {}
+        out = {}
+        for view, models in VIEWS.items():
+            label = known
+            for other in lessons:
+                if other != view:
+                    label = np.where(any_label, known, lessons[other])
+                    out[f"lessons of {other}"] = np.bincount(label[~any_label] + 1, minlength=3)
+            for m in models:
+                of, value = flat(batch.column(batch.schema.names.index(m)))
+                for c in (0, 1):
+                    out[f"{m} {c}"] = np.bincount(value[label[of] == c], minlength=SIZES[m])
+        return out
+
+    found = summed(rows, count)
+    odds = {}
+    for models in VIEWS.values():
+        for m in models:
+            of = [np.full(SIZES[m], SMOOTHING) for _ in (0, 1)]
+            for c in (0, 1):
+                at = [(k, n) for (name, k), n in found.items() if name == f"{m} {c}"]
+                np.add.at(of[c], [k for k, _ in at], [n for _, n in at])
+            log_share = [np.zeros(SIZES[m]), np.zeros(SIZES[m])]
+            begin = 0
+            for size in {"shape": TEXT_SIZES, "words": [WORDS], "meta": META_SIZES}[m]:
+                for c in (0, 1):
+                    own = of[c][begin : begin + size]
+                    log_share[c][begin : begin + size] = np.log(own / own.sum())
+                begin += size
+            odds[m] = log_share[1] - log_share[0]
+    model = Model(odds)
+    model.taught = {v: (found.get((f"lessons of {v}", 1), 0), found.get((f"lessons of {v}", 2), 0)) for v in VIEWS}
+    return model
+
+
+def calibrated(rows: DataFrame, model: Model) -> None:
+    """Sets the model's curves and bars, by the labelled documents of the fold that nothing is learned from."""
+    width = 2 * RANGE * STEPS + 1
+
+    def count(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        label, out = known_labels(batch, (CALIBRATED,)), {}
+        for view, x in model.scores(batch).items():
+            cell = np.zeros(len(label), np.int64)
+            for k in range(x.shape[1]):
+                cell = cell * width + (x[:, k] + RANGE * STEPS).astype(np.int64)
+            for c in (0, 1):
+                out[f"{view} {c}"] = np.bincount(cell[label == c], minlength=width ** x.shape[1])
+        return out
+
+    found = summed(rows, count)
+    for view, models in VIEWS.items():
+        points = [(k, c, n) for c in (0, 1) for (name, k), n in found.items() if name == f"{view} {c}"]
+        cell, y, n = (np.array([p[k] for p in points], np.int64) for k in range(3))
+        x = np.stack([cell // width ** (len(models) - 1 - k) % width - RANGE * STEPS for k in range(len(models))], 1).astype(float) if points else np.zeros((0, len(models)))
+        model.curve[view] = logistic(x, y, n)
+        model.bars[view] = bars(model.curve[view][0] + x @ model.curve[view][1:], y, n)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(offset, slopes) of the logistic curve through points x with labels y, each n times, by Newton's method. A small
+    ridge keeps the slopes finite where the classes part cleanly; a slope is not below 0."""
+    good, bad = n[y == 1].sum(), n[y == 0].sum()
+    w = np.zeros(1 + x.shape[1])
+    w[0] = math.log((good + 1) / (bad + 1))
     if not good or not bad:
-        return a, b
-    for _ in range(25):  # a small ridge keeps the slope finite where the classes part cleanly
-        ga, gb, haa, hab, hbb = 0.0, -0.1 * b, 1e-6, 0.0, 0.1
-        for x, y, n in points:
-            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x))))
-            w = n * p * (1 - p)
-            ga, gb, haa, hab, hbb = ga + n * (y - p), gb + n * (y - p) * x, haa + w, hab + w * x, hbb + w * x * x
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        step = min(1.0, 5 / max(abs(da), abs(db), 1e-9))
-        a, b = a + step * da, b + step * db
-    return a, max(b, 0.0)
+        return w
+    ones = np.concatenate([np.ones((len(x), 1)), x], 1)
+    ridge = np.array([1e-6] + [1.0] * x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(ones @ w, -40, 40)))
+        slope = ones.T @ (n * (y - p)) - ridge * w
+        step = np.linalg.solve((ones * (n * p * (1 - p))[:, None]).T @ ones + np.diag(ridge + 1e-9), slope)
+        w = w + step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+    w[1:] = np.maximum(w[1:], 0)
+    return w
+
 
+def bars(logit: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(most for bad, least for good): the bars that let most through on their side of one half and err as seldom as PART
+    asks, each with one more error than was seen. Infinite where there is none."""
+    out = []
+    for c, sign in ((0, 1.0), (1, -1.0)):
+        order = np.argsort(sign * logit, kind="stable")
+        of, right, all_ = logit[order], np.cumsum(np.where(y == c, n, 0)[order]), np.cumsum(n[order])
+        share = n[y == c].sum() / max(1, n.sum())
+        last = np.append(of[1:] != of[:-1], True)[: len(of)]  # rows of one logit pass together
+        fine = np.flatnonzero(last & (all_ - right + 1 <= PART * (1 - share) * (all_ + 1)))
+        out.append(float(of[fine[-1]]) if len(fine) else -sign * math.inf)
+    return min(out[0], -1e-9), max(out[1], 1e-9)
 
-def probability(logit: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit))))
+
+def co_trained(rows: DataFrame, rounds: int) -> Model:
+    """The model after these rounds, over rows as scored() stages them."""
+    model = None
+    for _ in range(rounds + 1):
+        model = fitted(rows, model)
+        calibrated(rows, model)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
@@ -121,34 +277,27 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
     features = docs.select(
+        F.col("text"),
         F.col(id_col).alias("id"),
         fold.alias("fold"),
-        numbered(text_view(F.col("text")), TEXT_SIZES).alias("text"),
+        numbered(text_view(F.col("text")), TEXT_SIZES).alias("shape"),
         numbered(meta_view(F.col("lang"), F.col("source"), F.col("n_chars")), META_SIZES).alias("meta"),
     )
-    truth = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality"))
-    rows = staged(features.join(truth, "id", "left"))
-    label = F.when(F.col("quality").isin(0, 1), F.col("quality"))
-    known = F.when(F.col("fold") < 2, label)
-    held = F.when(F.col("fold") == 3, label)
-    unlabelled = label.isNull() & F.col("id").isNotNull()
-
-    taught: dict[str, Column | None] = {"text": None, "meta": None}
-    views: dict[str, tuple[Column, Column]] = {}
-    sizes = {"text": TEXT_SIZES, "meta": META_SIZES}
-    for _ in range(rounds + 1):
-        for view in views or sizes:
-            lesson = taught[view]
-            score = fitted(rows, view, known if lesson is None else F.coalesce(known, lesson), sizes[view])
-            a, b = calibrated(rows, score, held)
-            views[view] = score, a + b * score
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = probability(views[other][1])
-            taught[view] = F.when(unlabelled & (p >= 1 - CONFIDENT), 1).when(unlabelled & (p <= CONFIDENT), 0)
-    share = rows.agg(F.sum(held).alias("good"), F.count(held).alias("n")).first()
-    prior = math.log(((share["good"] or 0) + 1) / (share["n"] - (share["good"] or 0) + 1))
-    total = probability(views["text"][1] + views["meta"][1] - prior)
-    out = rows.select("id", (F.col("fold") == 2).alias("held_out"), total.alias("score"), probability(views["text"][1]).alias("p_text"), probability(views["meta"][1]).alias("p_meta"))
+    truth = labels.where("quality IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    rows = staged(with_words(features).join(truth, "id", "left"))
+    model = co_trained(rows.drop("id"), rounds)
+    n = rows.where((F.col("fold") == CALIBRATED) & F.col("quality").isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    prior = math.log((n[1] + 1) / (n[0] - n[1] + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, names.index("words")):
+            x = model.logits(b)
+            p = [1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (x["text"] + x["meta"] - prior, x["text"], x["meta"])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(1).to_numpy() == HELD_OUT), *map(pa.array, p)], names=["id", "held_out", "score", "p_text", "p_meta"])
+
+    names = ["id", "fold", *SIZES]
+    kind = rows.schema["id"].dataType.simpleString()
+    out = map_arrow(rows.select(*names), run, f"id {kind}, held_out boolean, score double, p_text double, p_meta double")
     return out.select(F.col("id").alias(id_col), "score", "p_text", "p_meta", "held_out", (F.col("score") >= threshold).alias("kept"))
 
 
