@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import parts, table
 from millrace.session import map_arrow
 
 # Element ids of the format (fixed values).
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
+CONTENT_ENCODINGS = 0x6D80
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -121,8 +122,16 @@ class Media:
     duration: float | None = None
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple] = field(default_factory=list)
-    clusters: int = 0
-    cues: list[tuple[int, int, int]] = field(default_factory=list)
+    clusters: list[int] = field(default_factory=list)  # the byte at which each begins
+    cues: list[tuple[int, int, int]] = field(default_factory=list)  # timestamp in ns, track, byte of the cluster
+
+    def cued(self) -> list[bool]:
+        """Whether a cue leads to each packet: the first of a block, by time and track, in the cluster that the cue names."""
+        places, out, block = set(self.cues), [], -1
+        for track, time, _, cluster, of, *_ in self.packets:
+            out.append(of != block and (time, track, self.clusters[cluster]) in places)
+            block = of
+        return out
 
 
 def unsigned(data: memoryview, body: int, after: int) -> int:
@@ -149,7 +158,9 @@ def parse(raw: bytes) -> Media:
 
 
 def segment(data: memoryview, body: int, after: int, out: Media) -> None:
+    begins = body
     for kind, b, a in elements(data, body, after):
+        at_byte, begins = begins, a
         if kind == INFO:
             for k, x, y in elements(data, b, a):
                 if k == TIMESTAMP_SCALE:
@@ -161,6 +172,7 @@ def segment(data: memoryview, body: int, after: int, out: Media) -> None:
                 if k == TRACK_ENTRY:
                     track(data, x, y, out)
         elif kind == CLUSTER:
+            out.clusters.append(at_byte)
             cluster(data, b, a, out)
         elif kind == CUES:
             for k, x, y in elements(data, b, a):
@@ -187,6 +199,8 @@ def track(data: memoryview, body: int, after: int, out: Media) -> None:
             got["codec"] = bytes(data[x:y]).decode("ascii", "replace").rstrip("\0")
         elif k == DEFAULT_DURATION:
             got["frame_ns"] = unsigned(data, x, y)
+        elif k == CONTENT_ENCODINGS:
+            raise ValueError("a track's frames are encoded (compressed, stripped or encrypted)")
         elif k == AUDIO:
             for k2, x2, y2 in elements(data, x, y):
                 if k2 == SAMPLING:
@@ -199,8 +213,7 @@ def track(data: memoryview, body: int, after: int, out: Media) -> None:
 
 
 def cluster(data: memoryview, body: int, after: int, out: Media) -> None:
-    base, n = 0, out.clusters
-    out.clusters += 1
+    base, n = 0, len(out.clusters) - 1
     for k, x, y in elements(data, body, after):
         if k == TIMESTAMP:
             base = unsigned(data, x, y)
@@ -287,29 +300,30 @@ def packed(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % UNIT if raw else UNIT)
 
 
-PACKETS = "track int, codec string, timestamp_ns long, duration_ns long, cluster int, block int, lacing string, keyframe boolean, begin long, size long"
+PACKETS = "track int, codec string, timestamp_ns long, duration_ns long, cluster int, block int, lacing string, keyframe boolean, begin long, size long, cue boolean"
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per packet of each file: id, packet (its place in the file), the columns of PACKETS, error.
 
-    A file that is null, empty, no Matroska or cut off gives one row with the error and no packet; so does one without
-    packets, with an empty error. Equal files and repeated rows are read each; other columns are not read.
+    cue says whether a cue leads to the packet. A file that is null, empty, no Matroska, cut off or with encoded frames
+    gives one row with the error and no packet; so does one without packets, with an empty error. Null and repeated ids
+    and equal files are read each; other columns are not read; an empty table gives an empty one.
     """
     kind = media.schema[id_col].dataType.simpleString()
     names = ["packet", *(x.split()[0] for x in PACKETS.split(", ")), "error"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for at, raw in enumerate(b.column(1)):
                 try:
                     got = parse(raw.as_py() or b"")
-                    rows = [(k, p[0], got.tracks.get(p[0], {}).get("codec"), *p[1:], None) for k, p in enumerate(got.packets)] or [(*[None] * 11, "")]
+                    rows = [(k, p[0], got.tracks.get(p[0], {}).get("codec"), *p[1:], c, None) for k, (p, c) in enumerate(zip(got.packets, got.cued(), strict=True))] or [(*[None] * 12, "")]
                 except ValueError as e:
-                    rows = [(*[None] * 11, str(e))]
-                for part in range(0, len(rows), 10_000):
-                    some = rows[part : part + 10_000]
+                    rows = [(*[None] * 12, str(e))]
+                for begin in range(0, len(rows), 10_000):
+                    some = rows[begin : begin + 10_000]
                     cols = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([at] * len(some))), *cols], names=[id_col, *names])
 
@@ -318,11 +332,12 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, media (a Matroska file that holds the text's bytes as samples). A null text
-    counts as empty, and an empty one is UNIT zero samples. Other columns of docs are not read."""
+    counts as empty, and an empty one is UNIT zero samples. Null and repeated ids are stored each; other columns of docs are
+    not read; an empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n, files = [], []
             for t in b.column(1):
                 size, payload = packed(t.as_py())
@@ -339,12 +354,13 @@ def described(got: Media, samples: bytes) -> str:
     mean, spread = (float(x.mean()), float(x.std())) if len(x) else (0.0, 0.0)
     steps = int(np.count_nonzero(x[1:] != x[:-1]))
     last = got.packets[-1] if got.packets else (0, 0, 0)
-    return f"packets={len(got.packets)};blocks={last[4] + 1 if got.packets else 0};clusters={got.clusters};cues={len(got.cues)};last_ms={last[1] // 1_000_000};mean={mean:.3f};spread={spread:.3f};steps={steps}"
+    return f"packets={len(got.packets)};blocks={last[4] + 1 if got.packets else 0};clusters={len(got.clusters)};cues={sum(got.cued())};last_ms={last[1] // 1_000_000};mean={mean:.3f};spread={spread:.3f};steps={steps}"
 
 
 def features(media: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes", media_col: str = "media") -> DataFrame:
     """Reads each file back through its packets: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature. A file that cannot be read has nulls for the payload and the error as its feature."""
+    media_sha256, feature. A file that cannot be read has nulls for the payload and the error as its feature; a null file
+    is an empty one. Repeated rows are read each; other columns are not read; an empty table gives an empty one."""
     kind = media.schema[id_col].dataType.simpleString()
     types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
@@ -358,7 +374,7 @@ def features(media: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes"
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), *stored_form, described(got, payload))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2):
             rows = [of(raw.as_py() or b"") for raw in b.column(2)]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)] if rows else [pa.array([], t) for t in types.values()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=[id_col, size_col, *types])
