@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import parts, table
 from millrace.llm.token_counts import MEMO_LENGTH, MODEL, PRE_TOKENS, fence, load, marked
 from millrace.session import map_arrow
 
@@ -40,6 +40,8 @@ class PrefixTable:
         self.score = {p: sp.get_score(i) for i, p in self.piece.items()}
         self.length = {i: len(p) for i, p in self.piece.items()}
         self.letters = frozenset("".join(self.piece.values()))
+        if not self.letters <= self.score.keys():
+            raise ValueError("a character of a vocabulary string is no vocabulary string itself")
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = sp.get_piece_size()  # stands for a character that is encoded as bytes, and for the text's begin
         self.shift = self.unknown.bit_length()
@@ -134,10 +136,12 @@ def decode(model: str, ids: list[int]) -> str:
 
 
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, ids (array of int, begin and end ids included). Null texts count as empty."""
+    """One row per row of docs: id, ids (array of int, begin and end ids included). Null and empty texts have just the
+    begin and end ids; null and repeated ids are encoded each; other columns are not read; an empty table gives an empty
+    one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids = [ids_of(encode_bytes(model, t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
@@ -153,7 +157,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n, ids, texts = [], [], []
             for t in b.column(1).to_pylist():
                 packed = encode_bytes(model, t or "")

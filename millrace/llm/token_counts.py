@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table, tokenizer_path
+from millrace.llm.common import parts, table, tokenizer_path
 from millrace.session import map_arrow
 
 MARK = "▁"
@@ -109,7 +109,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counts(model).of
-        for b in batches:
+        for b in parts(batches):
             n = pa.array([of(t or "") for t in b.column(1).to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])

@@ -40,6 +40,8 @@ def test_odd_texts(odd, none, library):
     assert sorted(repr(tuple(r)) for r in codec.round_trip(odd).collect()) == sorted(repr((i, *wanted(library, t))) for i, t in rows)
     got = sorted(repr((r.doc_id, r.n_tokens)) for r in token_counts.count_tokens(odd).collect())
     assert got == sorted(repr((i, len(library.encode(t or "")))) for i, t in rows)
+    assert sorted(repr((r.doc_id, r.ids)) for r in codec.encode(odd).collect()) == sorted(repr((i, library.encode(t or "", add_bos=True, add_eos=True))) for i, t in rows)
+    assert codec.encode(none).count() == 0
     assert codec.round_trip(none).count() == token_counts.count_tokens(none).count() == 0
 
 
