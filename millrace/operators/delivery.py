@@ -1,7 +1,8 @@
 """Deliveries: what is due, what a report changes, what is suppressed.
 
 Reports of a delivery are folded in order through the states due, retry, sent, failed, blocked, suppressed. The fold is
-one aggregation per delivery; a delivery has few reports (three attempts of a few messages), repeated ones go first.
+one aggregation per delivery. Only accepted reports are remembered: a delivery accepts one for each message and attempt
+at most, so what it remembers stays small, and a report that was refused is judged anew when it comes again.
 """
 
 from __future__ import annotations
@@ -37,18 +38,20 @@ def decided(status: Column, previous: Column, attempted_nano: Column) -> Column:
     return F.struct(new.alias("status"), attempt.alias("attempt"), F.when(again, attempted_nano + DELAY).alias("next_attempt_nano"), (status == "blocked").alias("inactive"))
 
 
-STATE = "struct<status:string,attempt:int,confirmed_through:int,next_attempt_nano:bigint,inactive:boolean,accepted:int,duplicate:int,terminal:int,conflict:int>"
+STATE = "struct<status:string,attempt:int,confirmed_through:int,next_attempt_nano:bigint,inactive:boolean,accepted:int,duplicate:int,terminal:int,conflict:int,taken:array<string>>"
 
 
 def report(state: Column, e: Column) -> Column:
-    """One report: a repeated id is answered as before; a terminal delivery refuses; then sequence and total must fit;
-    a success before the last message only moves the cursor, any other report decides."""
+    """One report: an id that belongs to another delivery conflicts; one that was accepted is answered as before; a terminal
+    delivery refuses; then sequence and total must fit; a success before the last message only moves the cursor, any other
+    report decides."""
     fits = (e["total"] > 0) & (state["confirmed_through"] <= e["total"]) & e["status"].isin("success", "failed", "blocked") & e["sequence"].between(0, e["total"]) & ((e["sequence"] == 0) | (e["sequence"] == state["confirmed_through"] + 1))
     step = (e["status"] == "success") & (e["sequence"] > 0) & (e["sequence"] < e["total"])
     done = decided(e["status"], state["attempt"], e["attempted_nano"])
     count = lambda name, yes: (state[name] + F.when(yes, 1).otherwise(0)).alias(name)
     ended = state["status"].isin(*TERMINAL)
-    fresh = ~e["repeated"]
+    repeated = ~e["foreign"] & F.array_contains(state["taken"], e["attempt_id"])
+    fresh = ~e["foreign"] & ~repeated
     taken = fresh & ~ended & fits
     pick = lambda name, moved, final: F.when(~taken, state[name]).when(step, moved).otherwise(final).alias(name)
     return F.struct(
@@ -58,21 +61,23 @@ def report(state: Column, e: Column) -> Column:
         pick("next_attempt_nano", F.lit(None).cast("long"), done["next_attempt_nano"]),
         pick("inactive", state["inactive"], state["inactive"] | done["inactive"]),
         count("accepted", taken),
-        count("duplicate", e["repeated"]),
+        count("duplicate", repeated),
         count("terminal", fresh & ended),
-        count("conflict", fresh & ~ended & ~fits),
+        count("conflict", e["foreign"] | (fresh & ~ended & ~fits)),
+        F.when(taken, F.concat(state["taken"], F.array(e["attempt_id"]))).otherwise(state["taken"]).alias("taken"),
     ).cast(STATE)
 
 
 def outcomes(reports: DataFrame, *order: str) -> DataFrame:
     """Final state per delivery of reports (delivery_id, attempt_id, attempted_nano, status, sequence, total) in `order`,
-    from a new delivery. A report whose attempt_id was taken before is a duplicate."""
-    seen = Window.partitionBy("delivery_id", "attempt_id").orderBy(*order)
-    rows = reports.withColumn("repeated", F.row_number().over(seen) > 1)
-    event = F.struct(*order, *[c for c in ("attempted_nano", "status", "sequence", "total", "repeated") if c not in order])
-    start = F.struct(F.lit("due"), F.lit(0), F.lit(0), F.lit(None).cast("long"), F.lit(False), F.lit(0), F.lit(0), F.lit(0), F.lit(0)).cast(STATE)
+    from a new delivery. A report whose attempt_id the delivery accepted before is a duplicate; an attempt_id belongs to
+    the delivery that reported it first."""
+    first = F.min(F.struct(*order, "delivery_id")).over(Window.partitionBy("attempt_id"))
+    rows = reports.withColumn("foreign", first["delivery_id"] != F.col("delivery_id"))
+    event = F.struct(*order, *[c for c in ("attempt_id", "attempted_nano", "status", "sequence", "total", "foreign") if c not in order])
+    start = F.struct(F.lit("due"), F.lit(0), F.lit(0), F.lit(None).cast("long"), F.lit(False), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<string>")).cast(STATE)
     folded = rows.groupBy("delivery_id").agg(F.array_sort(F.collect_list(event)).alias("events")).select("delivery_id", F.aggregate("events", start, report).alias("s"))
-    return folded.select("delivery_id", "s.*")
+    return folded.select("delivery_id", "s.*").drop("taken")
 
 
 def display(items: DataFrame, policy: DataFrame, *by: str) -> DataFrame:

@@ -47,7 +47,7 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p, s, n, r = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
-    rows = li.where("l_returnflag = 'A' AND l_linestatus = 'F'").join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     seconds = F.lit(START) + F.col("l_orderkey") % 14 * 86_400 + (F.col("l_partkey") * 37 + F.col("l_suppkey")) % 86_400
     paid = F.col("l_suppkey") % 3 == 0
@@ -135,8 +135,7 @@ CTE = {
          CASE WHEN l_suppkey % 3 = 0 THEN 'USD' ELSE '' END AS currency,
          CASE WHEN l_suppkey % 3 = 0 AND l_linenumber % 2 = 0 THEN 'Fund ' || (l_suppkey % 7) ELSE '' END AS investor
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE l_returnflag = 'A' AND l_linestatus = 'F')""",
+  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "deliveries": """deliveries AS (
   SELECT 'del_' || o_orderkey AS id, o_custkey + 1 AS telegram_id, strftime(o_orderdate, '%Y-%m-%d') AS digest_date,
          CASE o_orderstatus WHEN 'O' THEN 'due' WHEN 'P' THEN 'retry' ELSE 'sent' END AS status,

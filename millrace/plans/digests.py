@@ -15,6 +15,10 @@ from millrace.functions import scoring, times
 from millrace.operators import grouping, selection
 from millrace.plans import derive
 from millrace.plans.derive import NOW, NOW_NANO, with_
+from millrace.session import staged
+
+
+RECENT = "2001-06-01"
 
 
 def windows(preferences: DataFrame, now: str = NOW) -> DataFrame:
@@ -46,8 +50,13 @@ def window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligible(in_windows(derive.signals(spark, sf_dir), windows(derive.preferences(spark, sf_dir))), policy(spark, sf_dir))
 
 
+def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of all windows with their keys, written once: grouping reads them several times."""
+    return staged(grouping.identified(window_signals(spark, sf_dir)))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.merged(grouping.grouped(grouping.identified(window_signals(spark, sf_dir))))
+    return grouping.merged(grouping.grouped(identified(spark, sf_dir)))
 
 
 def plan_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +69,8 @@ def plan_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries that are queued already: some of the orders, moved to their subscriber's date."""
-    old = derive.deliveries(spark, sf_dir).where("CAST(substring_index(id, '_', -1) AS BIGINT) % 20 = 0").select("telegram_id").distinct()
+    """Deliveries that are queued already: those of the latest orders, moved to their subscriber's date."""
+    old = derive.deliveries(spark, sf_dir).where(F.col("digest_date") >= RECENT).select("telegram_id").distinct()
     return old.join(plan_subscribers(spark, sf_dir), "telegram_id").select("telegram_id", "digest_date")
 
 
@@ -86,13 +95,15 @@ PROFILE = ["window_id", "liked_regions", "liked_categories"]
 def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen items of each due subscriber's digest."""
     people = open_subscribers(spark, sf_dir)
-    ranked = selection.ranked(scored(candidates(spark, sf_dir), profiles(people)), *PROFILE)
-    ranked = ranked.withColumn("candidate_count", F.count(F.lit(1)).over(selection.Window.partitionBy(*PROFILE)))
-    best = selection.chosen(ranked, *PROFILE)  # the most that any limit takes; a lower limit takes the first by choice
+    items = staged(candidates(spark, sf_dir))
+    counts = items.groupBy("window_id").agg(F.count(F.lit(1)).alias("candidate_count"))
+    # the most that any limit takes, by keys alone; a lower limit takes the first by choice
+    best = selection.balanced(scored(items, profiles(people)), *PROFILE)
     rows = people.select("telegram_id", "digest_date", "limit", "window_id", F.col("regions").alias("liked_regions"), F.col("categories").alias("liked_categories"))
     rows = rows.join(best, PROFILE).where(F.col("choice") <= F.col("limit"))
+    rows = rows.join(counts, "window_id").join(items.drop("published_nano"), ["window_id", "identity"])
     # at most ten rows of a subscriber: place among them in order of rank
-    mine = F.row_number().over(selection.Window.partitionBy("telegram_id").orderBy("rank"))
+    mine = F.row_number().over(selection.Window.partitionBy("telegram_id").orderBy("key"))
     digest = ids.digest_id(F.col("telegram_id"), F.col("digest_date"))
     rows = rows.withColumns({"place": mine, "digest_id": digest})
     return rows.select(
@@ -162,7 +173,7 @@ PEOPLE_SQL = f"""people AS (SELECT s.telegram_id, p.region AS liked_region, p.ca
   TIMESTAMPTZ '{NOW}+00' >= ((strftime(TIMESTAMPTZ '{NOW}+00' AT TIME ZONE p.timezone, '%Y-%m-%d') || ' ' || p.delivery_time || ':00')::TIMESTAMP AT TIME ZONE p.timezone) AS due,
   CASE WHEN p.max_items <= 0 THEN 10 ELSE greatest(5, least(10, p.max_items)) END AS lim
   FROM subscribers s JOIN preferences p USING (telegram_id) WHERE s.active),
-existing AS (SELECT DISTINCT d.telegram_id FROM deliveries d JOIN people USING (telegram_id) WHERE split_part(d.id, '_', 2)::BIGINT % 20 = 0),
+existing AS (SELECT DISTINCT d.telegram_id FROM deliveries d JOIN people USING (telegram_id) WHERE d.digest_date >= '{RECENT}'),
 open_people AS (SELECT *, timezone || '|' || digest_date AS window_id FROM people WHERE due AND telegram_id NOT IN (SELECT telegram_id FROM existing))"""
 SCORE_SQL = """scored AS (SELECT o.telegram_id, o.digest_date, o.lim, i.*,
   i.w + CASE WHEN f.amount <> '' THEN 30 ELSE 0 END + CASE WHEN f.round <> '' THEN 10 ELSE 0 END + CASE WHEN len(investors) > 0 THEN 10 ELSE 0 END
@@ -210,11 +221,11 @@ def eligible_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.alias_components(grouping.identified(window_signals(spark, sf_dir)))
+    return grouping.alias_components(identified(spark, sf_dir))
 
 
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.grouped(grouping.identified(window_signals(spark, sf_dir))).select("window_id", "id", "group_key")
+    return grouping.grouped(identified(spark, sf_dir)).select("window_id", "id", "group_key")
 
 
 def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +240,18 @@ def item_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("window_id", "group_key", "identity")
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and ranks of all items for each set of preferences."""
+    return selection.ranked(scored(staged(candidates(spark, sf_dir)), profiles(open_subscribers(spark, sf_dir))), *PROFILE)
+
+
 def ranked_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and ranks for each set of preferences: the best hundred of each."""
-    rows = selection.ranked(scored(candidates(spark, sf_dir), profiles(open_subscribers(spark, sf_dir))), *PROFILE)
-    return rows.where("rank <= 100").select("window_id", F.array_join("liked_regions", ",").alias("liked_region"), F.array_join("liked_categories", ",").alias("liked_category"), F.col("rank").cast("int").alias("rank"), "identity", F.col("score").cast("int").alias("score"))
+    return ranked(spark, sf_dir).select("window_id", F.array_join("liked_regions", ",").alias("liked_region"), F.array_join("liked_categories", ",").alias("liked_category"), F.col("rank").cast("int").alias("rank"), "identity", F.col("score").cast("int").alias("score"))
 
 
 def selected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.chosen(selection.ranked(scored(candidates(spark, sf_dir), profiles(open_subscribers(spark, sf_dir))), *PROFILE), *PROFILE, limit=F.lit(7))
+    keys = staged(ranked(spark, sf_dir).select(*PROFILE, "rank", "identity", "sources"))
+    rows = selection.chosen(keys, *PROFILE, limit=F.lit(7))
     return rows.select("window_id", F.array_join("liked_regions", ",").alias("liked_region"), F.array_join("liked_categories", ",").alias("liked_category"), F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"), "identity")
 
 
@@ -311,7 +326,7 @@ SELECT telegram_id, digest_id, 'item_' || sha256(digest_id || ':' || place)[:24]
     "merged_items": recursive(chain(*TO_ITEMS)) + " SELECT window_id, identity, n_signals, startup_name, description, region, signal_type, published_nano, array_to_string(categories, ',') AS categories, array_to_string(sources, ',') AS sources FROM items",
     "merged_funding": recursive(chain(*TO_ITEMS)) + " SELECT window_id, identity, f.round AS round, f.amount AS amount, f.currency AS currency, array_to_string(investors, ',') AS investors FROM items",
     "item_identity": recursive(chain(*TO_ITEMS)) + " SELECT window_id, group_key, identity FROM items",
-    "score_rank_items": recursive(chain(*TO_ITEMS, PEOPLE_SQL, PROFILE_SQL)) + " SELECT window_id, liked_region, liked_category, rank, identity, score::INTEGER AS score FROM pranked WHERE rank <= 100",
+    "score_rank_items": recursive(chain(*TO_ITEMS, PEOPLE_SQL, PROFILE_SQL)) + " SELECT window_id, liked_region, liked_category, rank, identity, score::INTEGER AS score FROM pranked",
     "select_source_aware": recursive(chain(*TO_ITEMS, PEOPLE_SQL, PROFILE_SQL, PCHOICE_SQL)) + " SELECT window_id, liked_region, liked_category, rank, row_number() OVER (PARTITION BY pid ORDER BY rank)::INTEGER AS place, identity FROM pchoice WHERE choice <= 7",
     "digest_candidate_counts": recursive(chain(*TO_ITEMS)) + " SELECT window_id, count(*) AS candidate_count, sum(n_signals)::BIGINT AS n_signals FROM items GROUP BY window_id",
     "delivery_queue_new": chain(PEOPLE_SQL) + f" SELECT 'del_' || sha1(telegram_id || ':' || digest_date)[:24] AS id, telegram_id, 'dig_' || sha256(telegram_id || ':' || digest_date)[:24] AS digest_id, digest_date, 'due' AS status, 0 AS attempt, {NOW_NANO} AS created_nano FROM open_people",

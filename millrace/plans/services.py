@@ -12,6 +12,7 @@ from millrace.plans.derive import START, with_
 
 DUE_NANO = 946_684_800 * 10**9  # 2000-01-01, amid the orders
 CADENCE_NANO = (START + 100 * 3600) * 10**9
+AGAIN = 2 * 86_400 * 10**9
 
 
 def local_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +32,11 @@ def pending_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reports on deliveries of three messages: intermediate ones confirm one of the first two messages by
-    turns, others report on the whole; every fifth is sent twice."""
+    turns, others report on the whole; every fifth is sent again after two days, and what was refused then is judged anew."""
     a = derive.attempts(spark, sf_dir)
     part = F.when(F.col("intermediate"), F.col("event_id") % 2 + 1).otherwise(0).cast("int")
     rows = a.select(F.col("delivery_id"), "attempt_id", "event_id", "attempted_nano", "status", part.alias("sequence"), F.lit(3).alias("total"))
-    again = rows.where("event_id % 5 = 0").withColumn("attempted_nano", F.col("attempted_nano") + 1)
+    again = rows.where("event_id % 5 = 0").withColumn("attempted_nano", F.col("attempted_nano") + AGAIN)
     return rows.unionByName(again)
 
 
@@ -46,7 +47,7 @@ def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as digest items of the order's delivery: attributions to the supplier and the part's brand."""
-    li = derive.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3")
+    li = derive.table(spark, sf_dir, "lineitem")
     scheme = F.when(F.col("l_suppkey") % 50 == 7, "http://").otherwise("https://")
     url = F.concat(scheme, F.lit("src.example/"), F.col("l_suppkey").cast("string"))
     one = F.struct(F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("source_id"), url.alias("source_url"))
@@ -153,17 +154,17 @@ def preferences_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed is replayed with some rows changed and all of it twice."""
+    """A feed is replayed with some rows changed, those of a new source, and all of it twice."""
     s = derive.signals(spark, sf_dir).select("id", "startup_name", "source_id", "published_nano")
     old = s.where("source_id <> 'Brand#7'")
-    new = s.where("published_nano % 2000000000 = 0").withColumn("startup_name", F.upper("startup_name"))
+    new = s.where("published_nano % 2000000000 = 0 OR source_id = 'Brand#7'").withColumn("startup_name", F.upper("startup_name"))
     return store.save_signals(old, new.unionByName(new))
 
 
 def upsert_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = derive.source_health(spark, sf_dir)
     old = h.where("substring_index(source_id, '#', -1) % 3 <> 0")
-    new = h.where("substring_index(source_id, '#', -1) % 2 = 0").withColumns({"status": F.lit("ok"), "last_attempt_nano": F.when(F.col("last_attempt_nano") % 7_000_000_000 == 0, F.col("last_attempt_nano") + 5)})
+    new = h.where("substring_index(source_id, '#', -1) % 2 = 0 OR substring_index(source_id, '#', -1) % 3 = 0").withColumns({"status": F.lit("ok"), "last_attempt_nano": F.when(F.col("last_attempt_nano") % 7_000_000_000 == 0, F.col("last_attempt_nano") + 5)})
     return store.save_health(old, new)
 
 
@@ -171,7 +172,7 @@ def upsert_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derive.deliveries(spark, sf_dir)
     number = F.substring_index("id", "_", -1).cast("long")
     old = d.where(number % 4 != 0)
-    new = d.where(number % 3 == 0).withColumns({"status": F.lit("retry"), "attempt": F.lit(2), "confirmed_through": F.lit(0), "created_nano": F.col("created_nano") + 1})
+    new = d.where((number % 3 == 0) | (number % 4 == 0)).withColumns({"status": F.lit("retry"), "attempt": F.lit(2), "confirmed_through": F.lit(0), "created_nano": F.col("created_nano") + 1})
     return store.save_deliveries(old, new, delivery.TERMINAL).select("id", "status", "attempt", "confirmed_through", "created_nano")
 
 
@@ -214,10 +215,10 @@ CONFIG = """cfg AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 6 THEN 'x'
   s_suppkey % 2 = 0 AS has_token, s_suppkey % 11 <> 0 AS guarded FROM supplier),
 reg AS (SELECT s_name AS source_id, CASE WHEN s_suppkey % 8 = 1 THEN 'rss' ELSE 'atom' END AS method, s_suppkey % 5 = 0 AS needs FROM supplier)"""
 REPORTS = """rep AS (SELECT delivery_id, attempt_id, event_id, attempted_nano, status, CASE WHEN intermediate THEN (event_id % 2 + 1)::INTEGER ELSE 0 END AS sequence FROM attempts),
-both_reps AS (SELECT * FROM rep UNION ALL SELECT delivery_id, attempt_id, event_id, attempted_nano + 1, status, sequence FROM rep WHERE event_id % 5 = 0),
-num AS (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY attempted_nano, event_id) AS nth, row_number() OVER (PARTITION BY delivery_id, attempt_id ORDER BY attempted_nano) > 1 AS repeated FROM both_reps),
+both_reps AS (SELECT * FROM rep UNION ALL SELECT delivery_id, attempt_id, event_id, attempted_nano + 172800000000000, status, sequence FROM rep WHERE event_id % 5 = 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY attempted_nano, event_id) AS nth FROM both_reps),
 run AS (
-  SELECT DISTINCT delivery_id, 0::BIGINT AS nth, 'due' AS status, 0 AS attempt, 0 AS confirmed_through, NULL::BIGINT AS next_attempt_nano, false AS inactive, 0 AS accepted, 0 AS duplicate, 0 AS terminal, 0 AS conflict FROM num
+  SELECT DISTINCT delivery_id, 0::BIGINT AS nth, 'due' AS status, 0 AS attempt, 0 AS confirmed_through, NULL::BIGINT AS next_attempt_nano, false AS inactive, 0 AS accepted, 0 AS duplicate, 0 AS terminal, 0 AS conflict, []::VARCHAR[] AS ids FROM num
   UNION ALL
   SELECT r.delivery_id, n.nth,
     CASE WHEN NOT taken THEN r.status WHEN moved THEN 'due' WHEN n.status = 'blocked' THEN 'blocked' WHEN n.status = 'success' THEN 'sent' WHEN r.attempt + 1 < 3 THEN 'retry' ELSE 'failed' END,
@@ -225,10 +226,11 @@ run AS (
     CASE WHEN NOT taken THEN r.confirmed_through WHEN moved THEN n.sequence WHEN n.status = 'success' THEN 3 ELSE r.confirmed_through END,
     CASE WHEN NOT taken THEN r.next_attempt_nano WHEN NOT moved AND n.status = 'failed' AND r.attempt + 1 < 3 THEN n.attempted_nano + 900000000000 END,
     CASE WHEN taken AND n.status = 'blocked' THEN true ELSE r.inactive END,
-    r.accepted + taken::INTEGER, r.duplicate + n.repeated::INTEGER, r.terminal + (NOT n.repeated AND ended)::INTEGER, r.conflict + (NOT n.repeated AND NOT ended AND NOT fits)::INTEGER
+    r.accepted + taken::INTEGER, r.duplicate + again::INTEGER, r.terminal + (NOT again AND ended)::INTEGER, r.conflict + (NOT again AND NOT ended AND NOT fits)::INTEGER,
+    CASE WHEN taken THEN list_append(r.ids, n.attempt_id) ELSE r.ids END
   FROM run r JOIN num n ON n.delivery_id = r.delivery_id AND n.nth = r.nth + 1,
-  LATERAL (SELECT r.status IN ('sent', 'failed', 'blocked', 'suppressed') AS ended, n.sequence = 0 OR n.sequence = r.confirmed_through + 1 AS fits, n.status = 'success' AND n.sequence IN (1, 2) AS moved) x,
-  LATERAL (SELECT NOT n.repeated AND NOT x.ended AND x.fits AS taken) y)"""
+  LATERAL (SELECT r.status IN ('sent', 'failed', 'blocked', 'suppressed') AS ended, n.sequence = 0 OR n.sequence = r.confirmed_through + 1 AS fits, n.status = 'success' AND n.sequence IN (1, 2) AS moved, list_contains(r.ids, n.attempt_id) AS again) x,
+  LATERAL (SELECT NOT x.again AND NOT x.ended AND x.fits AS taken) y)"""
 PATCH = """pp AS (SELECT *, telegram_id % 3 <> 0 AS patched FROM preferences),
 p AS (SELECT telegram_id, CASE WHEN patched AND telegram_id % 2 = 0 THEN 'EUROPE,ASIA' WHEN patched AND telegram_id % 5 = 0 THEN '' ELSE region END AS regions, category AS categories,
   CASE WHEN patched AND telegram_id % 4 = 1 THEN '07:30' ELSE delivery_time END AS delivery_time, CASE WHEN patched AND telegram_id % 7 = 1 THEN 'Mars/Base' ELSE timezone END AS timezone,
@@ -253,7 +255,7 @@ ORACLE_SQL = {
     "due_deliveries": f"{with_('deliveries', 'subscribers')} SELECT id, telegram_id, status, created_nano, next_attempt_nano FROM deliveries JOIN subscribers USING (telegram_id) WHERE active AND status IN ('due', 'retry') AND (next_attempt_nano IS NULL OR next_attempt_nano <= {DUE_NANO}) ORDER BY created_nano, id LIMIT 100",
     "pending_messages": f"{with_('deliveries')} SELECT id AS delivery_id, count(*) AS n, min(s)::INTEGER AS next FROM deliveries, (SELECT unnest([1, 2, 3]) AS s) WHERE s > confirmed_through GROUP BY id",
     "delivery_outcomes": digests.recursive(f"{with_('attempts')}, {REPORTS}") + " SELECT delivery_id, status, attempt, confirmed_through, next_attempt_nano, inactive, accepted, duplicate, terminal, conflict FROM run QUALIFY row_number() OVER (PARTITION BY delivery_id ORDER BY nth DESC) = 1",
-    "suppressed_deliveries": f"""{with_('deliveries')}, it AS (SELECT 'del_' || l_orderkey AS id, l_partkey % 90 = 5 AS bare, 's' || (l_suppkey % 40) AS sid, l_suppkey % 40 % 9 = 4 OR l_suppkey % 50 = 7 AS bad FROM lineitem WHERE l_orderkey % 10 = 3),
+    "suppressed_deliveries": f"""{with_('deliveries')}, it AS (SELECT 'del_' || l_orderkey AS id, l_partkey % 90 = 5 AS bare, 's' || (l_suppkey % 40) AS sid, l_suppkey % 40 % 9 = 4 OR l_suppkey % 50 = 7 AS bad FROM lineitem),
 chk AS (SELECT id, bool_or(bare) AS any_bare, coalesce(list_sort(list(DISTINCT sid) FILTER (bad AND NOT bare)), []) AS off FROM it GROUP BY id),
 d AS (SELECT d.*, CASE WHEN any_bare THEN [] ELSE off END AS off, split_part(d.id, '_', 2)::BIGINT % 7 = 0 AS stale FROM deliveries d JOIN chk USING (id) WHERE any_bare OR len(off) > 0),
 a AS (SELECT *, CASE WHEN status NOT IN ('due', 'retry') THEN 'terminal' WHEN stale THEN 'conflict' ELSE 'applied' END AS answer FROM d)
@@ -274,13 +276,13 @@ CASE WHEN NOT active THEN 'inactive' WHEN r.source_id IS NULL THEN 'unknown sour
     "preferences_valid": f"{with_('preferences')}, {PATCH} SELECT CASE WHEN timezone = 'Mars/Base' THEN 'timezone' WHEN max_items NOT BETWEEN 5 AND 10 THEN 'max_items' ELSE 'fine' END AS problem, CASE WHEN max_items <= 0 THEN 10 ELSE greatest(5, least(10, max_items)) END AS \"limit\", CASE WHEN max_items < 1 OR max_items > 10 THEN 10 WHEN max_items < 5 THEN 5 ELSE max_items END AS stored, count(*) AS n FROM p GROUP BY ALL",
     "preferences_text": f"""{with_('preferences')} SELECT telegram_id, replace(region, 'MIDDLE EAST', 'MIDDLE') || ',X' AS regions, delivery_time, CASE WHEN telegram_id % 4 = 0 THEN 'Nowhere' ELSE timezone END AS timezone, max_items,
 concat_ws(',', CASE WHEN telegram_id % 5 = 0 THEN 'colour:unknown' END, CASE WHEN telegram_id % 4 = 0 THEN 'timezone:invalid' END, CASE WHEN max_items NOT BETWEEN 5 AND 10 THEN 'max:invalid' END) AS errors FROM preferences""",
-    "upsert_signals": f"{with_('signals')} SELECT id, CASE WHEN published_nano % 2000000000 = 0 THEN upper(startup_name) ELSE startup_name END AS startup_name, source_id, published_nano FROM signals WHERE source_id <> 'Brand#7' OR published_nano % 2000000000 = 0",
+    "upsert_signals": f"{with_('signals')} SELECT id, CASE WHEN published_nano % 2000000000 = 0 OR source_id = 'Brand#7' THEN upper(startup_name) ELSE startup_name END AS startup_name, source_id, published_nano FROM signals",
     "upsert_health": f"""{with_('health')}, h AS (SELECT *, split_part(source_id, '#', 2)::BIGINT AS k FROM health)
-SELECT source_id, CASE WHEN k % 2 = 0 THEN 'ok' ELSE status END AS status, last_ingestion_nano,
-CASE WHEN k % 2 = 0 AND last_attempt_nano % 7000000000 = 0 THEN last_attempt_nano + 5 WHEN k % 3 <> 0 THEN last_attempt_nano END AS last_attempt_nano FROM h WHERE k % 3 <> 0 OR k % 2 = 0""",
-    "upsert_deliveries": f"""{with_('deliveries')}, d AS (SELECT *, split_part(id, '_', 2)::BIGINT AS k FROM deliveries)
-SELECT id, CASE WHEN k % 3 = 0 AND (k % 4 = 0 OR status <> 'sent') THEN 'retry' ELSE status END AS status, CASE WHEN k % 3 = 0 AND (k % 4 = 0 OR status <> 'sent') THEN 2 ELSE attempt END AS attempt,
-CASE WHEN k % 4 = 0 THEN 0 ELSE confirmed_through END AS confirmed_through, CASE WHEN k % 4 = 0 THEN created_nano + 1 ELSE created_nano END AS created_nano FROM d WHERE k % 4 <> 0 OR k % 3 = 0""",
+SELECT source_id, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'ok' ELSE status END AS status, last_ingestion_nano,
+CASE WHEN (k % 2 = 0 OR k % 3 = 0) AND last_attempt_nano % 7000000000 = 0 THEN last_attempt_nano + 5 WHEN k % 3 <> 0 THEN last_attempt_nano END AS last_attempt_nano FROM h""",
+    "upsert_deliveries": f"""{with_('deliveries')}, d AS (SELECT *, split_part(id, '_', 2)::BIGINT % 4 = 0 AS absent, split_part(id, '_', 2)::BIGINT % 3 = 0 AS replayed FROM deliveries)
+SELECT id, CASE WHEN absent OR (replayed AND status <> 'sent') THEN 'retry' ELSE status END AS status, CASE WHEN absent OR (replayed AND status <> 'sent') THEN 2 ELSE attempt END AS attempt,
+CASE WHEN absent THEN 0 ELSE confirmed_through END AS confirmed_through, CASE WHEN absent THEN created_nano + 1 ELSE created_nano END AS created_nano FROM d""",
     "render_items": f"{ITEMS_} SELECT window_id, identity, {ITEM_BLOCK} AS block FROM items",
     "translate_terms": f"""{with_('signals')} SELECT r_name AS term, CASE r_name WHEN 'ASIA' THEN 'Азия' WHEN 'EUROPE' THEN 'Европа' ELSE r_name END AS shown FROM region
 UNION ALL VALUES ('series b', 'раунд B'), ('Series  Z', 'раунд Z'), (' seed ', 'посевной раунд'), ('series aa', 'series aa'), ('Bridge', 'Bridge')
