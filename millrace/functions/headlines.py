@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACES, clean_text, squeezed
+from millrace.functions.text import SPACES, clean_text, squeezed, trimmed
 
 # What the grammars know.
 PRESS_VERBS = ("raises", "secures", "launches", "wins", "receives", "acquires", "is acquired by")
@@ -58,9 +58,9 @@ def one_company(name: Column, denied: list[str]) -> Column:
 
 def press_event(title: Column, denied: list[str]) -> Column:
     """struct(name, signal_type, funding) of a press headline, or null."""
-    t = F.trim(title)
+    t = trimmed(title)
     shape = rf"(?i)^(.+?)\s+({'|'.join(PRESS_VERBS)})\b"
-    name, verb, money = F.trim(F.regexp_extract(t, shape, 1)), F.lower(F.regexp_extract(t, shape, 2)), funding(t)
+    name, verb, money = trimmed(F.regexp_extract(t, shape, 1)), F.lower(F.regexp_extract(t, shape, 2)), funding(t)
     paid = money["amount"] != ""
     kind = (
         F.when(verb == "raises", F.when(paid, "funding"))
@@ -75,10 +75,10 @@ def press_event(title: Column, denied: list[str]) -> Column:
 
 def news_name(name: Column) -> Column:
     """A subject without where it is based, and without what stands before 'startup' or 'scaleup'."""
-    name = F.regexp_replace(F.trim(name), r"(?i)^\p{Alpha}[\p{Alpha} \-]{0,40}-based\s+", "")
+    name = F.regexp_replace(trimmed(name), r"(?i)^\p{Alpha}[\p{Alpha} \-]{0,40}-based\s+", "")
     for marker in ("startup", "scaleup"):
         name = F.regexp_replace(name, f"(?i)^.* {marker} ", "")
-    return F.trim(name)
+    return trimmed(name)
 
 
 def named(name: Column) -> Column:
@@ -90,10 +90,10 @@ def named(name: Column) -> Column:
 
 def news_event(title: Column, denied: list[str]) -> Column:
     """struct(name, signal_type, funding) of a headline of startup news, under the stricter grammar, or null."""
-    t = F.trim(title)
+    t = trimmed(title)
     shape = rf"(?i)^(.+?)\s+({'|'.join(NEWS_VERBS)})\b(.+)$"
-    name, verb, tail = news_name(F.regexp_extract(t, shape, 1)), F.lower(F.regexp_extract(t, shape, 2)), F.trim(F.regexp_extract(t, shape, 3))
-    money, low = funding(t, named_round=True), F.lower(F.trim(F.regexp_extract(t, shape, 3)))
+    name, verb, tail = news_name(F.regexp_extract(t, shape, 1)), F.lower(F.regexp_extract(t, shape, 2)), trimmed(F.regexp_extract(t, shape, 3))
+    money, low = funding(t, named_round=True), F.lower(trimmed(F.regexp_extract(t, shape, 3)))
     backed = (money["amount"] != "") | (money["round"] != "") | tail.rlike(words("funding", "investment", "round"))
     kind = (
         F.when(verb.isin("raises", "secures", "closes"), F.when(backed, "funding"))
@@ -110,11 +110,11 @@ def news_event(title: Column, denied: list[str]) -> Column:
 def show_title(raw: Column) -> Column:
     """struct(name, tagline) of a 'Show HN:' title, split at its first separator, or null."""
     title = clean_text(raw, 240)
-    rest = F.trim(F.regexp_extract(title, r"(?i)^show hn:(.*)$", 1))
+    rest = trimmed(F.regexp_extract(title, r"(?i)^show hn:(.*)$", 1))
     shape = r"^(.*?)( [–—|\-] )(.*)$"
     split = F.regexp_extract(rest, shape, 2) != ""
-    name = F.when(split, F.trim(F.regexp_extract(rest, shape, 1))).otherwise(rest)
-    tagline = F.when(split, F.trim(F.regexp_extract(rest, shape, 3))).otherwise("")
+    name = F.when(split, trimmed(F.regexp_extract(rest, shape, 1))).otherwise(rest)
+    tagline = F.when(split, trimmed(F.regexp_extract(rest, shape, 3))).otherwise("")
     parts = F.split(name, SPACES)
     first = F.lower(F.regexp_replace(F.get(parts, 0), r"^['\"(\[{]+|['\"(\[{]+$", ""))
     fine = F.char_length(name).between(2, 80) & ~name.rlike(r"[<>:!?;\n\r]") & (split | ~name.rlike(r"[,.|/\\]")) & (F.size(parts) <= 5) & ~first.isin(*SHOW_DENIED) & name.rlike(r"\p{L}")

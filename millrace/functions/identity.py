@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import alias_eligible, name_token, plain_token
+from millrace.functions.text import alias_eligible, name_token, plain_token, trimmed
 from millrace.functions.times import rfc3339
 from millrace.functions.urls import normal_url
 
@@ -41,7 +41,7 @@ def to_payload(categories: Column, funding: Column) -> Column:
 
 def fingerprint(funding: Column) -> Column:
     """Amount and currency as one token; empty unless both are known."""
-    amount, currency = plain_token(funding["amount"]), F.upper(F.trim(funding["currency"]))
+    amount, currency = plain_token(funding["amount"]), F.upper(trimmed(funding["currency"]))
     return F.when((amount != "") & (currency != ""), F.concat_ws(":", amount, currency)).otherwise("")
 
 

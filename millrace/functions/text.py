@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space for Java's expressions, whose \s is ASCII.
 SPACES = r"[\s\u0085\p{Z}]+"
+#: The characters of that white space one by one.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BIDI = r"[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 
 # Words that end a company's name, and names that are too general to identify one.
@@ -18,9 +20,14 @@ LEGAL_SUFFIXES = ("company", "corp", "corporation", "gmbh", "inc", "incorporated
 GENERIC_ALIASES = ("app", "bank", "company", "digital", "global", "group", "labs", "solutions", "systems", "tech", "ventures")
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without the white space of any script at its ends, which plain trim leaves but for spaces."""
+    return F.trim(F.col(text) if isinstance(text, str) else text, F.lit(WHITE))
+
+
 def squeezed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return trimmed(F.regexp_replace(text, SPACES, " "))
 
 
 @F.pandas_udf(StringType())
@@ -101,7 +108,7 @@ def valid_name(name: Column) -> Column:
 
 def canonical_list(values: Column) -> Column:
     """Trimmed, without empties and repeats, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: trimmed(v)), lambda v: v != "")))
 
 
 def append_once(messages: Column, message: Column) -> Column:

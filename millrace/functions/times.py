@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import trimmed
+
 DAY = 86_400 * 10**9
 #: Marks a stored text time that cannot be read.
 CORRUPT = -(2**63)
@@ -63,7 +65,7 @@ def valid_clock(clock: Column) -> Column:
 
 def feed_time(text: Column) -> Column:
     """Epoch microseconds of a feed's date in RFC 3339, RFC 1123 or RFC 822, numeric or named zone; null where none fits."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = trimmed(F.coalesce(text, F.lit("")))
     plain = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
     named = F.regexp_replace(plain, " (GMT|UTC|UT|Z)$", " +0000")
     year = F.regexp_replace(named, r"^(\d{1,2} [A-Za-z]{3}) (\d{2}) ", "$1 20$2 ")

@@ -9,6 +9,8 @@ from urllib.parse import quote, quote_plus, unquote, unquote_to_bytes, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from millrace.functions.text import trimmed
 from pyspark.sql.types import BooleanType, StringType
 
 # Query keys that only track, and prefixes of such keys.
@@ -39,7 +41,7 @@ def tracking(key: Column) -> Column:
 def normal_simple(url: Column) -> Column:
     """Normal form of an https URL that SIMPLE matches; null for others: lower-case host, no default port, fragment or
     lone slash, query pairs without tracking sorted by key (stable among equal keys)."""
-    url = F.trim(url)
+    url = trimmed(url)
     part = lambda k: F.regexp_extract(url, PARTS, k)
     host = F.regexp_replace(F.lower(part(2)), ":443$", "")
     port = F.regexp_extract(part(2), ":([0-9]+)$", 1)
@@ -84,13 +86,13 @@ def normal_any(url: pd.Series) -> pd.Series:
 
 def normal_url(url: Column) -> Column:
     """Normal form, or null where the URL is rejected: natively for simple URLs, others go to an Arrow UDF."""
-    simple = F.trim(url).rlike(SIMPLE)
+    simple = trimmed(url).rlike(SIMPLE)
     return F.when(simple, normal_simple(url)).otherwise(normal_any(F.when(~simple, url)))
 
 
 def reject_reason(url: Column) -> Column:
     """Why a URL is not a safe https URL; null where it is."""
-    u = F.trim(F.coalesce(url, F.lit("")))
+    u = trimmed(F.coalesce(url, F.lit("")))
     place = F.regexp_extract(u, PARTS, 2)
     return (
         F.when(u == "", "missing")
@@ -103,7 +105,7 @@ def reject_reason(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host and port."""
-    return F.lower(F.regexp_extract(F.trim(url), PARTS, 2))
+    return F.lower(F.regexp_extract(trimmed(url), PARTS, 2))
 
 
 def allowed_host(url: Column, hosts: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import trimmed
 from millrace.functions.scoring import stored_limit
 from millrace.functions.times import valid_clock
 
@@ -41,11 +42,11 @@ def invalid(clock: Column, zone: Column, most: Column, zones: list[str]) -> Colu
 
 def parsed(text: Column, zones: list[str]) -> Column:
     """struct of the fields of `regions=a,b time=09:00 timezone=UTC max=7`, and errors by key."""
-    tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(trimmed(text), r"\s+"), lambda t: t != "")
     key = lambda t: F.lower(F.split_part(t, F.lit("="), F.lit(1)))
     value = lambda t: F.substring(t, F.locate("=", t) + 1, F.char_length(t))
     of = lambda name: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(tokens, lambda t: t.contains("=") & (key(t) == name)), value)), -1)
-    many = lambda name: F.when(of(name).isNotNull(), F.filter(F.transform(F.split(of(name), ","), lambda v: F.trim(v)), lambda v: v != ""))
+    many = lambda name: F.when(of(name).isNotNull(), F.filter(F.transform(F.split(of(name), ","), lambda v: trimmed(v)), lambda v: v != ""))
     known = ("regions", "categories", "time", "timezone", "max")
     most = of("max").try_cast("int")
     errors = F.array_compact(

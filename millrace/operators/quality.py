@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import identity as ids
-from millrace.functions.text import squeezed, valid_name
+from millrace.functions.text import squeezed, trimmed, valid_name
 from millrace.functions.urls import normal_url
 
 # Fixed values.
@@ -28,7 +28,7 @@ def gated(records: DataFrame, now_nano: int, max_age: int | None, max_skew: int
     """records (source_id, startup_name, source_url, canonical_url, signal_type, published_nano, description, region,
     categories, funding, raw_payload) with trimmed values, id, raw_payload and reason (null: passed)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    r = records.withColumns({"source_id": F.trim(text("source_id")), "startup_name": squeezed(text("startup_name")), "source_url": F.trim(text("source_url")), "canonical_url": F.trim(text("canonical_url")), "signal_type": F.lower(F.trim(text("signal_type"))), "description": F.trim(text("description")), "region": F.trim(text("region"))})
+    r = records.withColumns({"source_id": trimmed(text("source_id")), "startup_name": squeezed(text("startup_name")), "source_url": trimmed(text("source_url")), "canonical_url": trimmed(text("canonical_url")), "signal_type": F.lower(trimmed(text("signal_type"))), "description": trimmed(text("description")), "region": trimmed(text("region"))})
     r = r.withColumn("signal_type", F.when(F.col("signal_type") == "", "news").otherwise(F.col("signal_type")))
     r = r.withColumns({"_url": normal_url(F.col("source_url")), "_canonical": F.when(F.col("canonical_url") != "", normal_url(F.col("canonical_url")))})
     late = fresh(F.col("published_nano"), now_nano, max_age, max_skew)

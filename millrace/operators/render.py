@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import escape_html
+from millrace.functions.text import escape_html, trimmed
 from millrace.operators.selection import source_keys
 
 LIMIT = 4096
@@ -79,12 +79,12 @@ EMPTY = "Подходящих стартапов за этот день не н
 def translated(value: Column, terms: dict[str, str]) -> Column:
     """The term's translation, or the value as it is, trimmed."""
     known = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(F.trim(value))), F.trim(value))
+    return F.coalesce(F.element_at(known, F.lower(trimmed(value))), trimmed(value))
 
 
 def round_name(value: Column) -> Column:
-    letter = F.regexp_extract(F.lower(F.trim(value)), r"^series\s+([a-z])$", 1)
-    return F.when(F.lower(F.trim(value)).isin(*ROUNDS) | (letter == ""), translated(value, ROUNDS)).otherwise(F.concat(F.lit("раунд "), F.upper(letter)))
+    letter = F.regexp_extract(F.lower(trimmed(value)), r"^series\s+([a-z])$", 1)
+    return F.when(F.lower(trimmed(value)).isin(*ROUNDS) | (letter == ""), translated(value, ROUNDS)).otherwise(F.concat(F.lit("раунд "), F.upper(letter)))
 
 
 def category_names(values: Column) -> Column:
@@ -97,8 +97,8 @@ def optional(condition: Column, *parts: Column | str) -> Column:
 
 
 def funding_facts(f: Column) -> Column:
-    amount = F.concat_ws(" ", F.nullif(F.trim(f["amount"]), F.lit("")), F.when(F.trim(f["amount"]) != "", F.nullif(F.trim(f["currency"]), F.lit(""))))
-    return F.concat_ws(", ", optional(F.trim(f["round"]) != "", round_name(f["round"])), F.nullif(amount, F.lit("")), optional(F.size(f["investors"]) > 0, "инвесторы: ", F.array_join(f["investors"], ", ")))
+    amount = F.concat_ws(" ", F.nullif(trimmed(f["amount"]), F.lit("")), F.when(trimmed(f["amount"]) != "", F.nullif(trimmed(f["currency"]), F.lit(""))))
+    return F.concat_ws(", ", optional(trimmed(f["round"]) != "", round_name(f["round"])), F.nullif(amount, F.lit("")), optional(F.size(f["investors"]) > 0, "инвесторы: ", F.array_join(f["investors"], ", ")))
 
 
 def funding_reason(f: Column) -> Column:
@@ -109,20 +109,20 @@ def funding_reason(f: Column) -> Column:
 
 
 def has_funding(f: Column) -> Column:
-    return (F.trim(f["round"]) != "") | (F.trim(f["amount"]) != "") | (F.trim(f["currency"]) != "") | (F.size(f["investors"]) > 0)
+    return (trimmed(f["round"]) != "") | (trimmed(f["amount"]) != "") | (trimmed(f["currency"]) != "") | (F.size(f["investors"]) > 0)
 
 
 def description(i: Column) -> Column:
     """The item's own text, or one made of what is known; empty where nothing is."""
-    facts = F.concat_ws("; ", optional(F.size(i["categories"]) > 0, "сфера — ", category_names(i["categories"])), optional(F.trim(i["region"]) != "", "регион — ", translated(i["region"], REGIONS)))
+    facts = F.concat_ws("; ", optional(F.size(i["categories"]) > 0, "сфера — ", category_names(i["categories"])), optional(trimmed(i["region"]) != "", "регион — ", translated(i["region"], REGIONS)))
     made = F.when(facts != "", F.concat(F.lit("Стартап: "), facts, F.lit("."))).otherwise(
-        F.coalesce(optional(F.trim(i["signal_type"]) != "", "Стартап с актуальным сигналом: ", translated(i["signal_type"], SIGNALS), "."), F.lit(""))
+        F.coalesce(optional(trimmed(i["signal_type"]) != "", "Стартап с актуальным сигналом: ", translated(i["signal_type"], SIGNALS), "."), F.lit(""))
     )
-    return F.when(F.trim(i["description"]) != "", F.trim(i["description"])).otherwise(made)
+    return F.when(trimmed(i["description"]) != "", trimmed(i["description"])).otherwise(made)
 
 
 def why_interesting(i: Column) -> Column:
-    kind, f = F.lower(F.trim(i["signal_type"])), i["funding"]
+    kind, f = F.lower(trimmed(i["signal_type"])), i["funding"]
     known = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
     sources = F.size(source_keys(i["sources"]))
     return F.concat_ws(
@@ -130,7 +130,7 @@ def why_interesting(i: Column) -> Column:
         F.element_at(known, kind),
         F.when((kind == "funding") | has_funding(f), funding_reason(f)),
         optional(F.size(i["categories"]) > 0, "Фокус проекта: ", category_names(i["categories"]), "."),
-        optional(F.trim(i["region"]) != "", "Регион проекта: ", translated(i["region"], REGIONS), "."),
+        optional(trimmed(i["region"]) != "", "Регион проекта: ", translated(i["region"], REGIONS), "."),
         optional(sources > 1, "Сигнал отмечен в ", sources.cast("string"), " независимых источниках."),
     )
 
@@ -200,10 +200,10 @@ def oversized(i: Column, limit: Column) -> Column:
 
 def metadata(date: Column, zone: Column) -> Column:
     """'8 января 2024 · Europe/Berlin'; a date that is none is shown as it is."""
-    day = F.try_to_date(F.trim(date), "yyyy-MM-dd")
+    day = F.try_to_date(trimmed(date), "yyyy-MM-dd")
     long = F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.get(F.array(*map(F.lit, MONTHS)), F.month(day) - 1), F.lit(" "), F.year(day).cast("string"))
-    shown = F.coalesce(F.when(day.isNotNull(), long), F.trim(date))
-    return F.concat_ws(" · ", F.nullif(shown, F.lit("")), F.nullif(F.trim(zone), F.lit("")))
+    shown = F.coalesce(F.when(day.isNotNull(), long), trimmed(date))
+    return F.concat_ws(" · ", F.nullif(shown, F.lit("")), F.nullif(trimmed(zone), F.lit("")))
 
 
 def header(date: Column, zone: Column) -> Column:
@@ -211,21 +211,28 @@ def header(date: Column, zone: Column) -> Column:
     return F.concat(F.lit("🚀 <b>Стартапы дня</b>"), F.coalesce(optional(known != "", "\n<i>", escape_html(known), "</i>"), F.lit("")))
 
 
+def plain_header(date: Column, zone: Column) -> Column:
+    """The header without markup, which may be cut."""
+    return F.concat_ws("\n", F.lit("🚀 Стартапы дня"), F.nullif(metadata(date, zone), F.lit("")))
+
+
 def messages(digests: DataFrame, limit: int = LIMIT, approved: dict | None = None) -> DataFrame:
     """digests (any key columns, digest_date, timezone, items: array in order of place) as (keys, sequence, text).
 
     Every message begins with the header; blocks are put in as long as the message stays within `limit` bytes. A block
-    that is too long alone is shortened; a digest without items says so.
+    that is too long alone is shortened; a digest without items says so. A header, and what an empty digest says, that is
+    over the limit goes without markup and is cut.
     """
     keys = [c for c in digests.columns if c not in ("digest_date", "timezone", "items")]
-    head = header(F.col("digest_date"), F.col("timezone"))
-    rows = digests.select(*keys, head.alias("head"), "items").withColumn("room", F.lit(limit) - F.octet_length("head") - 2)
+    head, plain = header(F.col("digest_date"), F.col("timezone")), plain_header(F.col("digest_date"), F.col("timezone"))
+    fitting = lambda text, bare: F.when(F.octet_length(text) <= limit, text).otherwise(truncated(bare, F.lit(limit)))
+    rows = digests.select(*keys, fitting(head, plain).alias("head"), plain.alias("plain"), "items").withColumn("room", F.lit(limit) - F.octet_length("head") - 2)
     # one row an item: blocks are built once each, and joined again in order of place
-    blocks = rows.select(*keys, "head", "room", F.explode_outer("items").alias("i"))
+    blocks = rows.select(*keys, "head", "plain", "room", F.explode_outer("items").alias("i"))
     shown = block(F.col("i"), approved)
     blocks = blocks.withColumn("block", F.when(F.col("i").isNotNull(), shown))
     blocks = blocks.withColumn("block", F.when(F.octet_length("block") > F.col("room"), oversized(F.col("i"), F.col("room"))).otherwise(F.col("block")))
-    rows = blocks.groupBy(*keys, "head", "room").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct(F.col("i.place").alias("place"), F.col("block").alias("block"))))).alias("blocks"))
+    rows = blocks.groupBy(*keys, "head", "plain", "room").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct(F.col("i.place").alias("place"), F.col("block").alias("block"))))).alias("blocks"))
     packed = F.aggregate(
         "blocks",
         F.struct(F.array().cast("array<string>").alias("done"), F.col("head").alias("now")),
@@ -235,5 +242,5 @@ def messages(digests: DataFrame, limit: int = LIMIT, approved: dict | None = Non
         ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], F.lit("\n\n"), b["block"]).alias("now"))),
         lambda s: F.concat(s["done"], F.array(s["now"])),
     )
-    texts = F.when(F.size("blocks") == 0, F.array(F.concat(F.col("head"), F.lit(f"\n\n{EMPTY}")))).when(F.col("room") <= 0, F.array(F.col("head"))).otherwise(packed)
+    texts = F.when(F.size("blocks") == 0, F.array(fitting(F.concat(F.col("head"), F.lit(f"\n\n{EMPTY}")), F.concat(F.col("plain"), F.lit(f"\n\n{EMPTY}"))))).when(F.col("room") <= 0, F.array(F.col("head"))).otherwise(packed)
     return rows.select(*keys, F.posexplode(texts).alias("at", "text")).select(*keys, (F.col("at") + 1).alias("sequence"), "text")

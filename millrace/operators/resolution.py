@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import trimmed
+
 
 def resolved(config: DataFrame, registry: DataFrame) -> DataFrame:
     """config (source_id, active, access_method, credentials: array) against registry (source_id, access_method,
@@ -37,8 +39,8 @@ def bad_catalog(catalog: DataFrame) -> DataFrame:
     repeated = catalog.groupBy("source_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
     rows = catalog.join(repeated, "source_id", "left")
     why = (
-        F.when(F.coalesce(F.trim("source_id"), F.lit("")) == "", "id")
-        .when(F.coalesce(F.trim("display_name"), F.lit("")) == "", "name")
+        F.when(F.coalesce(trimmed("source_id"), F.lit("")) == "", "id")
+        .when(F.coalesce(trimmed("display_name"), F.lit("")) == "", "name")
         .when(F.col("repeated"), "duplicate")
         .when(~F.col("access_method").isin("rss", "atom", "api", "sample"), "access_method")
         .when(~F.coalesce(F.col("url"), F.lit("")).startswith("https://"), "url")
