@@ -84,7 +84,8 @@ def numbered(features: list[Column], sizes: list[int]) -> Column:
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """rows (text, id, ...) with `words`, the distinct buckets of words and of neighbouring pairs, in place of the text."""
+    """rows (text, id, ...) with `words`, the distinct buckets of words and of neighbouring pairs in two bytes each, in place
+    of the text."""
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +94,19 @@ def with_words(rows: DataFrame) -> DataFrame:
             pair = of[1:] == of[:-1]
             both = mixed(h[:-1][pair] * STEP + h[1:][pair])
             keys = np.unique(np.concatenate([of, of[1:][pair]]) * WORDS + (np.concatenate([h, both]) >> np.uint64(48)).astype(np.int64))
-            at = np.searchsorted(keys, np.arange(len(b) + 1) * WORDS).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(at), pa.array((keys % WORDS).astype(np.int32)))
+            at = 2 * np.searchsorted(keys, np.arange(len(b) + 1) * WORDS).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(at), pa.py_buffer((keys % WORDS).astype("<u2"))])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), words], names=[*kept, "words"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return map_arrow(rows.select("text", *kept), run, f"{types}, words array<int>")
+    return map_arrow(rows.select("text", *kept), run, f"{types}, words binary")
 
 
-def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of a column of lists."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists, or of values in two bytes each."""
+    if pa.types.is_binary(column.type):
+        values = [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+        return np.repeat(np.arange(len(values)), [len(x) for x in values]), np.concatenate([np.zeros(0, "<u2"), *values])
     n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(n)), n), column.flatten().to_numpy()
 
@@ -283,8 +287,10 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
         numbered(text_view(F.col("text")), TEXT_SIZES).alias("shape"),
         numbered(meta_view(F.col("lang"), F.col("source"), F.col("n_chars")), META_SIZES).alias("meta"),
     )
-    truth = labels.where("quality IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    # a stage has a size, by which Spark decides whether the labels go to the features or both are dealt out
+    truth = staged(labels.where("quality IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality")))
     rows = staged(with_words(features).join(truth, "id", "left"))
+    dropped(truth)
     model = co_trained(rows.drop("id"), rounds)
     n = rows.where((F.col("fold") == CALIBRATED) & F.col("quality").isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
     prior = math.log((n[1] + 1) / (n[0] - n[1] + 1))
