@@ -66,6 +66,21 @@ def migrated(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
 
 
+def save_snapshots(old: DataFrame, runs: DataFrame, items: DataFrame, key: str = "digest_id") -> DataFrame:
+    """The items of all digests after these runs were saved anew: a run's old items go, those given for it come, also where
+    there are none. Items of no given run, and repeated runs, change nothing. Write it with swap(): readers see all of it
+    or none."""
+    saved = runs.select(key).distinct()
+    return old.join(saved, key, "left_anti").unionByName(items.join(saved, key, "left_semi").select(*old.columns))
+
+
+def save_ingestion(signals: DataFrame, health: DataFrame, new_signals: DataFrame, new_health: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signals and health after one ingestion of sources: only signals of the sources whose health is reported are taken,
+    and both tables belong to one version."""
+    own = new_signals.join(new_health.select("source_id").distinct(), "source_id", "left_semi").select(*signals.columns)
+    return save_signals(signals, own), save_health(health, new_health)
+
+
 def replace_parts(rows: DataFrame, path: str, part: str) -> None:
     """Writes rows, replacing exactly the parts of the table that they have; others stay. Rows are dealt by part, so a
     part is one file unless it is large."""

@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import digests, services, streams, texts
+from millrace.plans import digests, services, stores, streams, texts
 
-MODULES = [digests, texts, services, streams]
+MODULES = [digests, texts, services, stores, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
