@@ -283,7 +283,8 @@ def possible(members: DataFrame, percent: int) -> DataFrame:
     of_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = of_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
+    # a stage has a size, by which Spark decides whether it goes to the members; so a large cluster need not meet its row
+    sizes = staged(sizes.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")))
     placed = members.join(sizes, "cluster").withColumn("at", F.xxhash64("id"))
     block = F.when(F.col("label") == F.col("top"), F.col("others") + F.pmod("at", F.col("tops"))).otherwise(F.pmod("at", F.col("others"))).cast("int")
     placed = placed.withColumn("block", block)
