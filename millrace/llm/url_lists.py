@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import dropped, staged, table
 
 SALTS = 16
-URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
+URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
 def host_of(url: Column) -> Column:
@@ -38,11 +38,13 @@ def intervals(changes: DataFrame) -> DataFrame:
     return log.withColumn("valid_to", F.lead("at").over(order)).where("change = 'add'").select("pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
 
-def shapes_of(changes: DataFrame) -> DataFrame:
-    """One row: the numbers of labels and of path segments that the patterns of a log have, each pair once."""
+def shapes_of(log: DataFrame) -> Column:
+    """The numbers of labels and of path segments that the patterns of a log have, each pair once. There are as many as
+    hosts can have labels and paths of the list segments, whatever the list's length."""
     parts = F.split("pattern", "/")
-    shape = F.struct(F.size(F.split(parts[0], r"\.")).alias("labels"), (F.size(parts) - 1).alias("depth"))
-    return changes.where("pattern IS NOT NULL AND change = 'add'").agg(F.collect_set(shape).alias("shapes"))
+    shapes = log.where("change = 'add'").select(F.size(F.split(parts[0], r"\.")).alias("labels"), (F.size(parts) - 1).alias("depth")).distinct().collect()
+    none = F.array().cast("array<struct<labels:int,depth:int>>")
+    return F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["depth"]).alias("depth")) for r in sorted(shapes)]) if shapes else none
 
 
 def keys_of(host: Column, path: Column, shapes: Column) -> Column:
@@ -58,16 +60,18 @@ def filtered(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", u
 
     decision is the action of the longest active pattern, at equal length of the one added last, then `block` before
     `allow`; `pass` where none is active; `invalid` where the url is null or has no host. A capture without a time is
-    matched by nothing. Equal captures give equal rows. Other columns are not read. Captures of one host are spread
-    over SALTS keys, for each of which the entries are repeated; the rows of a capture are brought together on it.
+    matched by nothing. Equal captures give equal rows. Other columns are not read. Empty tables give empty ones, or
+    pass all. The entries are written first, so that Spark knows their size: a list that is small enough goes to the
+    captures, for a larger one both are dealt out by pattern, captures of one host spread over SALTS keys.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
     host = F.when(host_of(F.col("url")) != "", host_of(F.col("url")))
     rows = rows.withColumns({"host": host, "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
-    rows = rows.crossJoin(F.broadcast(shapes_of(changes)))
-    keys = F.when(F.col("host").isNotNull() & F.col("at").isNotNull(), keys_of(F.col("host"), F.col("path"), F.col("shapes")))
+    log = staged(changes.select("pattern", "action", "at", "change").dropna())
+    keys = F.when(F.col("host").isNotNull() & F.col("at").isNotNull(), keys_of(F.col("host"), F.col("path"), shapes_of(log)))
     rows = rows.select("id", "url", "at", "host", F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode_outer(keys).alias("k", "pattern"))
-    entries = intervals(changes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    entries = staged(intervals(log)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped(log)
     active = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     found = rows.join(entries, ["pattern", "salt"], "left")
     match = F.when(active, F.struct(F.char_length("pattern").alias("length"), "valid_from", (F.col("action") == "block").alias("first"), "pattern", "action"))
@@ -122,8 +126,8 @@ def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, url, make_timestamp((1704067200 + page_id % 400 * 86400 + page_id % 86400) * 1000000) AS fetched_at,
-         nullif(lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.')), '') AS host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?', 2) AS path
+         nullif(lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1), '.')), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?(/[^?#]*)?', 2) AS path
   FROM pages
 ), h AS (
   SELECT host, ascii(substr(md5(host), 1, 1)) % 16 AS kind, ascii(substr(md5(host), 2, 1)) % 16 * 20 AS begun,

@@ -131,11 +131,13 @@ def test_url_lists_as_of(spark):
 def test_url_lists_of_any_depth(spark):
     host = "h.g.f.e.d.c.b.a.test"
     patterns = ["x.example/a/b/c/d/e", "x.example/a", "b.a.test", "f.e.d.c.b.a.test", f"{host}/p/q/r/s", "g.f.e.d.c.b.a.test/p"]
+    patterns += ["[2001:db8::1]", "[2001:db8::2]/x"]
     changes = [(p, "allow" if p == "x.example/a" else "block", day(0), "add") for p in patterns]
     want = {
         "https://x.example/a/b/c/d/e/f": ("block", "x.example/a/b/c/d/e"), "https://y.x.example/a/b/c/d/e": ("block", "x.example/a/b/c/d/e"), "https://x.example/a/b/c/d/ee": ("allow", "x.example/a"),
         f"https://{host}/": ("block", "f.e.d.c.b.a.test"), f"https://{host}/p/q": ("block", "g.f.e.d.c.b.a.test/p"), f"https://{host}/p/q/r/s/t": ("block", f"{host}/p/q/r/s"),
         "https://i.b.a.test/p/q/r/s": ("block", "b.a.test"), "https://a.test/p": ("pass", None),
+        "https://[2001:db8::1]:8443/x": ("block", "[2001:db8::1]"), "https://u@[2001:DB8::2]/x/y": ("block", "[2001:db8::2]/x"), "https://[2001:db8::2]/y": ("pass", None),
     }
     df = spark.createDataFrame([(k, u, day(1)) for k, u in enumerate(want)], "page_id long, url string, fetched_at timestamp")
     got = url_lists.filtered(df, spark.createDataFrame(changes, "pattern string, action string, at timestamp, change string"))
