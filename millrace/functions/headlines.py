@@ -25,6 +25,7 @@ GENERIC_WORDS = ("app", "application", "company", "platform", "product", "servic
 CURRENCIES = {"£": "GBP", "$": "USD", "€": "EUR"}
 SHOW_DENIED = ("a", "an", "i", "we", "my", "our", "how", "why", "what", "when", "build", "building", "built", "create", "deploy", "find", "get", "getting", "launch", "make", "made", "run", "turn", "turning", "use", "using")
 
+# The forms of money and rounds in titles.
 AMOUNT = r"(?i)([£$€])(\d+(?:\.\d+)?)\s*(million|billion|m|bn)\b"
 ROUND = r"(?i)\b(pre-seed|seed|series\s+[a-z]|growth)\b"
 NAMED_ROUND = r"(?i)\b(?:(pre-seed|seed|growth)\s+(?:funding\s+)?round|(series\s+[a-z]))\b"

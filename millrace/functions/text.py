@@ -124,9 +124,9 @@ def redact(text: Column, secrets: list[str]) -> Column:
     return text
 
 
-#: Kinds of source failures that may be shown; all others are shown as the last one.
-FAILURE_KINDS = ("timeout", "network", "http_status", "content_type", "too_large", "invalid_xml", "unsupported_xml", "redirect", "internal")
+# Kinds of feed failures that may be shown. All others are shown as the first.
+FAILURE_KINDS = ("network", "timeout", "redirect_policy", "http_status", "content_type", "response_size", "too_many_items", "invalid_xml", "unsupported_xml", "invalid_json")
 
 
 def shown_failure(kind: Column) -> Column:
-    return F.when(kind.isin(*FAILURE_KINDS), kind).otherwise(FAILURE_KINDS[-1])
+    return F.when(kind.isin(*FAILURE_KINDS), kind).otherwise(FAILURE_KINDS[0])

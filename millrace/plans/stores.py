@@ -143,7 +143,7 @@ SELECT event_id, stamp, CASE stamp WHEN '' THEN NULL WHEN 'yesterday' THEN {time
     "attempt_ids": f"""{with_('attempts')}, j AS (SELECT event_id, '{{"delivery_id":"' || delivery_id || '","attempted_at":"' || strftime(make_timestamp(({START} + event_id % 1000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '","status":"' || status || '",'
 || CASE WHEN event_id % 2 = 0 THEN '"sequence":' || (event_id % 3) || ',' ELSE '' END || '"telegram_message_id":' || event_id || ',"error_code":"e","error_message":"\\u003c' || status || '\\u003e \\u0026 more"}}' AS t FROM attempts)
 SELECT event_id, 'attempt-' || sha256(t) AS id FROM j""",
-    "failure_notes": f"""{with_('health')} SELECT source_id, 'token [redacted] of ' || status || '; timeout' || CASE status WHEN 'ok' THEN '' ELSE '; ' || status END AS notes, CASE status WHEN 'failed' THEN 'timeout' ELSE 'internal' END AS kind FROM health""",
+    "failure_notes": f"""{with_('health')} SELECT source_id, 'token [redacted] of ' || status || '; timeout' || CASE status WHEN 'ok' THEN '' ELSE '; ' || status END AS notes, CASE status WHEN 'failed' THEN 'timeout' ELSE 'network' END AS kind FROM health""",
     "schedule_after_last": f"""{with_('preferences')}, a AS (SELECT *, epoch_us((strftime(TIMESTAMPTZ '{NOW}+00' AT TIME ZONE timezone, '%Y-%m-%d') || ' ' || delivery_time || ':00')::TIMESTAMP AT TIME ZONE timezone) * 1000 AS due_nano FROM preferences)
 SELECT telegram_id, {NOW_NANO} >= due_nano AND (telegram_id % 3 = 0 OR {NOW_NANO} - telegram_id % 48 * 3600000000000 < due_nano) AS due FROM a""",
     "catalog_problems": """SELECT CASE k WHEN 1 THEN 'id' WHEN 2 THEN 'duplicate' WHEN 3 THEN 'name' WHEN 4 THEN 'access_method' WHEN 5 THEN 'url' WHEN 6 THEN 'cadence' END AS problem, CASE WHEN k <= 2 THEN 1 ELSE n END AS n
