@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from millrace.session import shipped
+
 #: Unicode white space for Java's expressions, whose \s is ASCII.
 SPACES = r"[\s\u0085\p{Z}]+"
 #: The characters of that white space one by one.
@@ -30,12 +32,14 @@ def squeezed(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, SPACES, " "))
 
 
+@shipped
 @F.pandas_udf(StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """All HTML entities; for text that has others than the common five."""
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+@shipped
 @F.pandas_udf(ArrayType(StringType()))
 def unescape_each(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [None if x is None else html.unescape(x) for x in v])

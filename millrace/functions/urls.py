@@ -9,9 +9,10 @@ from urllib.parse import quote, quote_plus, unquote, unquote_to_bytes, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from millrace.functions.text import trimmed
-from pyspark.sql.types import BooleanType, StringType
+from millrace.session import shipped
 
 # Query keys that only track, and prefixes of such keys.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid")
@@ -79,6 +80,7 @@ def normal_form(raw: str | None) -> str | None:
     return f"https://{place}{path}" + (f"?{query}" if query else "")
 
 
+@shipped
 @F.pandas_udf(StringType())
 def normal_any(url: pd.Series) -> pd.Series:
     return url.map(normal_form, na_action="ignore")
@@ -123,6 +125,7 @@ def public_address(address: str | None) -> bool:
     return not any(ip in ipaddress.ip_network(n) for n in NON_PUBLIC if ipaddress.ip_network(n).version == ip.version)
 
 
+@shipped
 @F.pandas_udf(BooleanType())
 def is_public_address(address: pd.Series) -> pd.Series:
     return address.map(public_address).astype(bool)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,17 @@ def ship(spark: SparkSession) -> None:
     context._millrace_shipped = True
 
 
+def shipped(udf: Callable) -> Callable:
+    """A UDF whose code is this package's: where it is put in an expression, the active session's executors get the package."""
+
+    @wraps(udf)
+    def column(*args):
+        ship(SparkSession.active())
+        return udf(*args)
+
+    return column
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow with a function that imports from this package."""
     ship(df.sparkSession)
