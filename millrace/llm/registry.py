@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import chat_format, exact_dedup, language_id, matroska, mixing, near_dedup, quality, sentencepiece_codec, token_counts, url_lists
+from millrace.llm import chat_format, exact_dedup, hard_negatives, language_id, matroska, mixing, near_dedup, quality, sentencepiece_codec, token_counts, url_lists
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -20,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_lists": url_lists.OP4_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
