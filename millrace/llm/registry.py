@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from millrace.llm import chat_format, exact_dedup, hard_negatives, language_id, matroska, mixing, near_dedup, quality, sentencepiece_codec, token_counts, url_lists
+from millrace.llm import chat_format, exact_dedup, hard_negatives, language_id, lm_scoring, matroska, mixing, near_dedup, quality, sentencepiece_codec, token_counts, url_lists
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
