@@ -35,6 +35,9 @@ BINS = 16
 SOURCES, LANGS = 512, 64
 #: Buckets of words and of pairs of words.
 WORDS = 1 << 16
+#: Labelled documents that are learned from and calibrated on at most, by a hash of their ids: so many ids and labels go
+#: to every task, at every size of the input.
+LABELS = 1 << 16
 #: Steps of a log-odds value in the calibration's counts, and their range either way.
 STEPS, RANGE = 4, 20
 #: The known labels' place in the tables of a pass, and the folds: learned from, calibrated on, held out.
@@ -274,7 +277,8 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
     """One row per row of docs: id, score (calibrated probability of good quality), p_text, p_meta, held_out, kept.
 
     docs has text, lang, source and n_chars, labels has the id and quality (0, 1 or null: not labelled; of several
-    labels for one id the lowest counts). Documents whose crc32(id as text) mod 4 is 2 are held out of everything, and
+    labels for one id the lowest counts; of more than LABELS labelled ids those with the least hashes are used, the others
+    are documents without a label). Documents whose crc32(id as text) mod 4 is 2 are held out of everything, and
     those with 3 are for calibration alone. Nulls in any column are values of their own; an empty text is a text without
     words; a null id is scored and never labelled. Without labels all scores are one half. Repeated rows are scored
     each; other columns are not read. An empty table gives an empty one.
@@ -287,9 +291,9 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
         numbered(text_view(F.col("text")), TEXT_SIZES).alias("shape"),
         numbered(meta_view(F.col("lang"), F.col("source"), F.col("n_chars")), META_SIZES).alias("meta"),
     )
-    # a stage has a size, by which Spark decides whether the labels go to the features or both are dealt out
-    truth = staged(labels.where("quality IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality")))
-    rows = staged(with_words(features).join(truth, "id", "left"))
+    truth = labels.where("quality IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    truth = staged(truth.orderBy(F.xxhash64("id"), "id").limit(LABELS))
+    rows = staged(with_words(features).join(F.broadcast(truth), "id", "left"))
     dropped(truth)
     model = co_trained(rows.drop("id"), rounds)
     n = rows.where((F.col("fold") == CALIBRATED) & F.col("quality").isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
