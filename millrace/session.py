@@ -37,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
 
 
-def staged(df: DataFrame, *by: str) -> DataFrame:
+def staged(df: DataFrame, *by: str, codec: str | None = None) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: it survives lost executors, cuts the
     lineage, and keeps a table that several plans read from being computed several times. With columns `by`, a folder for
     each of their values, of which a plan reads those it asks for."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
