@@ -19,6 +19,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,20 @@ def grams(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     context first and the byte itself last, so that grams of like contexts are neighbours when sorted."""
     data = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64)
     n = np.array([len(b) for b in bodies], np.int64)
-    of = np.repeat(np.arange(len(bodies)), np.maximum(n - depth, 0))
-    at = np.arange(len(of)) + (np.arange(1, len(bodies) + 1) * depth)[of]
-    key = data[at]
-    for j in range(1, depth + 1):
-        key |= data[at - j] << np.uint64(8 * (depth - j + 1))
-    return of, key
+    of = np.repeat(np.arange(len(bodies)), n - depth)
+    key = data[depth:].copy()
+    for j in range(1, min(depth, len(data)) + 1):
+        key |= data[depth - j : len(data) - j] << np.uint64(8 * (depth - j + 1))
+    is_text = np.ones(len(data), bool)
+    for j in range(depth):
+        is_text[np.cumsum(n) - n + j] = False
+    return of, key[is_text[depth:]]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; by sorting, which is faster here than hashing."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +85,19 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, n = k[order], n[order]
     begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
     return k[begin], np.add.reduceat(n, begin) if len(begin) else n
 
 
+def by_bucket(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, buckets in that order) of sorted grams by bucket."""
+    bucket = OF_PAIR[(key >> np.uint64(8 * (depth - 1))).astype(np.int64)]
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
 class Chunk:
     """What a task knows of the chunk it is filling."""
 
@@ -124,18 +140,16 @@ class Chunk:
         """(bucket, keys, counts) of all that the chunk has."""
         self.look(depth)
         self.put_together()
-        key, n = self.keys[0], self.counts[0]
-        bucket = OF_PAIR[(key >> np.uint64(8 * (depth - 1))).astype(np.int64)]
-        order = np.argsort(bucket, kind="stable")
-        key, n, bucket = key[order], n[order], bucket[order]
+        order, bucket = by_bucket(self.keys[0], depth)
+        key, n = self.keys[0][order], self.counts[0][order]
         ends = np.searchsorted(bucket, np.arange(PAIRS + 1))
         for k in np.flatnonzero(ends[1:] > ends[:-1]):
-            yield int(k), key[ends[k] : ends[k + 1]].tobytes(), n[ends[k] : ends[k + 1]].tobytes()
+            yield int(k), key[ends[k] : ends[k + 1]].tobytes(), n[ends[k] : ends[k + 1]].astype(np.int32).tobytes()
         words: dict[int, list[bytes]] = defaultdict(list)
         for w in self.words:
             words[zlib.crc32(w) % WORDS].append(w)
         for k, some in words.items():
-            yield PAIRS + k, b" ".join(some), np.array([self.words[w] for w in some], np.int64).tobytes()
+            yield PAIRS + k, b" ".join(some), np.array([self.words[w] for w in some], np.int32).tobytes()
 
 
 def dealt(docs: DataFrame, depth: int) -> DataFrame:
@@ -163,7 +177,7 @@ def dealt(docs: DataFrame, depth: int) -> DataFrame:
             id_type = whole.schema.field(0).type
             pieces = []
             for at, learn, text in zip(whole.column(0), whole.column(1).to_pylist(), whole.column(2), strict=True):
-                before, left = bytes([EDGE]) * depth, list(split_text((text.as_py() or "").encode("utf-8").lower()))
+                before, left = bytes([EDGE]) * depth, list(split_text(text.as_buffer().to_pybytes().lower() if text.is_valid else b""))
                 for k, piece in enumerate(left):
                     last = k == len(left) - 1
                     body = before + piece + bytes([EDGE]) * last
@@ -193,7 +207,7 @@ def added(lists: DataFrame, chunks: int) -> DataFrame:
     def add(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         keys = [unpacked(bucket, x) for x in rows.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()]
+        counts = [np.frombuffer(x, f"i{len(x) // len(k)}").astype(np.int64) for k, x in zip(keys, rows.column("counts").to_pylist(), strict=True)]
         if bucket < PAIRS:
             k, n = summed(keys, counts)
             k, n = k.tobytes(), n.tobytes()
@@ -217,8 +231,8 @@ def added(lists: DataFrame, chunks: int) -> DataFrame:
 
 
 def answered(lists: DataFrame, model: DataFrame, groups: int) -> DataFrame:
-    """(chunk, bucket, keys, values): the lists with the model's values. The chunks are dealt into groups, each of which
-    meets the whole model once, bucket by bucket."""
+    """(chunk, bucket, keys, values): the lists' values in the model, of words with the words. The chunks are dealt into
+    groups, each of which meets the whole model once, bucket by bucket."""
 
     def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
         bucket = asked.column("bucket")[0].as_py() if len(asked) else 0
@@ -231,7 +245,9 @@ def answered(lists: DataFrame, model: DataFrame, groups: int) -> DataFrame:
                 own = unpacked(bucket, x)
                 at = np.searchsorted(keys, own) if bucket < PAIRS else [place[w] for w in own]
                 values.append(value[at].tobytes())
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "keys": asked.column("keys"), "values": pa.array(values, pa.binary())})
+        # a chunk knows its grams, and their order
+        keys = pa.nulls(len(asked), pa.binary()) if bucket < PAIRS else asked.column("keys")
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "keys": keys, "values": pa.array(values, pa.binary())})
 
     ship(lists.sparkSession)
     asked = lists.select("chunk", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("part"), "keys")
@@ -383,33 +399,35 @@ def of_pieces(pieces: DataFrame, slices: DataFrame, depth: int, spread: float) -
     """(row, id, learn, n_tokens, n_known, n_bytes, base_score, score) of each piece, with its chunk's slice of the model."""
 
     def score(pieces_: pa.Table, slice_: pa.Table) -> pa.Table:
-        key, code, place, count = [], [], {}, []
+        codes_, place, count = {}, {}, []
         for bucket, keys, values in zip(slice_.column("bucket").to_pylist(), slice_.column("keys"), slice_.column("values"), strict=True):
-            own, value = unpacked(bucket, keys.as_py()), np.frombuffer(values.as_py(), float)
+            value = np.frombuffer(values.as_py(), float)
             if bucket < PAIRS:
-                key.append(own)
-                code.append(value)
+                codes_[bucket] = value
             else:
-                place.update(zip(own, range(len(place), len(place) + len(own)), strict=True))
+                words = unpacked(bucket, keys.as_py())
+                place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
                 count.append(value)
-        key, code, count = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((key, np.uint64), (code, float), (count, float)))
-        order = np.argsort(key)
-        key, code, base = key[order], code[order], np.log10(count + 1) - spread
+        count = np.concatenate([*count, np.zeros(0)])
+        base = np.log10(count + 1) - spread
         last = pieces_.column("last").to_pylist()
         bodies = pieces_.column("body")
         out = {c: np.zeros(len(pieces_), t) for c, t in (("n_tokens", np.int64), ("n_known", np.int64), ("n_bytes", np.int64), ("base_score", float), ("score", float))}
-        for begin, end in grouped([len(b.as_buffer()) for b in bodies], PART):
+        runs = list(grouped([len(b.as_buffer()) for b in bodies], PART))
+        key = distinct(np.concatenate([distinct(grams(bodies.slice(begin, end - begin).to_pylist(), depth)[1]) for begin, end in runs]))
+        code = np.empty(len(key))
+        code[by_bucket(key, depth)[0]] = np.concatenate([codes_[k] for k in sorted(codes_)])
+        for begin, end in runs:
             some = bodies.slice(begin, end - begin).to_pylist()
             of, gram = grams(some, depth)
-            distinct, at = np.unique(gram, return_inverse=True)
-            out["score"][begin:end] = np.bincount(of, code[np.searchsorted(key, distinct)][at], end - begin)
-            for k, body in enumerate(some, begin):
-                found = body[depth : len(body) - last[k]].split()
-                if last[k]:
-                    found.append(END)
-                at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-                out["n_tokens"][k], out["n_known"][k], out["base_score"][k] = len(found), (count[at] > 0).sum(), base[at].sum()
-                out["n_bytes"][k] = len(body) - depth - last[k]
+            own, at = np.unique(gram, return_inverse=True)
+            out["score"][begin:end] = np.bincount(of, code[np.searchsorted(key, own)][at], end - begin)
+            words = [body[depth:-1].split() + [END] if end_ else body[depth:].split() for body, end_ in zip(some, last[begin:end], strict=True)]
+            n = np.array([len(x) for x in words])
+            of = np.repeat(np.arange(end - begin), n)
+            at = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+            out["n_tokens"][begin:end], out["n_bytes"][begin:end] = n, [len(body) - depth - end_ for body, end_ in zip(some, last[begin:end], strict=True)]
+            out["n_known"][begin:end], out["base_score"][begin:end] = np.bincount(of, count[at] > 0, end - begin), np.bincount(of, base[at], end - begin)
         return pa.table({c: pieces_.column(c) for c in ("row", "id", "learn")} | out)
 
     ship(pieces.sparkSession)
@@ -439,7 +457,7 @@ def scored(docs: DataFrame, learn: Column, depth: int = DEPTH, id_col: str = "do
     model = staged(trained(sums, depth))
     # a group of chunks lists no less than there is in the model, so the model is not repeated oftener than its size allows
     size = model.agg(F.coalesce(F.sum(F.octet_length("values")), F.lit(0))).first()[0]
-    slices = answered(lists, model, max(1, min(-(-chunks // FAN), listed // max(1, size))))
+    slices = answered(lists, model, max(1, min(-(-chunks // FAN), (listed // 4) // max(1, size // 8))))
     found = of_pieces(pieces, slices, depth, math.log10(n + v + 1))
     found = found.groupBy("row", "id", "learn").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "n_bytes", "base_score", "score")])
     bits = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
