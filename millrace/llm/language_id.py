@@ -141,7 +141,8 @@ def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
         rows = np.repeat(np.isin(np.arange(texts), open_), length)
         n_open, p_open = n[rows], p[rows]
         start_open = np.concatenate([[0], np.cumsum(length[open_])[:-1]])
-        got, shares = np.full((len(open_), langs), -np.inf), np.zeros((len(open_), langs, langs))
+        # of the languages that could join a text's set, the best so far alone is kept
+        got, more, shares = np.full(len(open_), -np.inf), np.zeros(len(open_), np.int64), np.zeros((len(open_), langs))
         for k in range(langs):
             among = chosen[open_].copy()
             new = ~among[:, k]
@@ -149,14 +150,16 @@ def infer(start: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
                 among[:, k] = True
                 used = among.any(0)  # columns that no text has in its set are left out
                 part, likely = fit(start_open, n_open, p_open[:, used], among[:, used].astype(float))
-                got[new, k] = likely[new]
-                shares[:, k, used] = part
-        more = got.argmax(1)
-        gain = got[np.arange(len(open_)), more] - now[open_]
+                better = new & (likely > got)
+                got[better], more[better] = likely[better], k
+                whole = np.zeros((len(open_), langs))
+                whole[:, used] = part
+                shares[better] = whole[better]
+        gain = got - now[open_]
         yes = gain > penalty[open_]
         won = open_[yes]
         chosen[won, more[yes]] = True
-        share[won] = shares[yes, more[yes]]
+        share[won] = shares[yes]
         now[won] += gain[yes]
         open_ = won[chosen[won].sum(1) < langs]
     if langs > 1:

@@ -128,3 +128,45 @@ def test_quality_of_odd_documents(spark, odd, none):
     assert {r.score for r in quality.scored(odd, labels.limit(0)).collect()} == {0.5}
     assert len(quality.scored(odd.union(odd), labels.union(labels)).collect()) == 2 * odd.count()
     assert quality.scored(none, labels).count() == 0
+
+
+def plain_mixture(counts: list[int], p: list[list[float]]) -> tuple[set[int], list[float], float]:
+    """The set of languages of one text, their shares and the log-likelihood, in plain loops: one language after the other
+    joins while it gains more than the penalty."""
+    import math
+
+    langs, total = range(len(p[0])), sum(counts)
+
+    def fit(among):
+        share = {k: 1 / len(among) for k in among}
+        for _ in range(language_id.ROUNDS):
+            got = dict.fromkeys(among, 0.0)
+            for n, row in zip(counts, p, strict=True):
+                mix = sum(share[k] * row[k] for k in among)
+                for k in among:
+                    got[k] += n * share[k] * row[k] / mix
+            share = {k: x / total for k, x in got.items()}
+        return share, sum(n * math.log(sum(share[k] * row[k] for k in among)) for n, row in zip(counts, p, strict=True))
+
+    alone = [sum(n * math.log(row[k]) for n, row in zip(counts, p, strict=True)) for k in langs]
+    chosen = [max(langs, key=lambda k: (alone[k], -k))]
+    share, now = {chosen[0]: 1.0}, alone[chosen[0]]
+    while len(chosen) < len(langs):
+        tried = [(fit(sorted([*chosen, k])), k) for k in langs if k not in chosen]
+        (better, likely), k = max(tried, key=lambda x: (x[0][1], -x[1]))
+        if likely - now <= language_id.GAIN_LOG * math.log2(1 + total) + language_id.GAIN_EACH * total:
+            break
+        chosen, share, now = [*chosen, k], better, likely
+    return set(chosen), [share.get(k, 0.0) for k in langs], now
+
+
+def test_mixtures_are_those_of_plain_loops():
+    r = np.random.Generator(np.random.PCG64(3))
+    for langs in (1, 2, 5):
+        n = [r.integers(1, 60, size) for size in (1, 2, 7, 40, 90)]
+        p = [r.dirichlet(np.full(200, 0.2), langs).T[r.integers(0, 200, len(x))] + 1e-5 for x in n]
+        start = np.cumsum([0, *map(len, n)])[:-1]
+        top, chosen, _, likely = language_id.infer(start, np.concatenate(n), np.concatenate(p))
+        for k in range(len(n)):
+            want, share, now = plain_mixture(n[k].tolist(), p[k].tolist())
+            assert set(np.flatnonzero(chosen[k])) == want and top[k] == int(np.argmax(share)) and abs(likely[k] - now) < 1e-6 * abs(now)
