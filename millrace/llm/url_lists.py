@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import dropped, staged, table
 
 SALTS = 16
+#: Shapes that the patterns of a list may have: each is a key that every capture is looked up under.
+SHAPES = 1024
 URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
@@ -38,11 +40,23 @@ def intervals(changes: DataFrame) -> DataFrame:
     return log.withColumn("valid_to", F.lead("at").over(order)).where("change = 'add'").select("pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A pattern as captures are looked up: the host in lower case without scheme, user, port and final dot, and the path's
+    segments without empty ones, so that slashes at the end or repeated do not matter. Null where no host is left."""
+    bare = F.regexp_replace(F.trim(pattern), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
+    place = F.regexp_replace(F.regexp_extract(bare, "^([^/?#]*)", 1), "^.*@", "")
+    host = F.lower(F.rtrim(F.regexp_replace(place, r":[0-9]*$", ""), F.lit(".")))
+    path = F.filter(F.split(F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    return F.when(host != "", F.array_join(F.concat(F.array(host), path), "/"))
+
+
 def shapes_of(log: DataFrame) -> Column:
-    """The numbers of labels and of path segments that the patterns of a log have, each pair once. There are as many as
-    hosts can have labels and paths of the list segments, whatever the list's length."""
+    """The numbers of labels and of path segments that the patterns of a log have, each pair once. A list with more than
+    SHAPES of them is refused: captures are looked up under all."""
     parts = F.split("pattern", "/")
-    shapes = log.where("change = 'add'").select(F.size(F.split(parts[0], r"\.")).alias("labels"), (F.size(parts) - 1).alias("depth")).distinct().collect()
+    shapes = log.where("change = 'add'").select(F.size(F.split(parts[0], r"\.")).alias("labels"), (F.size(parts) - 1).alias("depth")).distinct().limit(SHAPES + 1).collect()
+    if len(shapes) > SHAPES:
+        raise ValueError(f"the patterns have more than {SHAPES} shapes")
     none = F.array().cast("array<struct<labels:int,depth:int>>")
     return F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["depth"]).alias("depth")) for r in sorted(shapes)]) if shapes else none
 
@@ -60,14 +74,15 @@ def filtered(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", u
 
     decision is the action of the longest active pattern, at equal length of the one added last, then `block` before
     `allow`; `pass` where none is active; `invalid` where the url is null or has no host. A capture without a time is
-    matched by nothing. Equal captures give equal rows. Other columns are not read. Empty tables give empty ones, or
+    matched by nothing. Patterns count in normal form (normal_pattern), and are shown in it; changes of patterns that are
+    the same in it are one log, and a pattern without a host is ignored. Equal captures give equal rows. Other columns are not read. Empty tables give empty ones, or
     pass all. The entries are written first, so that Spark knows their size: a list that is small enough goes to the
     captures, for a larger one both are dealt out by pattern, captures of one host spread over SALTS keys.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
     host = F.when(host_of(F.col("url")) != "", host_of(F.col("url")))
     rows = rows.withColumns({"host": host, "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
-    log = staged(changes.select("pattern", "action", "at", "change").dropna())
+    log = staged(changes.select(normal_pattern(F.col("pattern")).alias("pattern"), "action", "at", "change").dropna())
     keys = F.when(F.col("host").isNotNull() & F.col("at").isNotNull(), keys_of(F.col("host"), F.col("path"), shapes_of(log)))
     rows = rows.select("id", "url", "at", "host", F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode_outer(keys).alias("k", "pattern"))
     entries = staged(intervals(log)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -142,3 +142,25 @@ def test_url_lists_of_any_depth(spark):
     df = spark.createDataFrame([(k, u, day(1)) for k, u in enumerate(want)], "page_id long, url string, fetched_at timestamp")
     got = url_lists.filtered(df, spark.createDataFrame(changes, "pattern string, action string, at timestamp, change string"))
     assert {x.url: (x.decision, x.pattern) for x in got.collect()} == want
+
+
+def test_patterns_as_lists_write_them(spark):
+    """Case, final dots, ports, schemes, users and slashes at the end make no difference."""
+    t = datetime.datetime(2024, 1, 1)
+    patterns = ["Slash.com/a/", "dot.com.", "h.com:8443", "UPPER.com", "https://scheme.com/x//y/", "//rel.com", "user@mail.com", "q.com/p?x=1#f", "/no/host", "", None, " .", "[::1]:80"]
+    changes = spark.createDataFrame([(p, "block", t, "add") for p in patterns] + [("dot.com", "block", t + datetime.timedelta(days=3), "remove")], "pattern string, action string, at timestamp, change string")
+    urls = {"http://slash.com/a/b": "slash.com/a", "http://x.dot.com/": "dot.com", "http://h.com:9/": "h.com", "http://a.upper.com": "upper.com", "http://scheme.com/x/y/z": "scheme.com/x/y", "http://rel.com/": "rel.com", "http://mail.com": "mail.com", "http://q.com/p": "q.com/p", "http://no.com/no/host": None, "http://slash.com/": None, "http://[::1]/": "[::1]"}
+    captures = spark.createDataFrame([(k, u, t + datetime.timedelta(days=1)) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    got = {r.url: (r.decision, r.pattern) for r in url_lists.filtered(captures, changes).collect()}
+    assert got == {u: ("block" if p else "pass", p) for u, p in urls.items()}
+    late = captures.withColumn("fetched_at", F.lit(t + datetime.timedelta(days=4)))
+    assert {r.url: r.decision for r in url_lists.filtered(late, changes).collect()}["http://x.dot.com/"] == "pass"
+
+
+def test_lists_of_too_many_shapes_are_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(url_lists, "SHAPES", 3)
+    changes = spark.createDataFrame([("/".join(["a.com", *"x" * k]), "block", datetime.datetime(2024, 1, 1), "add") for k in range(4)], "pattern string, action string, at timestamp, change string")
+    with pytest.raises(ValueError, match="shapes"):
+        url_lists.filtered(spark.createDataFrame([], "page_id long, url string, fetched_at timestamp"), changes)
