@@ -32,12 +32,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: rows are repeated, with all columns, or go. Null and empty texts have
-    no words and go; a null source is a source of its own; an empty table gives an empty one."""
-    row, times = unused(docs, "_row"), unused(docs, "_copies")
+    no words and go; a null source is a source of its own; rows that repeat id and text share what the mix takes of all
+    of them; an empty table gives an empty one."""
+    row, times, all_, n, place, first = (unused(docs, c) for c in ("_row", "_copies", "_all", "_n", "_place", "_first"))
     rows = docs.withColumn(row, F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    copies = mixing.mixed(rows, id_col=row).where("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(times))
-    taken = rows.join(copies, row).withColumn(times, F.explode(times))
-    return taken.select(*docs.columns)
+    copies = mixing.mixed(rows, id_col=row).groupBy(row).agg(F.sum("copies").alias(all_), F.count(F.lit(1)).alias(n))
+    copies = staged(copies.where(F.col(all_) > 0))
+    taken = rows.join(copies.where(F.col(n) == 1).select(row, F.col(all_).alias(times)), row)
+    # rows that repeat id and text share the copies of all: alike, and what is left over goes to the first of them
+    several = copies.where(F.col(n) > 1)
+    if several.limit(1).count():
+        again = staged(rows.join(several.select(row), row, "left_semi").withColumn(place, F.monotonically_increasing_id()))
+        shares = several.join(again.groupBy(row).agg(F.min(place).alias(first)), row)
+        own = F.expr(f"`{all_}` div `{n}` + IF(`{place}` = `{first}`, `{all_}` % `{n}`, 0)").alias(times)
+        taken = taken.unionByName(again.join(shares, row).select(*docs.columns, row, own))
+    return taken.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

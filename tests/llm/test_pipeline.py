@@ -41,3 +41,18 @@ def test_stages(spark, sf, request, table):
         assert after.columns == columns
         checked(name, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], [(r.doc_id, r.text) for r in after.select("doc_id", "text").collect()], docs)
         docs = after
+
+
+def test_mix_of_repeated_rows_alone(spark, odd):
+    """Rows that repeat an id and text come as often as the mix takes all of them, and no oftener."""
+    from millrace.llm import mixing
+
+    six = spark.createDataFrame([(7, "w " * 30, "a")] * 6 + [(k, "v " * (k % 9 + 1), "b") for k in range(100, 160)], "doc_id long, text string, source string")
+    for docs in (six, odd):
+        given = Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+        kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix(spark, docs, "").select("doc_id", "text").collect())
+        assert all(kept[x] <= 3 * given[x] for x in kept)
+        size = lambda rows: sum(len(brute.WORD.findall(t or "")) * n for (_, t), n in rows.items())
+        want = sum(r.taken for r in mixing.mixed(docs).collect())
+        longest = max(len(brute.WORD.findall(t or "")) for _, t in given)
+        assert abs(size(kept) - want) <= 2 * longest
