@@ -448,7 +448,7 @@ def scored(docs: DataFrame, learn: Column, depth: int = DEPTH, id_col: str = "do
     if not 2 <= depth <= 6:
         raise ValueError("contexts have from 2 to 6 bytes")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
-    all_ = staged(dealt(rows, depth))
+    all_ = staged(dealt(rows, depth), codec="zstd")
     lists = all_.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "keys", "counts")
     pieces = all_.where(F.col("body").isNotNull()).select(F.col("chunk").alias("of_chunk"), "row", "id", "learn", "last", "body")
     chunks, listed = lists.agg(F.count_distinct("chunk"), F.coalesce(F.sum(F.octet_length("counts")), F.lit(0))).first()
