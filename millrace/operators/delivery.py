@@ -1,8 +1,15 @@
 """Deliveries: what is due, what a report changes, what is suppressed.
 
-Reports of a delivery are folded in order through the states due, retry, sent, failed, blocked, suppressed. The fold is
-one aggregation per delivery. Only accepted reports are remembered: a delivery accepts one for each message and attempt
-at most, so what it remembers stays small, and a report that was refused is judged anew when it comes again.
+Reports are folded in order through the states due, retry, sent, failed, blocked, suppressed. A delivery accepts one
+report for each message and attempt at most, however many are sent, and between two accepted ones its state stands
+still. So the fold goes from one accepted report to the next, for all deliveries at once: of the reports that its state
+would accept, each delivery takes the first, which is a minimum that tasks work out before anything moves. No delivery's
+reports are ever together in an array or a task, and what each refused report is told follows from the accepted ones.
+
+An attempt id belongs to the delivery that accepted it first. A report that was refused owns nothing, and is judged anew
+when it comes again. Where several deliveries use an id, who owns it depends on what the others accepted before; these
+deliveries are folded again until the owners they were folded with are the owners they give. What a report is told
+depends on earlier reports alone, so each round settles at least the next report in dispute, and nothing else is stable.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import canonical_list
 from millrace.functions.urls import public_url
+from millrace.session import dropped, staged
 
 TERMINAL = ("sent", "failed", "blocked", "suppressed")
 PAGE = 100
@@ -38,46 +46,132 @@ def decided(status: Column, previous: Column, attempted_nano: Column) -> Column:
     return F.struct(new.alias("status"), attempt.alias("attempt"), F.when(again, attempted_nano + DELAY).alias("next_attempt_nano"), (status == "blocked").alias("inactive"))
 
 
-STATE = "struct<status:string,attempt:int,confirmed_through:int,next_attempt_nano:bigint,inactive:boolean,accepted:int,duplicate:int,terminal:int,conflict:int,taken:array<string>>"
+#: What is kept of a delivery, and of an id that a delivery accepted. `at` is the place of its last accepted report.
+STATE = ["delivery_id", "status", "attempt", "confirmed_through", "next_attempt_nano", "inactive", "at"]
+OWNED = ["attempt_id", "owner", "owned_at"]
+COUNTS = ["accepted", "duplicate", "terminal", "conflict"]
 
 
-def report(state: Column, e: Column) -> Column:
-    """One report: an id that belongs to another delivery conflicts; one that was accepted is answered as before; a terminal
-    delivery refuses; then sequence and total must fit; a success before the last message only moves the cursor, any other
-    report decides."""
-    fits = (e["total"] > 0) & (state["confirmed_through"] <= e["total"]) & e["status"].isin("success", "failed", "blocked") & e["sequence"].between(0, e["total"]) & ((e["sequence"] == 0) | (e["sequence"] == state["confirmed_through"] + 1))
-    step = (e["status"] == "success") & (e["sequence"] > 0) & (e["sequence"] < e["total"])
-    done = decided(e["status"], state["attempt"], e["attempted_nano"])
-    count = lambda name, yes: (state[name] + F.when(yes, 1).otherwise(0)).alias(name)
-    ended = state["status"].isin(*TERMINAL)
-    repeated = ~e["foreign"] & F.array_contains(state["taken"], e["attempt_id"])
-    fresh = ~e["foreign"] & ~repeated
-    taken = fresh & ~ended & fits
-    pick = lambda name, moved, final: F.when(~taken, state[name]).when(step, moved).otherwise(final).alias(name)
-    return F.struct(
+def fits() -> Column:
+    """Whether a report is legal for its delivery's state, both in one row."""
+    expected = (F.col("sequence") == 0) | (F.col("sequence") == F.col("confirmed_through") + 1)
+    sound = F.col("status").isin("success", "failed", "blocked") & (F.col("total") > 0) & F.col("sequence").between(0, F.col("total"))
+    return sound & (F.col("confirmed_through") <= F.col("total")) & expected
+
+
+def accepted_by(state: DataFrame, first: DataFrame) -> DataFrame:
+    """States after the first report that each delivery accepts (delivery_id, r): a success before the last message only
+    moves the cursor, any other report decides."""
+    rows = state.join(first, "delivery_id", "left")
+    r, taken = F.col("r"), F.col("r").isNotNull()
+    step = (r["status"] == "success") & (r["sequence"] > 0) & (r["sequence"] < r["total"])
+    done = decided(r["status"], F.col("attempt"), r["attempted_nano"])
+    pick = lambda name, moved, final: F.when(~taken, F.col(name)).when(step, moved).otherwise(final).alias(name)
+    return rows.select(
+        "delivery_id",
         pick("status", F.lit("due"), done["status"]),
-        pick("attempt", state["attempt"], done["attempt"]),
-        pick("confirmed_through", e["sequence"], F.when(e["status"] == "success", e["total"]).otherwise(state["confirmed_through"])),
+        pick("attempt", F.col("attempt"), done["attempt"]),
+        pick("confirmed_through", r["sequence"], F.when(r["status"] == "success", r["total"]).otherwise(F.col("confirmed_through"))),
         pick("next_attempt_nano", F.lit(None).cast("long"), done["next_attempt_nano"]),
-        pick("inactive", state["inactive"], state["inactive"] | done["inactive"]),
-        count("accepted", taken),
-        count("duplicate", repeated),
-        count("terminal", fresh & ended),
-        count("conflict", e["foreign"] | (fresh & ~ended & ~fits)),
-        F.when(taken, F.concat(state["taken"], F.array(e["attempt_id"]))).otherwise(state["taken"]).alias("taken"),
-    ).cast(STATE)
+        pick("inactive", F.col("inactive"), F.col("inactive") | done["inactive"]),
+        F.when(taken, r["at"]).otherwise(F.col("at")).alias("at"),
+        taken.alias("moved"),
+    )
+
+
+def folded(reports: DataFrame, state: DataFrame, owned: DataFrame, rivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, accepted) after reports (delivery_id, attempt_id, at, status, sequence, total, attempted_nano), staged. No
+    report is accepted of an id that is owned before them, or that another delivery has from an earlier place on, as
+    rivals say. There are as many steps as a delivery accepts reports at most."""
+    theirs = rivals.select("attempt_id", "owner", "owned_at")
+    mine = reports.join(owned.select("attempt_id"), "attempt_id", "left_anti").join(theirs, "attempt_id", "left")
+    mine = mine.where(F.col("owner").isNull() | (F.col("owner") == F.col("delivery_id")) | (F.col("at") < F.col("owned_at")))
+    left = staged(mine.select(*reports.columns).where(F.col("status").isin("success", "failed", "blocked") & (F.col("total") > 0)))
+    now, taken = staged(state.select(*STATE)), []
+    while True:
+        of = now.where(~F.col("status").isin(*TERMINAL)).select("delivery_id", F.col("confirmed_through"), F.col("at").alias("last"))
+        rows = left.join(of, "delivery_id").where((F.col("last").isNull() | (F.col("at") > F.col("last"))) & fits())
+        for some in taken:
+            rows = rows.join(some.select("delivery_id", "attempt_id"), ["delivery_id", "attempt_id"], "left_anti")
+        first = staged(rows.groupBy("delivery_id").agg(F.min(F.struct("at", "attempt_id", "status", "sequence", "total", "attempted_nano")).alias("r")))
+        if not first.limit(1).count():
+            break
+        after = staged(accepted_by(now, first).drop("moved"))
+        dropped(now)
+        now = after
+        taken.append(staged(first.select("delivery_id", F.col("r.attempt_id").alias("attempt_id"), F.col("r.at").alias("at"))))
+    found = taken[0] if taken else left.select("delivery_id", "attempt_id", "at").limit(0)
+    for some in taken[1:]:
+        found = found.unionByName(some)
+    return now, staged(found)
+
+
+def owners(accepted: DataFrame) -> DataFrame:
+    """(attempt_id, owner, owned_at): the delivery that accepted an id first."""
+    return accepted.groupBy("attempt_id").agg(F.min(F.struct("at", "delivery_id")).alias("o")).select("attempt_id", F.col("o.delivery_id").alias("owner"), F.col("o.at").alias("owned_at"))
+
+
+def new_states(reports: DataFrame) -> DataFrame:
+    at = reports.schema["at"].dataType
+    return reports.select("delivery_id").distinct().select("delivery_id", F.lit("due").alias("status"), F.lit(0).alias("attempt"), F.lit(0).alias("confirmed_through"), F.lit(None).cast("long").alias("next_attempt_nano"), F.lit(False).alias("inactive"), F.lit(None).cast(at).alias("at"))
+
+
+def placed(reports: DataFrame, *order: str) -> DataFrame:
+    """reports with `at`, their place among all: by `order`, then by what they say, so that no two places are the same."""
+    said = ["attempt_id", "delivery_id", "attempted_nano", "status", "sequence", "total"]
+    return reports.select(*said, F.struct(*order, *[c for c in said if c not in order]).alias("at"))
+
+
+def continued(reports: DataFrame, state: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state of the reports' deliveries, newly owned ids, counts of what reports were told) of placed() reports, given the
+    states and owners before them."""
+    rows = staged(reports)
+    before = state.join(rows.select("delivery_id").distinct(), "delivery_id", "left_semi").select(*STATE)
+    new = new_states(rows).join(state.select("delivery_id"), "delivery_id", "left_anti")
+    start = staged(before.unionByName(new))
+    asked = staged(owned.join(rows.select("attempt_id").distinct(), "attempt_id", "left_semi").select(*OWNED))
+    # ids that several deliveries use, and the deliveries that use these
+    shared = rows.groupBy("attempt_id").agg(F.min("delivery_id").alias("one"), F.max("delivery_id").alias("other")).where("one <> other").select("attempt_id")
+    tied = staged(rows.join(shared, "attempt_id", "left_semi").select("delivery_id").distinct())
+    nobody = asked.limit(0)
+    now, accepted = folded(rows.join(tied, "delivery_id", "left_anti"), start.join(tied, "delivery_id", "left_anti"), asked, nobody)
+    given = owners(accepted)
+    if tied.limit(1).count():
+        theirs, own_start = staged(rows.join(tied, "delivery_id", "left_semi")), staged(start.join(tied, "delivery_id", "left_semi"))
+        rivals = nobody
+        while True:
+            more, some = folded(theirs, own_start, asked, rivals)
+            found = staged(owners(some).select(*OWNED))
+            if not found.exceptAll(rivals).union(rivals.exceptAll(found)).limit(1).count():
+                break
+            rivals = found
+        now, given = now.unionByName(more), given.select(*OWNED).unionByName(found)
+    given = staged(given.select(*OWNED))
+    now = staged(now)
+    told = rows.join(asked.unionByName(given), "attempt_id", "left").join(now.select("delivery_id", F.col("at").alias("last"), F.col("status").isin(*TERMINAL).alias("ended")), "delivery_id")
+    known = F.coalesce(F.col("at") >= F.col("owned_at"), F.lit(False))
+    own = known & (F.col("owner") == F.col("delivery_id"))
+    accepted_now = own & (F.col("at") == F.col("owned_at"))
+    over = F.col("ended") & (F.col("last").isNull() | (F.col("at") > F.col("last")))
+    kind = F.when(accepted_now, "accepted").when(own, "duplicate").when(known, "conflict").when(over, "terminal").otherwise("conflict")
+    kinds = told.groupBy("delivery_id", kind.alias("kind"), "at").agg(F.count(F.lit(1)).alias("n"))
+    # of equal reports one is accepted, the others repeat it
+    count = lambda c, n: F.sum(F.when(F.col("kind") == c, n).otherwise(0)).cast("int").alias(c)
+    first = F.when(F.col("kind") == "accepted", 1).otherwise(0)
+    counts = kinds.groupBy("delivery_id").agg(F.sum(first).cast("int").alias("accepted"), (F.sum(F.when(F.col("kind") == "duplicate", F.col("n")).otherwise(0)) + F.sum(F.when(F.col("kind") == "accepted", F.col("n") - 1).otherwise(0))).cast("int").alias("duplicate"), count("terminal", F.col("n")), count("conflict", F.col("n")))
+    return now, given, counts
 
 
 def outcomes(reports: DataFrame, *order: str) -> DataFrame:
     """Final state per delivery of reports (delivery_id, attempt_id, attempted_nano, status, sequence, total) in `order`,
-    from a new delivery. A report whose attempt_id the delivery accepted before is a duplicate; an attempt_id belongs to
-    the delivery that reported it first."""
-    first = F.min(F.struct(*order, "delivery_id")).over(Window.partitionBy("attempt_id"))
-    rows = reports.withColumn("foreign", first["delivery_id"] != F.col("delivery_id"))
-    event = F.struct(*order, *[c for c in ("attempt_id", "attempted_nano", "status", "sequence", "total", "foreign") if c not in order])
-    start = F.struct(F.lit("due"), F.lit(0), F.lit(0), F.lit(None).cast("long"), F.lit(False), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<string>")).cast(STATE)
-    folded = rows.groupBy("delivery_id").agg(F.array_sort(F.collect_list(event)).alias("events")).select("delivery_id", F.aggregate("events", start, report).alias("s"))
-    return folded.select("delivery_id", "s.*").drop("taken")
+    from a new delivery, and how many were accepted, duplicate, terminal or in conflict. A report whose id the delivery
+    accepted before is a duplicate, one whose id another delivery accepted before conflicts; a terminal delivery refuses;
+    then sequence and total must fit."""
+    rows = placed(reports, *order)
+    none = new_states(rows).limit(0)
+    owned = rows.select("attempt_id", F.col("delivery_id").alias("owner"), F.col("at").alias("owned_at")).limit(0)
+    now, _, counts = continued(rows, none, owned)
+    return now.join(counts, "delivery_id").drop("at")
 
 
 def display(items: DataFrame, policy: DataFrame, *by: str) -> DataFrame:

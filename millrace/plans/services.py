@@ -30,18 +30,25 @@ def pending_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.pending(messages, d).groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("next"))
 
 
+IN_ORDER = ("attempted_nano", "event_id", "attempt_id", "delivery_id")
+HALF_DAY = 43_200 * 10**9
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reports on deliveries of three messages: intermediate ones confirm one of the first two messages by
-    turns, others report on the whole; every fifth is sent again after two days, and what was refused then is judged anew."""
+    turns, others report on the whole; every fifth is sent again after two days, and what was refused then is judged anew.
+    The next delivery reports every seventh under the same id, half a day before, at the same time or half a day later."""
     a = derive.attempts(spark, sf_dir)
     part = F.when(F.col("intermediate"), F.col("event_id") % 2 + 1).otherwise(0).cast("int")
     rows = a.select(F.col("delivery_id"), "attempt_id", "event_id", "attempted_nano", "status", part.alias("sequence"), F.lit(3).alias("total"))
     again = rows.where("event_id % 5 = 0").withColumn("attempted_nano", F.col("attempted_nano") + AGAIN)
-    return rows.unionByName(again)
+    shift = (F.col("event_id") % 3 - 1) * F.lit(HALF_DAY)
+    others = rows.where("event_id % 7 = 0").withColumns({"delivery_id": F.col("delivery_id") + 1, "attempted_nano": F.col("attempted_nano") + shift})
+    return rows.unionByName(again).unionByName(others)
 
 
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = delivery.outcomes(reports(spark, sf_dir), "attempted_nano", "event_id", "attempt_id")
+    out = delivery.outcomes(reports(spark, sf_dir), *IN_ORDER)
     return out.select("delivery_id", "status", "attempt", "confirmed_through", "next_attempt_nano", "inactive", "accepted", "duplicate", "terminal", "conflict")
 
 
@@ -180,7 +187,7 @@ def stored_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of a window as one digest for each source: its best ten."""
     from millrace.operators import selection
 
-    c = digests.candidates(spark, sf_dir).withColumn("score", scoring.base_score(F.col("signal_type"), F.col("funding"), F.col("sources"), F.lit(True)))
+    c = digests.with_base(digests.candidates(spark, sf_dir))
     rows = c.withColumn("owner", F.col("sources")[0]["source_id"])
     ranked = selection.ranked(rows, "window_id", "owner").where("rank <= 10")
     item = F.struct(F.col("rank").alias("place"), "startup_name", "description", "signal_type", "region", "categories", "funding", "sources")
@@ -214,11 +221,16 @@ QUERIES = {
 CONFIG = """cfg AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 6 THEN 'x' || s_name ELSE s_name END AS source_id, s_suppkey % 3 <> 0 AS active, CASE WHEN s_suppkey % 4 = 1 THEN 'rss' ELSE 'atom' END AS method,
   s_suppkey % 2 = 0 AS has_token, s_suppkey % 11 <> 0 AS guarded FROM supplier),
 reg AS (SELECT s_name AS source_id, CASE WHEN s_suppkey % 8 = 1 THEN 'rss' ELSE 'atom' END AS method, s_suppkey % 5 = 0 AS needs FROM supplier)"""
-REPORTS = """rep AS (SELECT delivery_id, attempt_id, event_id, attempted_nano, status, CASE WHEN intermediate THEN (event_id % 2 + 1)::INTEGER ELSE 0 END AS sequence FROM attempts),
-both_reps AS (SELECT * FROM rep UNION ALL SELECT delivery_id, attempt_id, event_id, attempted_nano + 172800000000000, status, sequence FROM rep WHERE event_id % 5 = 0),
-num AS (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY attempted_nano, event_id) AS nth FROM both_reps),
-run AS (
-  SELECT DISTINCT delivery_id, 0::BIGINT AS nth, 'due' AS status, 0 AS attempt, 0 AS confirmed_through, NULL::BIGINT AS next_attempt_nano, false AS inactive, 0 AS accepted, 0 AS duplicate, 0 AS terminal, 0 AS conflict, []::VARCHAR[] AS ids FROM num
+REPORTS = f"""rep AS (SELECT delivery_id, attempt_id, event_id, attempted_nano, status, CASE WHEN intermediate THEN (event_id % 2 + 1)::INTEGER ELSE 0 END AS sequence FROM attempts),
+all_reps AS (SELECT * FROM rep UNION ALL SELECT delivery_id, attempt_id, event_id, attempted_nano + {AGAIN}, status, sequence FROM rep WHERE event_id % 5 = 0
+  UNION ALL SELECT delivery_id + 1, attempt_id, event_id, attempted_nano + (event_id % 3 - 1) * {HALF_DAY}, status, sequence FROM rep WHERE event_id % 7 = 0),
+num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY attempted_nano, event_id) AS nth, row_number() OVER (ORDER BY attempted_nano, event_id, attempt_id, delivery_id) AS place FROM all_reps),
+own0 AS (SELECT attempt_id, delivery_id AS owner, place AS owned_at FROM num WHERE false)"""
+#: All deliveries folded with the owners of ids that the fold before gave; the first fold knows none.
+RUN = """num{k} AS MATERIALIZED (SELECT n.*, coalesce(o.owner <> n.delivery_id AND o.owned_at < n.place, false) AS theirs FROM num n LEFT JOIN own{k} o USING (attempt_id)),
+run{k} AS (
+  SELECT DISTINCT delivery_id, 0::BIGINT AS nth, 'due' AS status, 0 AS attempt, 0 AS confirmed_through, NULL::BIGINT AS next_attempt_nano, false AS inactive, 0 AS accepted, 0 AS duplicate, 0 AS terminal, 0 AS conflict,
+    []::STRUCT(id VARCHAR, place BIGINT)[] AS ids FROM num
   UNION ALL
   SELECT r.delivery_id, n.nth,
     CASE WHEN NOT taken THEN r.status WHEN moved THEN 'due' WHEN n.status = 'blocked' THEN 'blocked' WHEN n.status = 'success' THEN 'sent' WHEN r.attempt + 1 < 3 THEN 'retry' ELSE 'failed' END,
@@ -226,11 +238,16 @@ run AS (
     CASE WHEN NOT taken THEN r.confirmed_through WHEN moved THEN n.sequence WHEN n.status = 'success' THEN 3 ELSE r.confirmed_through END,
     CASE WHEN NOT taken THEN r.next_attempt_nano WHEN NOT moved AND n.status = 'failed' AND r.attempt + 1 < 3 THEN n.attempted_nano + 900000000000 END,
     CASE WHEN taken AND n.status = 'blocked' THEN true ELSE r.inactive END,
-    r.accepted + taken::INTEGER, r.duplicate + again::INTEGER, r.terminal + (NOT again AND ended)::INTEGER, r.conflict + (NOT again AND NOT ended AND NOT fits)::INTEGER,
-    CASE WHEN taken THEN list_append(r.ids, n.attempt_id) ELSE r.ids END
-  FROM run r JOIN num n ON n.delivery_id = r.delivery_id AND n.nth = r.nth + 1,
-  LATERAL (SELECT r.status IN ('sent', 'failed', 'blocked', 'suppressed') AS ended, n.sequence = 0 OR n.sequence = r.confirmed_through + 1 AS fits, n.status = 'success' AND n.sequence IN (1, 2) AS moved, list_contains(r.ids, n.attempt_id) AS again) x,
-  LATERAL (SELECT NOT x.again AND NOT x.ended AND x.fits AS taken) y)"""
+    r.accepted + taken::INTEGER, r.duplicate + again::INTEGER, r.terminal + (NOT again AND NOT theirs AND ended)::INTEGER, r.conflict + (theirs OR (NOT again AND NOT ended AND NOT fits))::INTEGER,
+    CASE WHEN taken THEN list_append(r.ids, {{'id': n.attempt_id, 'place': n.place}}) ELSE r.ids END
+  FROM run{k} r JOIN num{k} n ON n.delivery_id = r.delivery_id AND n.nth = r.nth + 1,
+  LATERAL (SELECT r.status IN ('sent', 'failed', 'blocked', 'suppressed') AS ended, n.sequence = 0 OR n.sequence = r.confirmed_through + 1 AS fits, n.status = 'success' AND n.sequence IN (1, 2) AS moved,
+    len(list_filter(r.ids, lambda i: i.id = n.attempt_id)) > 0 AS again) x,
+  LATERAL (SELECT NOT x.again AND NOT n.theirs AND NOT x.ended AND x.fits AS taken) y),
+end{k} AS MATERIALIZED (SELECT * FROM run{k} QUALIFY row_number() OVER (PARTITION BY delivery_id ORDER BY nth DESC) = 1),
+own{next} AS MATERIALIZED (SELECT i.id AS attempt_id, arg_min(delivery_id, i.place) AS owner, min(i.place) AS owned_at FROM (SELECT delivery_id, unnest(ids) AS i FROM end{k}) GROUP BY 1)"""
+FOLDS = 5
+OUTCOMES = ",\n".join([REPORTS, *[RUN.format(k=k, next=k + 1) for k in range(FOLDS)]])
 PATCH = """pp AS (SELECT *, telegram_id % 3 <> 0 AS patched FROM preferences),
 p AS (SELECT telegram_id, CASE WHEN patched AND telegram_id % 2 = 0 THEN 'EUROPE,ASIA' WHEN patched AND telegram_id % 5 = 0 THEN '' ELSE region END AS regions, category AS categories,
   CASE WHEN patched AND telegram_id % 4 = 1 THEN '07:30' ELSE delivery_time END AS delivery_time, CASE WHEN patched AND telegram_id % 7 = 1 THEN 'Mars/Base' ELSE timezone END AS timezone,
@@ -254,7 +271,7 @@ ITEMS_ = digests.recursive(digests.chain(*digests.TO_ITEMS))
 ORACLE_SQL = {
     "due_deliveries": f"{with_('deliveries', 'subscribers')} SELECT id, telegram_id, status, created_nano, next_attempt_nano FROM deliveries JOIN subscribers USING (telegram_id) WHERE active AND status IN ('due', 'retry') AND (next_attempt_nano IS NULL OR next_attempt_nano <= {DUE_NANO}) ORDER BY created_nano, id LIMIT 100",
     "pending_messages": f"{with_('deliveries')} SELECT id AS delivery_id, count(*) AS n, min(s)::INTEGER AS next FROM deliveries, (SELECT unnest([1, 2, 3]) AS s) WHERE s > confirmed_through GROUP BY id",
-    "delivery_outcomes": digests.recursive(f"{with_('attempts')}, {REPORTS}") + " SELECT delivery_id, status, attempt, confirmed_through, next_attempt_nano, inactive, accepted, duplicate, terminal, conflict FROM run QUALIFY row_number() OVER (PARTITION BY delivery_id ORDER BY nth DESC) = 1",
+    "delivery_outcomes": digests.recursive(f"{with_('attempts')}, {OUTCOMES}") + f" SELECT delivery_id, status, attempt, confirmed_through, next_attempt_nano, inactive, accepted, duplicate, terminal, conflict FROM end{FOLDS - 1}",
     "suppressed_deliveries": f"""{with_('deliveries')}, it AS (SELECT 'del_' || l_orderkey AS id, l_partkey % 90 = 5 AS bare, 's' || (l_suppkey % 40) AS sid, l_suppkey % 40 % 9 = 4 OR l_suppkey % 50 = 7 AS bad FROM lineitem),
 chk AS (SELECT id, bool_or(bare) AS any_bare, coalesce(list_sort(list(DISTINCT sid) FILTER (bad AND NOT bare)), []) AS off FROM it GROUP BY id),
 d AS (SELECT d.*, CASE WHEN any_bare THEN [] ELSE off END AS off, split_part(d.id, '_', 2)::BIGINT % 7 = 0 AS stale FROM deliveries d JOIN chk USING (id) WHERE any_bare OR len(off) > 0),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import identity, text, times
-from millrace.operators import preferences, resolution, store
+from millrace.operators import backfill, delivery, preferences, receipts, render, resolution, store, versions, worker
 from millrace.plans import derive
 from millrace.plans.derive import NOW, NOW_NANO, START, with_
+from millrace.streaming.deliveries import new_base
 
 DEFAULTS = {"regions": ["EUROPE"], "categories": ["AI"], "delivery_time": "09:00", "timezone": "UTC", "max_items": 10}
 
@@ -66,15 +67,158 @@ def attempts_of_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("delivery_id", F.size("a").alias("n"), F.array_join(F.transform("a", lambda x: F.concat_ws("=", x["attempt_id"], x["status"])), ",").alias("attempts"))
 
 
+SIGNAL = "source_id string, id string, startup_name string, published_nano bigint"
+HEALTH = "source_id string, status string, last_ingestion_nano bigint, last_attempt_nano bigint"
+
+
 def ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ingestion of the sources that were healthy: their signals and health change together; others stay."""
+    """Ingestions of the sources that were healthy, in versioned tables: signals and health change together, other sources
+    stay, and an ingestion with a signal of another source changes nothing. A write that broke off leaves no trace."""
     h = derive.source_health(spark, sf_dir)
     s = h.select("source_id", F.concat(F.lit("sig_"), "source_id").alias("id"), F.lit("old").alias("startup_name"), F.col("last_ingestion_nano").alias("published_nano"))
-    new = s.withColumns({"startup_name": F.lit("new"), "published_nano": F.lit(NOW_NANO)})
-    signals, health = store.save_ingestion(s, h, new, h.where("status = 'ok'").withColumn("last_ingestion_nano", F.lit(NOW_NANO)))
+    kinds = {"signals": spark.createDataFrame([], SIGNAL).schema, "health": spark.createDataFrame([], HEALTH).schema}
+    base = new_base(spark, "store")
+    versions.commit(spark, base, {"signals": s, "health": h.select(*kinds["health"].names)})
+    number = F.substring_index("source_id", "#", -1).cast("long")
+    healthy = h.where("status = 'ok'").withColumn("ingestion", number)
+    new = s.join(healthy.select("source_id", "ingestion"), "source_id").withColumns({"startup_name": F.lit("new"), "published_nano": F.lit(NOW_NANO)})
+    foreign = healthy.where("ingestion % 4 = 1").select(F.lit("elsewhere").alias("source_id"), F.lit("sig_elsewhere").alias("id"), F.lit("new").alias("startup_name"), F.lit(NOW_NANO).alias("published_nano"), "ingestion")
+    store.save_ingestions(spark, base, kinds, new.unionByName(foreign), healthy.withColumn("last_ingestion_nano", F.lit(NOW_NANO)))
+    s.withColumn("startup_name", F.lit("lost")).write.parquet(f"{base}/signals/of-a-commit-that-broke-off")
+    at = versions.current(spark, base)
+    signals, health = (versions.read(spark, base, t, kinds[t], at) for t in ("signals", "health"))
     return signals.join(health, "source_id").select("source_id", "startup_name", "published_nano", "status", "last_ingestion_nano")
 
 
+def repeated_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of an order saves its supplier's health, so a batch has the same source many times: the last save counts, and
+    the last attempt that was known."""
+    h = derive.source_health(spark, sf_dir)
+    li = derive.table(spark, sf_dir, "lineitem")
+    stamp = times.nanos(F.col("l_shipdate").cast("timestamp"))
+    saves = li.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok").alias("status"), stamp.alias("last_ingestion_nano"), F.when(F.col("l_partkey") % 3 == 0, stamp - 1).alias("last_attempt_nano"))
+    names = derive.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("source_id"))
+    new = saves.join(names, "k").drop("k")
+    old = h.where("substring_index(source_id, '#', -1) % 3 <> 0")
+    return store.save_health(old, new, "l_orderkey", "l_linenumber", "l_partkey").select("source_id", "status", "last_ingestion_nano", "last_attempt_nano")
+
+
+def repeated_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order saves its customer as a subscriber: the first save's time and the last name that is not empty stay."""
+    s = derive.subscribers(spark, sf_dir).where("telegram_id % 2 = 0").withColumn("created_nano", F.col("telegram_id") * F.lit(10**9))
+    o = derive.table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("u"), F.col("o_orderkey").cast("string"))).otherwise("")
+    new = o.select("o_orderkey", (F.col("o_custkey") + 1).alias("telegram_id"), name.alias("username"), (F.col("o_orderstatus") == "F").alias("active"), times.nanos(F.col("o_orderdate").cast("timestamp")).alias("created_nano"))
+    return store.save_subscribers(s, new, "o_orderkey").select("telegram_id", "username", "active", "created_nano")
+
+
+def repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event saves its user's delivery: what a save makes terminal stays so, cursor and creation are the first."""
+    e = derive.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "retry").when(F.col("event_id") % 23 == 0, "sent").otherwise("due")
+    new = e.select("event_id", F.col("user_id").cast("string").alias("id"), status.alias("status"), (F.col("event_id") % 3).cast("int").alias("attempt"), (F.col("event_id") % 4).cast("int").alias("confirmed_through"), times.nanos(F.col("ts")).alias("created_nano"))
+    old = e.where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("id"), "user_id").distinct()
+    old = old.select("id", F.when(F.col("user_id") % 10 == 0, "blocked").otherwise("due").alias("status"), F.lit(9).alias("attempt"), F.lit(7).alias("confirmed_through"), F.lit(5).cast("long").alias("created_nano"))
+    return store.save_deliveries(old, new, delivery.TERMINAL, "event_id").select("id", "status", "attempt", "confirmed_through", "created_nano")
+
+
+def default_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions that orders stand for, from people of whom every third has preferences: the others get the defaults."""
+    p = derive.preferences(spark, sf_dir).where("telegram_id % 3 = 0")
+    o = derive.table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1).alias("telegram_id"), F.col("o_orderpriority").alias("source_id"))
+    _, after = store.save_subscriptions(o.limit(0), p, o, DEFAULTS)
+    return after.select("telegram_id", F.array_join("regions", ",").alias("regions"), F.array_join("categories", ",").alias("categories"), "delivery_time", "timezone", "max_items")
+
+
+def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored digests: their lines are items in order of price, so that ranks have no gaps."""
+    li, p = derive.table(spark, sf_dir, "lineitem"), derive.table(spark, sf_dir, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber"))
+    return rows.select("l_orderkey", nth.alias("place"), F.col("p_name").alias("startup_name"), F.concat(F.lit("https://src.example/"), F.col("l_suppkey").cast("string")).alias("source_url"), F.col("p_brand").alias("source_id"))
+
+
+def stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each delivery's stored digest, as of the version that was stored when it was queued: every item has another
+    name since, and open orders have lost theirs."""
+    rows = digest_rows(spark, sf_dir)
+    base = new_base(spark, "digests")
+    first = versions.commit(spark, base, {"items": rows})
+    queued = versions.commit(spark, base, {"queue": derive.deliveries(spark, sf_dir).select("id", "digest_date", F.substring_index("id", "_", -1).cast("long").alias("l_orderkey"))}, before=first)
+    versions.commit(spark, base, {"items": rows.where("l_orderkey % 2 = 0").withColumn("startup_name", F.lit("changed"))}, before=queued)
+    items = versions.read(spark, base, "items", rows.schema, versions.manifest(spark, base, queued["version"]))
+    queue = versions.read(spark, base, "queue", spark.createDataFrame([], "id string, digest_date string, l_orderkey bigint").schema, versions.current(spark, base))
+    none = F.array().cast("array<string>")
+    nothing = F.struct(*[F.lit("").alias(c) for c in ("round", "amount", "currency")], none.alias("investors"))
+    item = F.struct("place", "startup_name", F.lit("").alias("description"), F.lit("launch").alias("signal_type"), F.lit("").alias("region"), none.alias("categories"), nothing.alias("funding"), F.array(F.struct("source_id", "source_url")).alias("sources"))
+    lists = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    digests = queue.join(lists, "l_orderkey", "left").select("id", "digest_date", F.lit("UTC").alias("timezone"), F.coalesce("items", F.array().cast(lists.schema["items"].dataType)).alias("items"))
+    return render.messages(digests, 1 << 20)  # one message for each
+
+
+def receipt_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that orders as deliveries break, each planted in some of them."""
+    k = F.col("l_orderkey")
+    rows = digest_rows(spark, sf_dir).withColumns({"delivery_id": F.concat(F.lit("del_"), k.cast("string")), "digest_id": F.concat(F.lit("dig_"), k.cast("string"))})
+    good = F.to_json(F.array(F.struct("source_id", "source_url")))
+    bare = F.to_json(F.array(F.struct(F.lit(" ").alias("source_id"), "source_url")))
+    local = F.to_json(F.array(F.struct("source_id", F.lit("https://localhost/x").alias("source_url"))))
+    written = F.when(k % 47 == 0, "{").when(k % 47 == 1, "[]").when(k % 47 == 2, bare).when(k % 47 == 3, local).when(k % 47 == 4, "[3]").otherwise(good)
+    identity = F.when((k % 53 == 0) & (F.col("place") == 1), "").otherwise(F.concat(F.lit("c"), "place"))
+    items = rows.select("digest_id", F.when(k % 17 == 0, F.col("place") + 1).otherwise(F.col("place")).alias("rank"), identity.alias("candidate_identity"), "startup_name", written.alias("attributions_json"))
+    name = F.when(k % 19 == 0, "somebody").otherwise(F.col("startup_name"))
+    label, url = F.when(k % 37 == 0, "От:").otherwise(receipts.SOURCES), F.when(k % 31 == 0, "https://other.example/").otherwise(F.col("source_url"))
+    text = F.concat(F.lit("<b>"), name, F.lit("</b> "), label, F.lit(' <a href="'), url, F.lit('">s</a>'))
+    messages = rows.select("delivery_id", (F.col("place") - 1).alias("at"), F.when(k % 29 == 0, F.col("place") * 2).otherwise(F.col("place")).alias("sequence"), text.alias("text"), F.when(k % 23 > 0, "HTML").alias("parse_as"))
+    attempts = rows.where(~((k % 41 == 0) & (F.col("place") == 1))).select("delivery_id", F.lit("success").alias("status"), F.when(k % 43 == 0, "").otherwise("m").alias("message_id"))
+    n = rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    o = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(n, "l_orderkey", "left").na.fill(0, ["n"])
+    deliveries = o.select(F.concat(F.lit("del_"), k.cast("string")).alias("delivery_id"), F.concat(F.lit("dig_"), k.cast("string")).alias("digest_id"), F.lit(1).alias("attempt"), F.when(k % 59 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("confirmed_through"))
+    runs = o.select(F.concat(F.lit("dig_"), k.cast("string")).alias("digest_id"), F.when(k % 13 == 0, -1).when(k % 11 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("candidate_count"))
+    health = derive.source_health(spark, sf_dir).where("status IN ('ok', 'skipped', 'zero_yield')")
+    return receipts.violations(deliveries, runs, items, messages, attempts, health)
+
+
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the answers to a delivery's messages in order of time: its reports, as far as the first failure."""
+    e = derive.table(spark, sf_dir, "events")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = e.select(F.col("user_id").alias("delivery_id"), nth.alias("at"), "event_id", times.nanos(F.col("ts")).alias("attempted_nano"), "event_type")
+    answer = F.when(F.col("event_id") % 6 > 0, "ok").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "signup", "blocked").when(F.col("event_type") == "purchase", "unavailable").otherwise("ok")
+    messages = rows.select("delivery_id", "at", F.when(F.col("event_id") % 31 > 0, F.col("at")).otherwise(0).alias("sequence"), "attempted_nano", answer.alias("answer"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.lit("400").alias("error_code"))
+    return worker.reports(messages)
+
+
+def backfilled_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events from their stored text, range after range, stopped after two of them and gone on with."""
+    e = derive.table(spark, sf_dir, "events")
+    shown = F.when(F.col("event_id") % 13 == 0, "yesterday").otherwise(times.rfc3339(times.nanos(F.col("ts")) + F.col("event_id") % 1000))
+    rows = e.select("event_id", shown.alias("stamp"), F.when(F.col("event_id") % 2 == 0, times.nanos(F.col("ts"))).alias("nano"))
+    base, value = new_base(spark, "backfill"), times.parse_rfc3339(F.col("stamp"))
+    n = -(-rows.where("nano IS NULL").count() // 5)
+    backfill.run(rows, base, "event_id", "nano", value, batch=n, most=2)
+    backfill.run(rows, base, "event_id", "nano", value, batch=n)
+    return backfill.filled(rows, base, "event_id", "nano")
+
+
+def backfilled_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.attempt_times(derive.source_health(spark, sf_dir)).select("source_id", "status", "last_attempt_nano")
+
+
+def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries in files of three versions of a schema, a third of the orders each: with the columns that came later at their
+    defaults, and nulls that were written kept."""
+    d = derive.deliveries(spark, sf_dir)
+    number = F.substring_index("id", "_", -1).cast("long")
+    names = {1: ["id", "status"], 2: ["id", "status", "attempt"], 3: ["id", "status", "attempt", "next_attempt_nano", "reason"]}
+    base = new_base(spark, "schemas")
+    for v, columns in names.items():
+        d.where(number % 3 == v - 1).withColumns({"reason": F.when(number % 2 == 0, "told"), "next_attempt_nano": F.col("next_attempt_nano")}).select(*columns).write.parquet(f"{base}/v{v}")
+    schemas = {v: d.withColumn("reason", F.lit("").cast("string")).select(*columns).schema for v, columns in names.items()}
+    defaults = {"attempt": F.lit(0), "next_attempt_nano": F.lit(0).cast("long"), "reason": F.lit("")}
+    return store.read_versions(spark, {v: f"{base}/v{v}" for v in names}, schemas, defaults)
+
+
 def stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored times, read back from text: nanoseconds, empty ones, and text that is no time."""
     e = derive.table(spark, sf_dir, "events")
@@ -123,10 +267,13 @@ def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "store_subscribers": store_subscribers, "store_subscriptions": store_subscriptions, "store_preferences": store_preferences, "digest_snapshots": digest_snapshots, "digest_of_delivery": digest_of_delivery,
     "attempts_of_delivery": attempts_of_delivery, "ingested_sources": ingested_sources, "stored_times": stored_times, "attempt_ids": attempt_ids, "failure_notes": failure_notes,
-    "schedule_after_last": schedule_after_last, "catalog_problems": catalog_problems,
+    "schedule_after_last": schedule_after_last, "catalog_problems": catalog_problems, "repeated_health": repeated_health, "repeated_subscribers": repeated_subscribers,
+    "repeated_deliveries": repeated_deliveries, "default_preferences": default_preferences, "stored_messages": stored_messages, "receipt_violations": receipt_violations, "sent_messages": sent_messages,
+    "backfilled_times": backfilled_times, "backfilled_attempts": backfilled_attempts, "schema_versions": schema_versions,
 }
 
 LINES = "l AS (SELECT 'dig_' || l_orderkey AS digest_id, l_linenumber::INTEGER AS rank, p_name AS startup_name, l_quantity::INTEGER AS quantity, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey)"
+RANKED = "r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS place, p_name AS startup_name, 'https://src.example/' || l_suppkey AS source_url, p_brand AS source_id FROM lineitem JOIN part ON l_partkey = p_partkey)"
 ORACLE_SQL = {
     "store_subscribers": f"{with_('subscribers')} SELECT telegram_id, CASE WHEN active THEN upper(username) ELSE username END AS username, NOT active AS active, telegram_id * 1000000000 AS created_nano FROM subscribers",
     "store_subscriptions": "SELECT o_custkey + 1 AS telegram_id, o_orderpriority AS source_id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'old' ELSE 'new' END AS origin FROM orders GROUP BY ALL",
@@ -136,7 +283,43 @@ CASE WHEN telegram_id % 4 = 0 THEN 'UTC' ELSE timezone END AS timezone, CASE WHE
     "digest_of_delivery": f"""{with_('deliveries')}, {LINES} SELECT d.id, d.status, count(l.rank)::INTEGER AS n_items, coalesce(string_agg(l.rank || ':' || l.startup_name || ':' || l.quantity, ',' ORDER BY l.rank, l.startup_name, l.quantity), '') AS items
 FROM deliveries d LEFT JOIN l ON l.digest_id = 'dig_' || split_part(d.id, '_', 2) GROUP BY d.id, d.status""",
     "attempts_of_delivery": f"{with_('attempts')} SELECT delivery_id, count(*)::INTEGER AS n, string_agg(attempt_id || '=' || status, ',' ORDER BY attempted_nano, attempt_id, status) AS attempts FROM attempts GROUP BY delivery_id",
-    "ingested_sources": f"{with_('health')} SELECT source_id, CASE status WHEN 'ok' THEN 'new' ELSE 'old' END AS startup_name, CASE status WHEN 'ok' THEN {NOW_NANO} ELSE last_ingestion_nano END AS published_nano, status, CASE status WHEN 'ok' THEN {NOW_NANO} ELSE last_ingestion_nano END AS last_ingestion_nano FROM health",
+    "ingested_sources": f"""{with_('health')}, h AS (SELECT *, status = 'ok' AND split_part(source_id, '#', 2)::BIGINT % 4 <> 1 AS taken FROM health)
+SELECT source_id, CASE WHEN taken THEN 'new' ELSE 'old' END AS startup_name, CASE WHEN taken THEN {NOW_NANO} ELSE last_ingestion_nano END AS published_nano, status, CASE WHEN taken THEN {NOW_NANO} ELSE last_ingestion_nano END AS last_ingestion_nano FROM h""",
+    "repeated_health": f"""{with_('health')}, n AS (SELECT s_name AS source_id, last(CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'ok' END ORDER BY l_orderkey, l_linenumber, l_partkey) AS status,
+  last(epoch_us(l_shipdate::TIMESTAMP) * 1000 ORDER BY l_orderkey, l_linenumber, l_partkey) AS ingested, last(epoch_us(l_shipdate::TIMESTAMP) * 1000 - 1 ORDER BY l_orderkey, l_linenumber, l_partkey) FILTER (l_partkey % 3 = 0) AS attempted
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1), old AS (SELECT * FROM health WHERE split_part(source_id, '#', 2)::BIGINT % 3 <> 0)
+SELECT source_id, coalesce(n.status, old.status) AS status, coalesce(ingested, last_ingestion_nano) AS last_ingestion_nano, coalesce(attempted, last_attempt_nano) AS last_attempt_nano FROM n FULL JOIN old USING (source_id)""",
+    "repeated_subscribers": f"""{with_('subscribers')}, n AS (SELECT o_custkey + 1 AS telegram_id, coalesce(last('u' || o_orderkey ORDER BY o_orderkey) FILTER (o_orderkey % 3 > 0), '') AS username, last(o_orderstatus = 'F' ORDER BY o_orderkey) AS active, first(epoch_us(o_orderdate::TIMESTAMP) * 1000 ORDER BY o_orderkey) AS created_nano FROM orders GROUP BY 1),
+old AS (SELECT *, telegram_id * 1000000000 AS created_nano FROM subscribers WHERE telegram_id % 2 = 0)
+SELECT telegram_id, CASE WHEN n.username <> '' OR old.username IS NULL THEN n.username ELSE old.username END AS username, coalesce(n.active, old.active) AS active, coalesce(old.created_nano, n.created_nano) AS created_nano FROM n FULL JOIN old USING (telegram_id)""",
+    "repeated_deliveries": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'retry' WHEN event_id % 23 = 0 THEN 'sent' ELSE 'due' END AS status, (event_id % 3)::INTEGER AS attempt, (event_id % 4)::INTEGER AS confirmed, epoch_us(ts) * 1000 AS nano FROM events),
+n AS (SELECT user_id, first(confirmed ORDER BY event_id) AS confirmed, first(nano ORDER BY event_id) AS nano, coalesce(first(status ORDER BY event_id) FILTER (status = 'sent'), last(status ORDER BY event_id)) AS status,
+  coalesce(first(attempt ORDER BY event_id) FILTER (status = 'sent'), last(attempt ORDER BY event_id)) AS attempt FROM e GROUP BY 1)
+SELECT user_id::VARCHAR AS id, CASE WHEN user_id % 10 = 0 THEN 'blocked' ELSE status END AS status, CASE WHEN user_id % 10 = 0 THEN 9 ELSE attempt END AS attempt, CASE WHEN user_id % 2 = 0 THEN 7 ELSE confirmed END AS confirmed_through, CASE WHEN user_id % 2 = 0 THEN 5 ELSE nano END AS created_nano FROM n""",
+    "default_preferences": f"""{with_('preferences')} SELECT telegram_id, region AS regions, category AS categories, delivery_time, timezone, max_items FROM preferences WHERE telegram_id % 3 = 0
+UNION ALL SELECT DISTINCT o_custkey + 1, 'EUROPE', 'AI', '09:00', 'UTC', 10 FROM orders WHERE (o_custkey + 1) % 3 <> 0""",
+    "stored_messages": f"""{with_('deliveries')}, {RANKED}, b AS (SELECT l_orderkey, string_agg(place || '. <b>' || startup_name || '</b>' || chr(10) || '📝 <b>Описание:</b> Стартап с актуальным сигналом: запуск.' || chr(10)
+  || '💡 <b>Почему интересно:</b> Свежий запуск показывает, что продукт уже представлен рынку.' || chr(10) || '📣 Сигнал: запуск' || chr(10) || '🔗 Источники: <a href="' || source_url || '">' || source_id || '</a>', chr(10) || chr(10) ORDER BY place) AS blocks FROM r GROUP BY 1)
+SELECT id, 1 AS sequence, '🚀 <b>Стартапы дня</b>' || chr(10) || '<i>' || day(digest_date::DATE) || ' ' || {list(render.MONTHS)}[month(digest_date::DATE)] || ' ' || year(digest_date::DATE) || ' · UTC</i>' || chr(10) || chr(10) || coalesce(blocks, '{render.EMPTY}') AS text
+FROM deliveries LEFT JOIN b ON l_orderkey = split_part(id, '_', 2)::BIGINT""",
+    "receipt_violations": f"""WITH {RANKED}, n AS (SELECT o_orderkey AS k, coalesce(n, 0) AS n, coalesce(names, 0) AS names FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT startup_name) AS names FROM r GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT 'del_' || k AS delivery_id, unnest(list_filter([CASE WHEN n > 10 THEN 'digest_item_limit_exceeded' END, CASE WHEN k % 13 = 0 THEN 'candidate_count_invalid' END,
+  CASE WHEN n <> least(CASE WHEN k % 13 = 0 THEN -1 WHEN k % 11 = 0 THEN n + 1 ELSE n END, 10) THEN 'digest_candidate_count_mismatch' END, CASE WHEN n > 0 AND k % 17 = 0 THEN 'digest_rank_invalid' END,
+  CASE WHEN n > 0 AND k % 53 = 0 THEN 'digest_candidate_identities_not_unique' END, CASE WHEN n > 0 AND k % 47 IN (0, 2, 4) THEN 'attribution_invalid' END, CASE WHEN n > 0 AND k % 47 = 1 THEN 'attribution_missing' END,
+  CASE WHEN n > 0 AND k % 47 = 3 THEN 'publisher_link_invalid' END, CASE WHEN n = 0 THEN 'rendered_messages_missing' END, CASE WHEN n > 0 AND k % 23 = 0 THEN 'rendered_message_invalid' END, CASE WHEN n > 0 AND k % 29 = 0 THEN 'rendered_sequence_invalid' END,
+  CASE WHEN n > 0 AND k % 37 = 0 THEN 'rendered_attribution_missing' END, CASE WHEN n BETWEEN 1 AND 10 AND k % 19 = 0 THEN 'rendered_item_missing' END, CASE WHEN n > 0 AND k % 31 = 0 AND k % 47 > 4 THEN 'rendered_publisher_link_missing' END,
+  CASE WHEN k % 59 = 0 OR (n > 0 AND (k % 41 = 0 OR k % 43 = 0)) THEN 'telegram_ack_missing' END], lambda x: x IS NOT NULL)) AS kind FROM n""",
+    "sent_messages": f"""WITH e AS (SELECT user_id AS delivery_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id, epoch_us(ts) * 1000 AS attempted_nano,
+  CASE WHEN event_id % 6 > 0 THEN 'ok' ELSE CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'blocked' WHEN 'purchase' THEN 'unavailable' ELSE 'ok' END END AS answer, event_id % 31 > 0 AS sound FROM events),
+w AS (SELECT *, coalesce(max(CASE WHEN NOT sound OR answer <> 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY delivery_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM e)
+SELECT delivery_id, place::INTEGER AS "at", attempted_nano, CASE answer WHEN 'ok' THEN 'success' WHEN 'blocked' THEN 'blocked' ELSE 'failed' END AS status, place::INTEGER AS sequence, CASE answer WHEN 'ok' THEN 'm' || event_id END AS message_id,
+CASE WHEN answer IN ('rejected', 'blocked') THEN '400' END AS error_code, CASE WHEN answer IN ('rejected', 'blocked') THEN '{worker.REJECTED}' WHEN answer <> 'ok' THEN '{worker.UNAVAILABLE}' END AS error_message FROM w WHERE stopped = 0 AND sound""",
+    "backfilled_times": f"""WITH e AS (SELECT event_id, epoch_us(ts) * 1000 + event_id % 1000 AS n, ts, event_id % 13 = 0 AS bad FROM events)
+SELECT event_id, CASE WHEN bad THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || lpad((n % 1000000000)::VARCHAR, 9, '0'), '0'), '.') || 'Z' END AS stamp,
+CASE WHEN event_id % 2 = 0 THEN n - event_id % 1000 WHEN bad THEN {times.CORRUPT} ELSE n END AS nano FROM e""",
+    "backfilled_attempts": f"{with_('health')} SELECT source_id, status, CASE WHEN last_attempt_nano IS NULL AND status IN ('ok', 'failed', 'fetching') THEN last_ingestion_nano ELSE last_attempt_nano END AS last_attempt_nano FROM health",
+    "schema_versions": f"""{with_('deliveries')}, d AS (SELECT *, split_part(id, '_', 2)::BIGINT AS k FROM deliveries)
+SELECT id, status, CASE WHEN k % 3 > 0 THEN attempt ELSE 0 END AS attempt, CASE WHEN k % 3 = 2 THEN next_attempt_nano ELSE 0 END AS next_attempt_nano, CASE WHEN k % 3 <> 2 THEN '' WHEN k % 2 = 0 THEN 'told' END AS reason FROM d""",
     "stored_times": f"""WITH e AS (SELECT event_id, epoch_us(ts) * 1000 + event_id % 1000 AS n, ts FROM events),
 s AS (SELECT event_id, n, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || lpad((n % 1000000000)::VARCHAR, 9, '0'), '0'), '.') || 'Z' END AS stamp FROM e)
 SELECT event_id, stamp, CASE stamp WHEN '' THEN NULL WHEN 'yesterday' THEN {times.CORRUPT} ELSE n END AS nano, '' AS note FROM s""",
