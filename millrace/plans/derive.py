@@ -74,6 +74,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def priority(source_id: F.Column) -> F.Column:
+    """Brands have priorities from -3 to 9."""
+    return (F.substring_index(source_id, "#", -1).cast("int") % 5 - 1) * 3
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     created = nanos(F.col("o_orderdate"))

@@ -78,11 +78,15 @@ def open_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_subscribers(spark, sf_dir).where("due").join(existing(spark, sf_dir), ["telegram_id", "digest_date"], "left_anti")
 
 
+def with_base(items: DataFrame) -> DataFrame:
+    """Items with `score`, the part of it that is the same for all."""
+    return items.withColumn("score", scoring.base_score(F.col("signal_type"), F.col("funding"), F.col("sources"), F.col("published_nano").isNotNull(), derive.priority))
+
+
 def scored(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Items of each profile's window with the profile's score."""
-    base = items.withColumn("base", scoring.base_score(F.col("signal_type"), F.col("funding"), F.col("sources"), F.col("published_nano").isNotNull()))
-    rows = base.join(profiles, "window_id")
-    return rows.withColumn("score", F.col("base") + scoring.category_score(F.col("categories"), F.col("liked_categories")) + scoring.region_score(F.col("region"), F.col("liked_regions")))
+    """Items with `kind`, in each profile of their window, with the profile's score."""
+    rows = items.join(selection.kind_scores(items, profiles), ["window_id", "kind"])
+    return rows.withColumn("score", F.col("score") + F.col("bonus")).drop("kind", "bonus")
 
 
 def profiles(subscribers: DataFrame) -> DataFrame:
@@ -95,13 +99,14 @@ PROFILE = ["window_id", "liked_regions", "liked_categories"]
 def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen items of each due subscriber's digest."""
     people = open_subscribers(spark, sf_dir)
-    items = staged(candidates(spark, sf_dir))
+    likes = staged(profiles(people))
+    items = staged(selection.with_kinds(with_base(candidates(spark, sf_dir)), likes))
     counts = items.groupBy("window_id").agg(F.count(F.lit(1)).alias("candidate_count"))
     # the most that any limit takes, by keys alone; a lower limit takes the first by choice
-    best = selection.balanced(scored(items, profiles(people)), *PROFILE)
+    best = selection.balanced(scored(staged(selection.contenders(items)), likes), *PROFILE)
     rows = people.select("telegram_id", "digest_date", "limit", "window_id", F.col("regions").alias("liked_regions"), F.col("categories").alias("liked_categories"))
     rows = rows.join(best, PROFILE).where(F.col("choice") <= F.col("limit"))
-    rows = rows.join(counts, "window_id").join(items.drop("published_nano"), ["window_id", "identity"])
+    rows = rows.join(counts, "window_id").join(items.drop("published_nano", "score", "kind"), ["window_id", "identity"])
     # at most ten rows of a subscriber: place among them in order of rank
     mine = F.row_number().over(selection.Window.partitionBy("telegram_id").orderBy("key"))
     digest = ids.digest_id(F.col("telegram_id"), F.col("digest_date"))
@@ -177,7 +182,7 @@ existing AS (SELECT DISTINCT d.telegram_id FROM deliveries d JOIN people USING (
 open_people AS (SELECT *, timezone || '|' || digest_date AS window_id FROM people WHERE due AND telegram_id NOT IN (SELECT telegram_id FROM existing))"""
 SCORE_SQL = """scored AS (SELECT o.telegram_id, o.digest_date, o.lim, i.*,
   i.w + CASE WHEN f.amount <> '' THEN 30 ELSE 0 END + CASE WHEN f.round <> '' THEN 10 ELSE 0 END + CASE WHEN len(investors) > 0 THEN 10 ELSE 0 END
-  + len(sources) * 5 + 10 + 25 * len(list_filter(categories, lambda c: c = o.liked_category)) + CASE WHEN i.region = o.liked_region THEN 25 ELSE 0 END AS score
+  + len(sources) * 5 + list_sum(list_transform(sources, lambda s: (split_part(split_part(s, '@', 1), '#', 2)::INTEGER % 5 - 1) * 3))::INTEGER + 10 + 25 * len(list_filter(categories, lambda c: c = o.liked_category)) + CASE WHEN i.region = o.liked_region THEN 25 ELSE 0 END AS score
   FROM open_people o JOIN items i USING (window_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY telegram_id ORDER BY score DESC, published_nano DESC, lower(startup_name), identity) AS rank FROM scored)"""
 CHOICE_SQL = """skeys AS (SELECT DISTINCT telegram_id, rank, split_part(s, '@', 1) AS sk FROM (SELECT telegram_id, rank, unnest(sources) AS s FROM ranked)),
@@ -240,19 +245,34 @@ def item_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("window_id", "group_key", "identity")
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and ranks of all items for each set of preferences."""
-    return selection.ranked(scored(staged(candidates(spark, sf_dir)), profiles(open_subscribers(spark, sf_dir))), *PROFILE)
+def profile_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles by number, items, ranks): ranks are (profile, tie, score, rank) of all items for each set of preferences, in
+    numbers alone. tie is an item's place in its window by what comes after the score, the same for all profiles."""
+    likes = staged(profiles(open_subscribers(spark, sf_dir)).withColumn("profile", F.monotonically_increasing_id()))
+    items = with_base(candidates(spark, sf_dir))
+    after = [F.col("published_nano").desc(), F.lower("startup_name").asc(), F.col("identity").asc()]
+    items = items.withColumn("tie", F.row_number().over(selection.Window.partitionBy("window_id").orderBy(*after)))
+    items = staged(selection.with_kinds(items, likes))
+    bonus = selection.kind_scores(items, likes).select("window_id", "kind", "profile", "bonus")
+    rows = items.select("window_id", "kind", "tie", "score").join(bonus, ["window_id", "kind"]).select("profile", "tie", (F.col("score") + F.col("bonus")).alias("score"))
+    return likes, items, rows.withColumn("rank", F.row_number().over(selection.Window.partitionBy("profile").orderBy(F.col("score").desc(), "tie")))
+
+
+LIKED = ["array_join(liked_regions, ',') AS liked_region", "array_join(liked_categories, ',') AS liked_category"]
 
 
 def ranked_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).select("window_id", F.array_join("liked_regions", ",").alias("liked_region"), F.array_join("liked_categories", ",").alias("liked_category"), F.col("rank").cast("int").alias("rank"), "identity", F.col("score").cast("int").alias("score"))
+    likes, items, ranks = profile_ranks(spark, sf_dir)
+    rows = ranks.join(likes, "profile").join(items.select("window_id", "tie", "identity"), ["window_id", "tie"])
+    return rows.select("window_id", *map(F.expr, LIKED), F.col("rank").cast("int").alias("rank"), "identity", F.col("score").cast("int").alias("score"))
 
 
 def selected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = staged(ranked(spark, sf_dir).select(*PROFILE, "rank", "identity", "sources"))
-    rows = selection.chosen(keys, *PROFILE, limit=F.lit(7))
-    return rows.select("window_id", F.array_join("liked_regions", ",").alias("liked_region"), F.array_join("liked_categories", ",").alias("liked_category"), F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"), "identity")
+    likes, items, ranks = profile_ranks(spark, sf_dir)
+    able = selection.contenders(items).select("window_id", "tie", "identity", "sources")
+    keys = staged(ranks.join(likes.select("profile", "window_id"), "profile").join(able, ["window_id", "tie"]).select("profile", "rank", "identity", "sources"))
+    rows = selection.chosen(keys, "profile", limit=F.lit(7)).join(likes, "profile")
+    return rows.select("window_id", *map(F.expr, LIKED), F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"), "identity")
 
 
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +302,7 @@ def cycle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILE_SQL = """profiles AS (SELECT DISTINCT window_id, liked_region, liked_category FROM open_people),
 pscored AS (SELECT p.liked_region, p.liked_category, i.*,
   i.w + CASE WHEN f.amount <> '' THEN 30 ELSE 0 END + CASE WHEN f.round <> '' THEN 10 ELSE 0 END + CASE WHEN len(investors) > 0 THEN 10 ELSE 0 END
-  + len(sources) * 5 + 10 + 25 * len(list_filter(categories, lambda c: c = p.liked_category)) + CASE WHEN i.region = p.liked_region THEN 25 ELSE 0 END AS score
+  + len(sources) * 5 + list_sum(list_transform(sources, lambda s: (split_part(split_part(s, '@', 1), '#', 2)::INTEGER % 5 - 1) * 3))::INTEGER + 10 + 25 * len(list_filter(categories, lambda c: c = p.liked_category)) + CASE WHEN i.region = p.liked_region THEN 25 ELSE 0 END AS score
   FROM profiles p JOIN items i USING (window_id)),
 pranked AS (SELECT *, window_id || liked_region || liked_category AS pid, row_number() OVER (PARTITION BY window_id, liked_region, liked_category ORDER BY score DESC, published_nano DESC, lower(startup_name), identity)::INTEGER AS rank FROM pscored)"""
 PCHOICE_SQL = """pkeys AS (SELECT DISTINCT pid, rank, split_part(s, '@', 1) AS sk FROM (SELECT pid, rank, unnest(sources) AS s FROM pranked)),
