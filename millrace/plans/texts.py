@@ -35,18 +35,26 @@ def first_words(column: str, n: int) -> F.Column:
     return F.array_join(F.slice(F.split(F.col(column), " "), 1, n), " ")
 
 
+def runs_of_words(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Whole documents as names: all their words in runs of n, numbered. A null text is one null."""
+    d = derive.table(spark, sf_dir, "documents").withColumn("words", F.split("text", " "))
+    last = F.coalesce(F.greatest(F.ceil(F.size("words") / n), F.lit(1)), F.lit(1)).cast("int") - 1
+    rows = d.select("doc_id", "source", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    return rows.select("doc_id", "source", "at", F.array_join(F.slice("words", F.col("at") * n + 1, F.lit(n)), " ").alias("name"))
+
+
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = derive.table(spark, sf_dir, "documents")
-    name = F.concat(first_words("text", 3), element(("", " Ltd", ", Inc.", " GmbH"), F.col("doc_id") % 4))
-    token, stripped = text.name_token(name), text.name_token(name, strip_suffix=True)
-    return d.select("doc_id", token.alias("token"), stripped.alias("stripped"), text.alias_eligible(stripped).alias("eligible"), text.plain_token(name).alias("plain"), text.valid_name(text.squeezed(name)).alias("valid"))
+    name = F.concat("name", element(("", " Ltd", ", Inc.", " GmbH"), (F.col("doc_id") + F.col("at")) % 4))
+    token, stripped = text.name_token(F.col("name")), text.name_token(F.col("name"), strip_suffix=True)
+    rows = runs_of_words(spark, sf_dir, 3).withColumn("name", name)
+    return rows.select("doc_id", "at", token.alias("token"), stripped.alias("stripped"), text.alias_eligible(stripped).alias("eligible"), text.plain_token(F.col("name")).alias("plain"), text.valid_name(text.squeezed(F.col("name"))).alias("valid"))
 
 
 def signal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = derive.table(spark, sf_dir, "documents")
     nano = (F.lit(START) + F.col("doc_id")) * F.lit(10**9) + F.col("doc_id") % 3 * F.lit(123_450_000)
     url = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
-    return d.select("doc_id", times.rfc3339(nano).alias("stamp"), identity.signal_id(F.col("source"), F.lit(""), url, first_words("text", 2), nano).alias("id"))
+    rows = runs_of_words(spark, sf_dir, 2)
+    return rows.select("doc_id", "at", times.rfc3339(nano).alias("stamp"), identity.signal_id(F.col("source"), F.lit(""), url, F.col("name"), nano).alias("id"))
 
 
 def payload_text() -> F.Column:
@@ -162,6 +170,8 @@ NORMAL = NORMAL.replace("|| nullif(regexp_extract({0}, '^[^:]+://[^/?#]+([^?#]*)
 CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'),
   '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[<>\p{Cc}]|[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"""
+RUNS = """w AS (SELECT doc_id, source, string_split(text, ' ') AS words FROM documents),
+runs AS (SELECT doc_id, source, "at"::INTEGER AS "at", array_to_string(words["at" * {0} + 1 : "at" * {0} + {0}], ' ') AS name FROM (SELECT *, unnest(range(greatest(coalesce((len(words) + {0} - 1) // {0}, 1), 1))) AS "at" FROM w))"""
 WORDS3 = "array_to_string(list_slice(string_split(text, ' '), 1, {0}), ' ')"
 TITLES = f"""t AS (SELECT p_partkey, {list(LEADS)}[(p_partkey // 12) % 5 + 1] || n || ' ' || {list(TAILS)}[p_partkey % 12 + 1] AS title
   FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n FROM part))"""
@@ -188,13 +198,13 @@ ORACLE_SQL = {
     "url_normalize": f"SELECT page_id, {NORMAL.format('url')} AS normal, {NORMAL.format('u2')} AS as_https FROM (SELECT page_id, url, regexp_replace(url, '^http:', 'HTTPS:') AS u2 FROM pages)",
     "url_reject_reasons": "SELECT CASE WHEN url LIKE 'https:%' THEN 'fine' ELSE 'not_https' END AS reason, url LIKE 'https:%' AS public, count(*) AS n FROM pages GROUP BY ALL",
     "clean_feed_text": f"SELECT page_id, {CLEAN}[:280] AS clean, {CLEAN} AS whole FROM pages",
-    "name_tokens": rf"""WITH n AS (SELECT doc_id, {WORDS3.format(3)} || ['', ' Ltd', ', Inc.', ' GmbH'][doc_id % 4 + 1] AS name FROM documents),
-t AS (SELECT doc_id, name, trim(regexp_replace(lower(name), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '-') AS token FROM n),
+    "name_tokens": rf"""WITH {RUNS.format(3)}, n AS (SELECT doc_id, "at", name || ['', ' Ltd', ', Inc.', ' GmbH'][(doc_id + "at") % 4 + 1] AS name FROM runs),
+t AS (SELECT doc_id, "at", name, trim(regexp_replace(lower(name), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '-') AS token FROM n),
 u AS (SELECT *, regexp_replace(token, '-(company|corp|corporation|gmbh|inc|incorporated|limited|llc|ltd|plc)$', '') AS s, trim(regexp_replace(name, '[\s\p{{Z}}]+', ' ', 'g')) AS sq FROM t)
-SELECT doc_id, token, s AS stripped, {ELIGIBLE} AS eligible, lower(replace(sq, ' ', '-')) AS plain, length(sq) BETWEEN 2 AND 120 AND NOT regexp_matches(sq, '[\p{{Cc}}\p{{Cf}}]') AS valid FROM u""",
-    "signal_ids": rf"""WITH n AS (SELECT doc_id, source, trim(regexp_replace(lower({WORDS3.format(2)}), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '-') AS token,
-  strftime(make_timestamp(({START} + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S') || ['', '.12345', '.2469'][doc_id % 3 + 1] || 'Z' AS stamp FROM documents)
-SELECT doc_id, stamp, 'sig_' || sha1(source || '||https://docs.example/' || doc_id || '|' || token || '|' || stamp)[:24] AS id FROM n""",
+SELECT doc_id, "at", token, s AS stripped, {ELIGIBLE} AS eligible, lower(replace(sq, ' ', '-')) AS plain, length(sq) BETWEEN 2 AND 120 AND NOT regexp_matches(sq, '[\p{{Cc}}\p{{Cf}}]') AS valid FROM u""",
+    "signal_ids": rf"""WITH {RUNS.format(2)}, n AS (SELECT doc_id, "at", source, trim(regexp_replace(lower(name), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '-') AS token,
+  strftime(make_timestamp(({START} + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S') || ['', '.12345', '.2469'][doc_id % 3 + 1] || 'Z' AS stamp FROM runs)
+SELECT doc_id, "at", stamp, 'sig_' || sha1(source || '||https://docs.example/' || doc_id || '|' || token || '|' || stamp)[:24] AS id FROM n""",
     "funding_payload": """WITH e AS (SELECT event_id, event_id % 5 AS m, json_extract_string(props, '$.k') AS n FROM events)
 SELECT event_id, CASE m WHEN 0 THEN 'AI,Data' WHEN 1 THEN 'AI' ELSE '' END AS categories, CASE m WHEN 0 THEN 'Seed' WHEN 1 THEN 'seed' ELSE '' END AS round,
   CASE m WHEN 0 THEN n || ' million' WHEN 1 THEN n || ' m' ELSE '' END AS amount, CASE m WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR' ELSE '' END AS currency,
