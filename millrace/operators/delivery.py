@@ -99,11 +99,11 @@ def folded(reports: DataFrame, state: DataFrame, owned: DataFrame, rivals: DataF
         after = staged(accepted_by(now, first).drop("moved"))
         dropped(now)
         now = after
-        taken.append(staged(first.select("delivery_id", F.col("r.attempt_id").alias("attempt_id"), F.col("r.at").alias("at"))))
+        taken.append(first.select("delivery_id", F.col("r.attempt_id").alias("attempt_id"), F.col("r.at").alias("at")))
     found = taken[0] if taken else left.select("delivery_id", "attempt_id", "at").limit(0)
     for some in taken[1:]:
         found = found.unionByName(some)
-    return now, staged(found)
+    return now, found
 
 
 def owners(accepted: DataFrame) -> DataFrame:
