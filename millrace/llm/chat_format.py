@@ -43,7 +43,8 @@ def events_of(messages: DataFrame) -> DataFrame:
 
     What assistants say is streamed as a draft, regenerated, and streamed again in deltas of PIECE characters (longer
     ones in long texts, PIECES at most); before the regeneration a reply to the draft has begun, which it drops. What others
-    say is sent with a slip and edited. All follows from the row itself, and null texts stay empty.
+    say is sent with a slip and edited. All follows from the row itself, and null texts stay empty; a row that repeats
+    another has the same events at the same places, and an empty table has none.
     """
     text, turn = F.coalesce("text", F.lit("")), F.coalesce(F.col("turn").cast("long"), F.lit(0))
     piece = F.greatest(F.lit(PIECE), F.ceil(F.char_length(text) / PIECES)).cast("int")

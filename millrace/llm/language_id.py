@@ -82,7 +82,8 @@ def to_learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and their distributions over buckets (BUCKETS x languages). Counts cover all rows with a language; a
     task sums its own first, and BUCKETS numbers for each language reach the driver. More than LANGUAGES different
-    languages are an error: such a column names something else."""
+    languages are an error: such a column names something else. Repeated rows count each; null texts count nothing; an
+    empty table, or one without languages, gives no languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -193,7 +194,8 @@ def predicted(texts: list[str | None], names: list[str], p: np.ndarray) -> tuple
 
 def predict(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, languages (the set chosen). Only the text is looked at; a null
-    text, one without letters, or a model without languages gives `und` and 0. A plain map over whole texts."""
+    text, one without letters, or a model without languages gives `und` and 0; repeated rows are predicted each; an empty
+    table gives an empty one. A plain map over whole texts."""
     kind = docs.schema[id_col].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast((names, p))
 

@@ -152,7 +152,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text
     """One row per row of docs: id, n_tokens (all ids), ids_sha256, decoded_sha256.
 
     Null and empty texts have just the begin and end ids and decode to the empty text; a null id stays null;
-    repeated rows are encoded each; other columns of docs are not read. A plain map: no shuffle, and memory bounded
+    repeated rows are encoded each; other columns of docs are not read; an empty table gives an empty one. A plain map: no shuffle, and memory bounded
     by one Arrow batch, MEMO and PAIRS.
     """
 

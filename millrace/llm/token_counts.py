@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, id_col
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have no bytes and no tokens; a null id stays null; repeated rows are counted each; other
-    columns of docs are not read. A plain map: no shuffle, and memory bounded by one Arrow batch and MEMO.
+    columns of docs are not read; an empty table gives an empty one. A plain map: no shuffle, and memory bounded by one Arrow batch and MEMO.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
