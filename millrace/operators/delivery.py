@@ -221,3 +221,19 @@ def latest(deliveries: DataFrame) -> DataFrame:
     """The newest delivery of each subscriber."""
     newest = Window.partitionBy("telegram_id").orderBy(F.col("created_nano").desc(), F.col("id").desc())
     return deliveries.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+
+
+def snapshot(deliveries: DataFrame, runs: DataFrame, items: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What is stored of each subscriber's newest delivery: its row with digest_id, candidate_count of its run, its items in
+    order of rank and id, and its attempts in order of time and id. A delivery whose digest has no run gives none.
+
+    Only rows of newest deliveries are put together, an array for each kind, as the result holds them.
+    """
+    newest = latest(deliveries).join(runs.select("digest_id", "candidate_count"), "digest_id")
+    own = items.join(newest.select("digest_id"), "digest_id", "left_semi")
+    shown = own.groupBy("digest_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "candidate_identity", "startup_name"))).alias("items"))
+    tried = attempts.join(newest.select(F.col("id").alias("delivery_id")), "delivery_id", "left_semi")
+    told = tried.groupBy("delivery_id").agg(F.array_sort(F.collect_list(F.struct("attempted_nano", "attempt_id", "status", "message_id"))).alias("attempts"))
+    rows = newest.join(shown, "digest_id", "left").join(told.withColumnRenamed("delivery_id", "id"), "id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind.schema[c].dataType)).alias(c)
+    return rows.select(*deliveries.columns, "candidate_count", empty("items", shown), empty("attempts", told))

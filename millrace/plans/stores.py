@@ -179,6 +179,23 @@ def receipt_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.violations(deliveries, runs, items, messages, attempts, health)
 
 
+def delivery_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest delivery of each subscriber with its digest and attempts: orders, their lines by price, and events dealt to
+    the orders."""
+    d = derive.deliveries(spark, sf_dir).withColumn("digest_id", F.concat(F.lit("dig_"), F.substring_index("id", "_", -1)))
+    rows = digest_rows(spark, sf_dir)
+    items = rows.select(F.concat(F.lit("dig_"), F.col("l_orderkey").cast("string")).alias("digest_id"), F.col("place").alias("rank"), F.concat(F.lit("i"), F.col("place").cast("string")).alias("id"), F.lit("c").alias("candidate_identity"), "startup_name")
+    k = F.substring_index("id", "_", -1).cast("long")
+    runs = d.where(k % 7 > 0).select("digest_id", (k % 20).cast("int").alias("candidate_count"))
+    n = derive.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    e = derive.attempts(spark, sf_dir)
+    attempts = e.select(F.concat(F.lit("del_"), (F.col("event_id") * 7 % n).cast("string")).alias("delivery_id"), "attempt_id", "attempted_nano", "status", F.when(F.col("status") == "success", F.concat(F.lit("m"), F.col("event_id").cast("string"))).alias("message_id"))
+    got = delivery.snapshot(d, runs, items, attempts)
+    shown = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["rank"].cast("string"), i["startup_name"])), ",")
+    told = F.array_join(F.transform("attempts", lambda a: F.concat_ws("=", a["status"], a["message_id"])), ",")
+    return got.select("telegram_id", "id", "digest_id", "status", "attempt", "confirmed_through", "candidate_count", shown.alias("items"), told.alias("attempts"))
+
+
 def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the answers to a delivery's messages in order of time: its reports, as far as the first failure."""
     e = derive.table(spark, sf_dir, "events")
@@ -268,7 +285,7 @@ QUERIES = {
     "store_subscribers": store_subscribers, "store_subscriptions": store_subscriptions, "store_preferences": store_preferences, "digest_snapshots": digest_snapshots, "digest_of_delivery": digest_of_delivery,
     "attempts_of_delivery": attempts_of_delivery, "ingested_sources": ingested_sources, "stored_times": stored_times, "attempt_ids": attempt_ids, "failure_notes": failure_notes,
     "schedule_after_last": schedule_after_last, "catalog_problems": catalog_problems, "repeated_health": repeated_health, "repeated_subscribers": repeated_subscribers,
-    "repeated_deliveries": repeated_deliveries, "default_preferences": default_preferences, "stored_messages": stored_messages, "receipt_violations": receipt_violations, "sent_messages": sent_messages,
+    "repeated_deliveries": repeated_deliveries, "default_preferences": default_preferences, "stored_messages": stored_messages, "receipt_violations": receipt_violations, "delivery_snapshot": delivery_snapshot, "sent_messages": sent_messages,
     "backfilled_times": backfilled_times, "backfilled_attempts": backfilled_attempts, "schema_versions": schema_versions,
 }
 
@@ -309,6 +326,10 @@ SELECT 'del_' || k AS delivery_id, unnest(list_filter([CASE WHEN n > 10 THEN 'di
   CASE WHEN n > 0 AND k % 47 = 3 THEN 'publisher_link_invalid' END, CASE WHEN n = 0 THEN 'rendered_messages_missing' END, CASE WHEN n > 0 AND k % 23 = 0 THEN 'rendered_message_invalid' END, CASE WHEN n > 0 AND k % 29 = 0 THEN 'rendered_sequence_invalid' END,
   CASE WHEN n > 0 AND k % 37 = 0 THEN 'rendered_attribution_missing' END, CASE WHEN n BETWEEN 1 AND 10 AND k % 19 = 0 THEN 'rendered_item_missing' END, CASE WHEN n > 0 AND k % 31 = 0 AND k % 47 > 4 THEN 'rendered_publisher_link_missing' END,
   CASE WHEN k % 59 = 0 OR (n > 0 AND (k % 41 = 0 OR k % 43 = 0)) THEN 'telegram_ack_missing' END], lambda x: x IS NOT NULL)) AS kind FROM n""",
+    "delivery_snapshot": f"""{with_('deliveries', 'attempts')}, {RANKED}, d AS (SELECT *, split_part(id, '_', 2)::BIGINT AS k FROM deliveries QUALIFY row_number() OVER (PARTITION BY telegram_id ORDER BY created_nano DESC, id DESC) = 1),
+i AS (SELECT l_orderkey AS k, string_agg(place || ':' || startup_name, ',' ORDER BY place) AS items FROM r GROUP BY 1),
+a AS (SELECT event_id * 7 % (SELECT max(o_orderkey) + 1 FROM orders) AS k, string_agg(CASE status WHEN 'success' THEN 'success=m' || event_id ELSE status END, ',' ORDER BY attempted_nano, attempt_id) AS attempts FROM attempts GROUP BY 1)
+SELECT telegram_id, id, 'dig_' || k AS digest_id, status, attempt, confirmed_through, (k % 20)::INTEGER AS candidate_count, coalesce(items, '') AS items, coalesce(attempts, '') AS attempts FROM d LEFT JOIN i USING (k) LEFT JOIN a USING (k) WHERE k % 7 > 0""",
     "sent_messages": f"""WITH e AS (SELECT user_id AS delivery_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id, epoch_us(ts) * 1000 AS attempted_nano,
   CASE WHEN event_id % 6 > 0 THEN 'ok' ELSE CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'blocked' WHEN 'purchase' THEN 'unavailable' ELSE 'ok' END END AS answer, event_id % 31 > 0 AS sound FROM events),
 w AS (SELECT *, coalesce(max(CASE WHEN NOT sound OR answer <> 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY delivery_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM e)
