@@ -60,3 +60,13 @@ def parsed(text: Column, zones: list[str]) -> Column:
 
 def stored(prefs: DataFrame) -> DataFrame:
     return prefs.withColumn("max_items", stored_limit(F.col("max_items")).cast("int"))
+
+
+def contracts(subscribers: DataFrame, preferences: DataFrame) -> DataFrame:
+    """(telegram_id, subscriber, preferences): what a service shows of a subscriber and of their preferences, as JSON. Lists
+    that are null are shown empty; a subscriber without preferences has none to show."""
+    none = F.array().cast("array<string>")
+    settings = F.struct(F.coalesce("regions", none).alias("regions"), F.coalesce("categories", none).alias("categories"), "delivery_time", "timezone", "max_items")
+    shown = preferences.select("telegram_id", F.to_json(settings).alias("preferences"))
+    people = subscribers.select("telegram_id", F.to_json(F.struct("telegram_id", "username", "active")).alias("subscriber"))
+    return people.join(shown, "telegram_id", "left")

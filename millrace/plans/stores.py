@@ -196,6 +196,33 @@ def delivery_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("telegram_id", "id", "digest_id", "status", "attempt", "confirmed_through", "candidate_count", shown.alias("items"), told.alias("attempts"))
 
 
+def upsert_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that are saved again, every second of them twice: the last save replaces the whole row, others stay."""
+    a = derive.attempts(spark, sf_dir).select("attempt_id", "delivery_id", "attempted_nano", "status", "event_id")
+    new = a.where("event_id % 2 = 0").withColumn("nth", F.explode(F.array(F.lit(2), F.lit(1))))
+    new = new.withColumns({"status": F.concat("status", F.lit("-"), F.col("nth").cast("string")), "attempted_nano": F.col("attempted_nano") + F.col("nth")})
+    old = a.where("event_id % 3 > 0")
+    return store.upsert(old, store.last_by(new, ["attempt_id"], ["nth"]), ["attempt_id"]).drop("event_id")
+
+
+def upsert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of digests and their items, saved one by one: a run that is there is replaced, and so is an item of the same id."""
+    o = derive.table(spark, sf_dir, "orders")
+    runs = o.select(F.concat(F.lit("dig_"), F.col("o_orderkey").cast("string")).alias("digest_id"), F.col("o_orderkey").alias("k"), F.lit("old").alias("state"))
+    after = store.upsert(runs.where("k % 4 > 0"), runs.where("k % 3 = 0").withColumn("state", F.lit("new")), ["digest_id"])
+    items = digest_rows(spark, sf_dir).select(F.concat(F.lit("dig_"), F.col("l_orderkey").cast("string")).alias("digest_id"), "place", "startup_name", F.col("l_orderkey").alias("k"))
+    changed = items.where("k % 3 = 0 AND place % 2 = 0").withColumn("startup_name", F.upper("startup_name"))
+    shown = store.upsert(items, changed, ["digest_id", "place"])
+    return after.join(shown.drop("k"), "digest_id").select("digest_id", "state", F.col("place").cast("int").alias("place"), "startup_name")
+
+
+def shown_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscribers and their preferences as a service shows them."""
+    p = derive.preferences(spark, sf_dir).where("telegram_id % 5 > 0")
+    regions = F.when(F.col("telegram_id") % 3 > 0, F.col("regions"))
+    return preferences.contracts(derive.subscribers(spark, sf_dir), p.withColumn("regions", regions))
+
+
 def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the answers to a delivery's messages in order of time: its reports, as far as the first failure."""
     e = derive.table(spark, sf_dir, "events")
@@ -285,7 +312,7 @@ QUERIES = {
     "store_subscribers": store_subscribers, "store_subscriptions": store_subscriptions, "store_preferences": store_preferences, "digest_snapshots": digest_snapshots, "digest_of_delivery": digest_of_delivery,
     "attempts_of_delivery": attempts_of_delivery, "ingested_sources": ingested_sources, "stored_times": stored_times, "attempt_ids": attempt_ids, "failure_notes": failure_notes,
     "schedule_after_last": schedule_after_last, "catalog_problems": catalog_problems, "repeated_health": repeated_health, "repeated_subscribers": repeated_subscribers,
-    "repeated_deliveries": repeated_deliveries, "default_preferences": default_preferences, "stored_messages": stored_messages, "receipt_violations": receipt_violations, "delivery_snapshot": delivery_snapshot, "sent_messages": sent_messages,
+    "repeated_deliveries": repeated_deliveries, "default_preferences": default_preferences, "stored_messages": stored_messages, "receipt_violations": receipt_violations, "delivery_snapshot": delivery_snapshot, "upsert_attempts": upsert_attempts, "upsert_runs": upsert_runs, "shown_subscribers": shown_subscribers, "sent_messages": sent_messages,
     "backfilled_times": backfilled_times, "backfilled_attempts": backfilled_attempts, "schema_versions": schema_versions,
 }
 
@@ -330,6 +357,13 @@ SELECT 'del_' || k AS delivery_id, unnest(list_filter([CASE WHEN n > 10 THEN 'di
 i AS (SELECT l_orderkey AS k, string_agg(place || ':' || startup_name, ',' ORDER BY place) AS items FROM r GROUP BY 1),
 a AS (SELECT event_id * 7 % (SELECT max(o_orderkey) + 1 FROM orders) AS k, string_agg(CASE status WHEN 'success' THEN 'success=m' || event_id ELSE status END, ',' ORDER BY attempted_nano, attempt_id) AS attempts FROM attempts GROUP BY 1)
 SELECT telegram_id, id, 'dig_' || k AS digest_id, status, attempt, confirmed_through, (k % 20)::INTEGER AS candidate_count, coalesce(items, '') AS items, coalesce(attempts, '') AS attempts FROM d LEFT JOIN i USING (k) LEFT JOIN a USING (k) WHERE k % 7 > 0""",
+    "upsert_attempts": f"""{with_('attempts')} SELECT attempt_id, delivery_id, attempted_nano + CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS attempted_nano, status || CASE WHEN event_id % 2 = 0 THEN '-2' ELSE '' END AS status
+FROM attempts WHERE event_id % 2 = 0 OR event_id % 3 > 0""",
+    "upsert_runs": f"""WITH {RANKED} SELECT 'dig_' || l_orderkey AS digest_id, CASE WHEN l_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state, place::INTEGER AS place, CASE WHEN l_orderkey % 3 = 0 AND place % 2 = 0 THEN upper(startup_name) ELSE startup_name END AS startup_name
+FROM r JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 4 > 0 OR l_orderkey % 3 = 0""",
+    "shown_subscribers": f"""{with_('subscribers', 'preferences')} SELECT s.telegram_id, '{{"telegram_id":' || s.telegram_id || ',"username":"' || username || '","active":' || active || '}}' AS subscriber,
+'{{"regions":[' || CASE WHEN p.telegram_id % 3 > 0 THEN '"' || region || '"' ELSE '' END || '],"categories":["' || category || '"],"delivery_time":"' || delivery_time || '","timezone":"' || timezone || '","max_items":' || max_items || '}}' AS preferences
+FROM subscribers s LEFT JOIN preferences p ON p.telegram_id = s.telegram_id AND p.telegram_id % 5 > 0""",
     "sent_messages": f"""WITH e AS (SELECT user_id AS delivery_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id, epoch_us(ts) * 1000 AS attempted_nano,
   CASE WHEN event_id % 6 > 0 THEN 'ok' ELSE CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'blocked' WHEN 'purchase' THEN 'unavailable' ELSE 'ok' END END AS answer, event_id % 31 > 0 AS sound FROM events),
 w AS (SELECT *, coalesce(max(CASE WHEN NOT sound OR answer <> 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY delivery_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM e)
