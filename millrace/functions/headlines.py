@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACES, clean_text, squeezed, trimmed
+from millrace.functions.text import SPACES, bound, clean_text, squeezed, trimmed
 
 # What the grammars know.
 PRESS_VERBS = ("raises", "secures", "launches", "wins", "receives", "acquires", "is acquired by")
@@ -110,13 +110,22 @@ def news_event(title: Column, denied: list[str]) -> Column:
 
 def show_title(raw: Column) -> Column:
     """struct(name, tagline) of a 'Show HN:' title, split at its first separator, or null."""
-    title = clean_text(raw, 240)
-    rest = trimmed(F.regexp_extract(title, r"(?i)^show hn:(.*)$", 1))
     shape = r"^(.*?)( [–—|\-] )(.*)$"
-    split = F.regexp_extract(rest, shape, 2) != ""
-    name = F.when(split, trimmed(F.regexp_extract(rest, shape, 1))).otherwise(rest)
-    tagline = F.when(split, trimmed(F.regexp_extract(rest, shape, 3))).otherwise("")
-    parts = F.split(name, SPACES)
-    first = F.lower(F.regexp_replace(F.get(parts, 0), r"^['\"(\[{]+|['\"(\[{]+$", ""))
-    fine = F.char_length(name).between(2, 80) & ~name.rlike(r"[<>:!?;\n\r]") & (split | ~name.rlike(r"[,.|/\\]")) & (F.size(parts) <= 5) & ~first.isin(*SHOW_DENIED) & name.rlike(r"\p{L}")
-    return F.when((rest != "") & (~split | (tagline != "")) & fine, F.struct(name.alias("name"), clean_text(tagline, 280).alias("tagline")))
+
+    def halves(rest: Column) -> Column:
+        return bound(F.regexp_extract(rest, shape, 2) != "", lambda split: F.struct(
+            rest.alias("rest"), split.alias("split"), F.when(split, trimmed(F.regexp_extract(rest, shape, 1))).otherwise(rest).alias("name"), F.when(split, trimmed(F.regexp_extract(rest, shape, 3))).otherwise("").alias("tagline")
+        ))
+
+    def sound(h: Column) -> Column:
+        name, split = h["name"], h["split"]
+        parts = F.split(name, SPACES)
+        first = F.lower(F.regexp_replace(F.get(parts, 0), r"^['\"(\[{]+|['\"(\[{]+$", ""))
+        fine = F.char_length(name).between(2, 80) & ~name.rlike(r"[<>:!?;\n\r]") & (split | ~name.rlike(r"[,.|/\\]")) & (F.size(parts) <= 5) & ~first.isin(*SHOW_DENIED) & name.rlike(r"\p{L}")
+        return F.when((h["rest"] != "") & (~split | (h["tagline"] != "")) & fine, h)
+
+    rest = trimmed(F.regexp_extract(clean_text(raw, 240), r"(?i)^show hn:(.*)$", 1))
+    found = bound(rest, lambda r: bound(halves(r), sound))
+    # what a UDF is given has no lambda; without a separator there is no third part
+    tagline = clean_text(trimmed(F.regexp_extract(rest, shape, 3)), 280)
+    return F.when(found.isNotNull(), F.struct(found["name"].alias("name"), tagline.alias("tagline")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import selection
 from millrace.plans import catalog, digests, streams
+from millrace.sources import feeds
 
 
 def plan(df) -> str:
@@ -42,3 +43,10 @@ def test_slim_sources_have_the_same_keys(spark):
     rows = spark.createDataFrame([([("s", "u1"), ("s", "u2"), ("", "u1")],)], "sources array<struct<source_id:string,source_url:string>>")
     both = rows.select(selection.source_keys(F.col("sources")).alias("a")).collect() + selection.with_one_each(rows).select(selection.source_keys(F.col("sources")).alias("a")).collect()
     assert both[0].a == both[1].a == ["s", "url:u1"]
+
+
+def test_answers_are_read_once_and_by_many_tasks(spark, sf):
+    shown = plan(catalog.queries()["listed_items"](spark, sf))
+    assert "from_json(StructField(id" not in shown
+    items = spark.createDataFrame([(1, "{}", None, None)], "id bigint, body string, took_nano bigint, failed boolean")
+    assert feeds.answers(items, 1).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
