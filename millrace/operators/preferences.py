@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import trimmed
+from millrace.functions.text import bound, trimmed
 from millrace.functions.scoring import stored_limit
 from millrace.functions.times import valid_clock
 
@@ -45,17 +45,22 @@ def parsed(text: Column, zones: list[str]) -> Column:
     tokens = F.filter(F.split(trimmed(text), r"\s+"), lambda t: t != "")
     key = lambda t: F.lower(F.split_part(t, F.lit("="), F.lit(1)))
     value = lambda t: F.substring(t, F.locate("=", t) + 1, F.char_length(t))
-    of = lambda name: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(tokens, lambda t: t.contains("=") & (key(t) == name)), value)), -1)
-    many = lambda name: F.when(of(name).isNotNull(), F.filter(F.transform(F.split(of(name), ","), lambda v: trimmed(v)), lambda v: v != ""))
+    said = F.transform(tokens, lambda t: F.struct(t.contains("=").alias("sets"), key(t).alias("key"), value(t).alias("value")))
     known = ("regions", "categories", "time", "timezone", "max")
-    most = of("max").try_cast("int")
-    errors = F.array_compact(
-        F.concat(
-            F.transform(F.filter(tokens, lambda t: ~t.contains("=") | ~key(t).isin(*known)), lambda t: F.concat(key(t), F.lit(":unknown"))),
-            F.array(F.when(of("time").isNotNull() & ~valid_clock(of("time")), "time:invalid"), F.when(of("timezone").isNotNull() & ~of("timezone").isin(*zones), "timezone:invalid"), F.when(of("max").isNotNull() & ~F.coalesce(most.between(5, 10), F.lit(False)), "max:invalid")),
+    of = lambda all_, name: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(all_, lambda t: t["sets"] & (t["key"] == name)), lambda t: t["value"])), -1)
+    many = lambda v: F.when(v.isNotNull(), F.filter(F.transform(F.split(v, ","), lambda x: trimmed(x)), lambda x: x != ""))
+
+    def fields(all_: Column, v: Column) -> Column:
+        most = v["max"].try_cast("int")
+        errors = F.array_compact(
+            F.concat(
+                F.transform(F.filter(all_, lambda t: ~t["sets"] | ~t["key"].isin(*known)), lambda t: F.concat(t["key"], F.lit(":unknown"))),
+                F.array(F.when(v["time"].isNotNull() & ~valid_clock(v["time"]), "time:invalid"), F.when(v["timezone"].isNotNull() & ~v["timezone"].isin(*zones), "timezone:invalid"), F.when(v["max"].isNotNull() & ~F.coalesce(most.between(5, 10), F.lit(False)), "max:invalid")),
+            )
         )
-    )
-    return F.struct(many("regions").alias("regions"), many("categories").alias("categories"), of("time").alias("delivery_time"), of("timezone").alias("timezone"), most.alias("max_items"), errors.alias("errors"))
+        return F.struct(many(v["regions"]).alias("regions"), many(v["categories"]).alias("categories"), v["time"].alias("delivery_time"), v["timezone"].alias("timezone"), most.alias("max_items"), errors.alias("errors"))
+
+    return bound(said, lambda all_: bound(F.struct(*[of(all_, k).alias(k) for k in known]), lambda v: fields(all_, v)))
 
 
 def stored(prefs: DataFrame) -> DataFrame:

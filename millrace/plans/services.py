@@ -9,6 +9,7 @@ from millrace.functions import scoring
 from millrace.operators import delivery, health, preferences, render, resolution, store
 from millrace.plans import derive, digests
 from millrace.plans.derive import START, with_
+from millrace.session import spread
 
 DUE_NANO = 946_684_800 * 10**9  # 2000-01-01, amid the orders
 CADENCE_NANO = (START + 100 * 3600) * 10**9
@@ -153,7 +154,7 @@ def preferences_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preferences_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = derive.preferences(spark, sf_dir)
+    p = spread(derive.preferences(spark, sf_dir), "telegram_id")
     said = F.concat(F.lit("regions="), F.array_join("regions", ","), F.lit(",X  time="), "delivery_time", F.lit(" timezone="), F.when(F.col("telegram_id") % 4 == 0, "Nowhere").otherwise(F.col("timezone")), F.lit(" max="), F.col("max_items").cast("string"), F.when(F.col("telegram_id") % 5 == 0, " colour=red").otherwise(""))
     said = F.when(F.col("regions")[0] == "MIDDLE EAST", F.replace(said, F.lit("MIDDLE EAST"), F.lit("MIDDLE"))).otherwise(said)
     rows = p.select("telegram_id", preferences.parsed(said, list(derive.ZONES)).alias("p"))

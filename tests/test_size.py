@@ -50,3 +50,7 @@ def test_answers_are_read_once_and_by_many_tasks(spark, sf):
     assert "from_json(StructField(id" not in shown
     items = spark.createDataFrame([(1, "{}", None, None)], "id bigint, body string, took_nano bigint, failed boolean")
     assert feeds.answers(items, 1).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_preferences_are_read_by_many_tasks(spark, sf):
+    assert catalog.queries()["preferences_text"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
