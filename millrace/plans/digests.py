@@ -33,7 +33,8 @@ def in_windows(signals: DataFrame, windows_: DataFrame) -> DataFrame:
     """Signals of each window: an equality on the UTC days that a window touches, then its bounds."""
     day = lambda nano: times.whole(nano, times.DAY)
     touched = windows_.withColumn("utc_day", F.explode(F.sequence(day(F.col("from_nano")), day(F.col("until_nano") - 1))))
-    rows = signals.withColumn("utc_day", day(F.col("published_nano"))).join(touched, "utc_day")
+    # a few rows for each zone there is: signals stay where they are, rather than in a task for each day
+    rows = signals.withColumn("utc_day", day(F.col("published_nano"))).join(F.broadcast(touched), "utc_day")
     return rows.where((F.col("published_nano") >= F.col("from_nano")) & (F.col("published_nano") < F.col("until_nano"))).drop("utc_day", "from_nano", "until_nano")
 
 

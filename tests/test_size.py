@@ -45,6 +45,15 @@ def test_slim_sources_have_the_same_keys(spark):
     assert both[0].a == both[1].a == ["s", "url:u1"]
 
 
+def test_signals_meet_windows_where_they_are(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(digests.in_windows(spark.range(9).selectExpr("id AS published_nano"), digests.windows(spark.createDataFrame([("UTC",)], "timezone string"))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+
+
 def test_answers_are_read_once_and_by_many_tasks(spark, sf):
     shown = plan(catalog.queries()["listed_items"](spark, sf))
     assert "from_json(StructField(id" not in shown
