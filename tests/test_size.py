@@ -54,6 +54,11 @@ def test_signals_meet_windows_where_they_are(spark, sf):
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
 
 
+def test_receipts_read_texts_and_attributions_once(spark, sf):
+    shown = plan(catalog.queries()["receipt_violations"](spark, sf))
+    assert "is_public_address" not in shown and "unescape_all(CASE WHEN RLIKE(regexp_replace" not in shown
+
+
 def test_answers_are_read_once_and_by_many_tasks(spark, sf):
     shown = plan(catalog.queries()["listed_items"](spark, sf))
     assert "from_json(StructField(id" not in shown
