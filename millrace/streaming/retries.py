@@ -27,30 +27,32 @@ class Waiting(StatefulProcessor):
         self.waits = handle.getValueState("waits", "attempt int, due_nano bigint")
         self.told = handle.getMapState("told", "attempt int", "due_nano bigint")
 
-    def announced(self, key) -> Iterator[Row]:
-        """The retry that is waited for, once for each attempt."""
-        attempt, due = self.waits.get()
-        self.waits.clear()
+    def announced(self, key, attempt: int, due: int) -> Iterator[Row]:
+        """A retry that came due, once for each attempt."""
         if not self.told.containsKey((attempt,)):
             self.told.updateValue((attempt,), (due,))
             yield Row(delivery_id=key[0], attempt=attempt, due_nano=due)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # the state is asked and told once for all rows of a batch: each time is a call to the store
+        waits = self.waits.get() if self.waits.exists() else None
         for r in sorted(rows, key=lambda r: (r.at_nano, r.attempt)):
-            if self.waits.exists():
-                if self.waits.get()[1] <= r.at_nano:
-                    yield from self.announced(key)
-                else:
-                    self.waits.clear()
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            if r.status == "retry":
-                self.waits.update((r.attempt, r.next_attempt_nano))
-                self.handle.registerTimer(-(-r.next_attempt_nano // MILLI))
+            if waits and waits[1] <= r.at_nano:
+                yield from self.announced(key, *waits)
+            waits = (r.attempt, r.next_attempt_nano) if r.status == "retry" else None
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if waits:
+            self.waits.update(waits)
+            self.handle.registerTimer(-(-waits[1] // MILLI))
+        else:
+            self.waits.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.waits.exists() and self.waits.get()[1] <= expiredTimerInfo.getExpiryTimeInMs() * MILLI:
-            yield from self.announced(key)
+        waits = self.waits.get() if self.waits.exists() else None
+        if waits and waits[1] <= expiredTimerInfo.getExpiryTimeInMs() * MILLI:
+            self.waits.clear()
+            yield from self.announced(key, *waits)
 
     def close(self) -> None:
         pass

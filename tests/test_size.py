@@ -3,11 +3,13 @@
 import contextlib
 import io
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.operators import selection
 from millrace.plans import catalog, digests, streams
 from millrace.sources import feeds
+from millrace.streaming import retries
 
 
 def plan(df) -> str:
@@ -68,3 +70,18 @@ def test_answers_are_read_once_and_by_many_tasks(spark, sf):
 
 def test_texts_of_preferences_are_read_by_many_tasks(spark, sf):
     assert catalog.queries()["preferences_text"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_asks_the_state_of_a_delivery_once():
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name) or (False if name in ("exists", "containsKey") else [] if name == "listTimers" else self)
+
+    waiting = retries.Waiting()
+    waiting.init(Store())
+    calls.clear()
+    rows = [Row(at_nano=k, attempt=k, status="retry", next_attempt_nano=k + 100) for k in range(50)]
+    assert not list(waiting.handleInputRows((1,), iter(rows), None))
+    assert calls == ["exists", "listTimers", "update", "registerTimer"]
