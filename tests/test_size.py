@@ -72,6 +72,14 @@ def test_texts_of_preferences_are_read_by_many_tasks(spark, sf):
     assert catalog.queries()["preferences_text"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_thirds_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.deliveries, "new_base", lambda *_: str(tmp_path))
+    at = []
+    streams.come_in_thirds(spark.range(0, 90, 1, 9), "id", "x", lambda stream: at.append(len(list((tmp_path / "files").glob("*.parquet")))))
+    assert at[0] > 1 and at[0] < at[1] < at[2]
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 90
+
+
 def test_a_batch_asks_the_state_of_a_delivery_once():
     calls = []
 
