@@ -93,3 +93,14 @@ def test_a_batch_asks_the_state_of_a_delivery_once():
     rows = [Row(at_nano=k, attempt=k, status="retry", next_attempt_nano=k + 100) for k in range(50)]
     assert not list(waiting.handleInputRows((1,), iter(rows), None))
     assert calls == ["exists", "listTimers", "update", "registerTimer"]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"source_id={k}").mkdir()
+        (tmp_path / f"source_id={k}" / "body").write_text("x")
+    tasks = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    before = tasks()
+    rows = feeds.landing(spark, str(tmp_path))
+    assert tasks() - before == 1  # one listing
+    assert rows.count() == 60 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
