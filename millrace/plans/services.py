@@ -202,7 +202,7 @@ def render_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = digests.candidates(spark, sf_dir).withColumn("place", F.lit(1))
     i = F.struct("place", "startup_name", "description", "signal_type", "region", "categories", "funding", "sources")
-    return c.select("window_id", "identity", i.alias("i")).select("window_id", "identity", render.block(F.col("i")).alias("block"))
+    return render.with_blocks(c.select("window_id", "identity", i.alias("i"))).select("window_id", "identity", "block")
 
 
 def translate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

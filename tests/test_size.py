@@ -6,8 +6,8 @@ import io
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from millrace.operators import selection
-from millrace.plans import catalog, digests, streams
+from millrace.operators import render, selection
+from millrace.plans import catalog, digests, stores, streams
 from millrace.sources import feeds
 from millrace.streaming import retries
 
@@ -104,3 +104,17 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     rows = feeds.landing(spark, str(tmp_path))
     assert tasks() - before == 1  # one listing
     assert rows.count() == 60 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_parts_of_a_block_are_worked_out_once(spark):
+    item = "struct<place:int,startup_name:string,description:string,signal_type:string,region:string,categories:array<string>,funding:struct<round:string,amount:string,currency:string,investors:array<string>>,sources:array<struct<source_id:string,source_url:string>>>"
+    rows = spark.createDataFrame(spark.sparkContext.emptyRDD(), f"k int, digest_date string, timezone string, items array<{item}>")
+    shown = render.messages(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("📣 Сигнал") == 1
+
+
+def test_stored_rows_are_ranked_once(spark, sf, monkeypatch):
+    made, commit = [], stores.versions.commit
+    monkeypatch.setattr(stores.versions, "commit", lambda s, base, tables, *a, **b: made.extend(plan(t).count("row_number") for t in tables.values()) or commit(s, base, tables, *a, **b))
+    stores.stored_messages(spark, sf)
+    assert made[0] and not any(made[1:])
