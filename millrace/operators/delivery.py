@@ -3,12 +3,13 @@
 Reports are folded in order through the states due, retry, sent, failed, blocked, suppressed. A delivery accepts one
 report for each message and attempt at most, however many are sent, and between two accepted ones its state stands
 still. So the fold goes from one accepted report to the next, for all deliveries at once: of the reports that its state
-would accept, each delivery takes the first, which is a minimum that tasks work out before anything moves. No delivery's
-reports are ever together in an array or a task, and what each refused report is told follows from the accepted ones.
+would accept, each delivery takes the first, a minimum. States meet reports by shuffles, as neither side need be small;
+reports of a delivery that has very many are dealt to parts. No delivery's reports are ever together in an array, and what
+each refused report is told follows from the accepted ones.
 
 An attempt id belongs to the delivery that accepted it first. A report that was refused owns nothing, and is judged anew
-when it comes again. Where several deliveries use an id, who owns it depends on what the others accepted before; these
-deliveries are folded again until the owners they were folded with are the owners they give. What a report is told
+when it comes again. Where several deliveries use an id, who owns it depends on what the others accepted before; deliveries
+that took, or were denied, what the owners say otherwise are folded again with these, until there are none. What a report is told
 depends on earlier reports alone, so each round settles at least the next report in dispute, and nothing else is stable.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import canonical_list
 from millrace.functions.urls import public_url
-from millrace.session import dropped, staged
+from millrace.session import apart, dropped, staged
 
 TERMINAL = ("sent", "failed", "blocked", "suppressed")
 PAGE = 100
@@ -50,6 +51,8 @@ def decided(status: Column, previous: Column, attempted_nano: Column) -> Column:
 STATE = ["delivery_id", "status", "attempt", "confirmed_through", "next_attempt_nano", "inactive", "at"]
 OWNED = ["attempt_id", "owner", "owned_at"]
 COUNTS = ["accepted", "duplicate", "terminal", "conflict"]
+#: Reports of a delivery that meet its state in one task, about.
+MOST = 50_000
 
 
 def fits() -> Column:
@@ -60,50 +63,66 @@ def fits() -> Column:
 
 
 def accepted_by(state: DataFrame, first: DataFrame) -> DataFrame:
-    """States after the first report that each delivery accepts (delivery_id, r): a success before the last message only
-    moves the cursor, any other report decides."""
-    rows = state.join(first, "delivery_id", "left")
-    r, taken = F.col("r"), F.col("r").isNotNull()
+    """States of the deliveries that accept a report, after the first that each accepts (delivery_id, r: its place): a success
+    before the last message only moves the cursor, any other report decides."""
+    r = F.col("r")
     step = (r["status"] == "success") & (r["sequence"] > 0) & (r["sequence"] < r["total"])
     done = decided(r["status"], F.col("attempt"), r["attempted_nano"])
-    pick = lambda name, moved, final: F.when(~taken, F.col(name)).when(step, moved).otherwise(final).alias(name)
-    return rows.select(
+    pick = lambda name, moved, final: F.when(step, moved).otherwise(final).alias(name)
+    return state.join(apart(first), "delivery_id").select(
         "delivery_id",
         pick("status", F.lit("due"), done["status"]),
         pick("attempt", F.col("attempt"), done["attempt"]),
         pick("confirmed_through", r["sequence"], F.when(r["status"] == "success", r["total"]).otherwise(F.col("confirmed_through"))),
         pick("next_attempt_nano", F.lit(None).cast("long"), done["next_attempt_nano"]),
         pick("inactive", F.col("inactive"), F.col("inactive") | done["inactive"]),
-        F.when(taken, r["at"]).otherwise(F.col("at")).alias("at"),
-        taken.alias("moved"),
+        r.alias("at"),
+        "parts",
     )
 
 
-def folded(reports: DataFrame, state: DataFrame, owned: DataFrame, rivals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(state, accepted) after reports (delivery_id, attempt_id, at, status, sequence, total, attempted_nano), staged. No
-    report is accepted of an id that is owned before them, or that another delivery has from an earlier place on, as
-    rivals say. There are as many steps as a delivery accepts reports at most."""
-    theirs = rivals.select("attempt_id", "owner", "owned_at")
-    mine = reports.join(owned.select("attempt_id"), "attempt_id", "left_anti").join(theirs, "attempt_id", "left")
-    mine = mine.where(F.col("owner").isNull() | (F.col("owner") == F.col("delivery_id")) | (F.col("at") < F.col("owned_at")))
-    left = staged(mine.select(*reports.columns).where(F.col("status").isin("success", "failed", "blocked") & (F.col("total") > 0)))
-    now, taken = staged(state.select(*STATE)), []
+def by_part(state: DataFrame, *values: Column) -> DataFrame:
+    """A row with values for each part of a delivery."""
+    return state.select("delivery_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *values)
+
+
+def folded(reports: DataFrame, state: DataFrame, owned: DataFrame, rivals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, accepted) after reports (delivery_id, part, attempt_id, at). No report is accepted of an id that is owned before
+    them, or that another delivery has from an earlier place on, as rivals say. There are as many steps as a delivery accepts
+    reports at most; a step reads what its deliveries have left, and asks none again that accepted nothing."""
+    left = reports.join(apart(owned.select("attempt_id")), "attempt_id", "left_anti")
+    if rivals is not None:
+        left = left.join(apart(rivals.select("attempt_id", "owner", "owned_at")), "attempt_id", "left")
+        left = left.where(F.col("owner").isNull() | (F.col("owner") == F.col("delivery_id")) | (F.col("at") < F.col("owned_at")))
+    left = left.select("delivery_id", "part", "at").where(F.col("at.status").isin("success", "failed", "blocked") & (F.col("at.total") > 0))
+    now, had, states, old = state, F.lit(None).cast("string"), [state], None
     while True:
-        of = now.where(~F.col("status").isin(*TERMINAL)).select("delivery_id", F.col("confirmed_through"), F.col("at").alias("last"))
-        rows = left.join(of, "delivery_id").where((F.col("last").isNull() | (F.col("at") > F.col("last"))) & fits())
-        for some in taken:
-            rows = rows.join(some.select("delivery_id", "attempt_id"), ["delivery_id", "attempt_id"], "left_anti")
-        first = staged(rows.groupBy("delivery_id").agg(F.min(F.struct("at", "attempt_id", "status", "sequence", "total", "attempted_nano")).alias("r")))
-        if not first.limit(1).count():
+        of = by_part(now.where(~F.col("status").isin(*TERMINAL)), F.col("confirmed_through"), F.col("at").alias("last"), had.alias("had"))
+        rows = left.join(apart(of), ["delivery_id", "part"]).where(F.col("last").isNull() | (F.col("at") > F.col("last")))
+        rows = staged(rows.where(F.coalesce(F.col("at.attempt_id") != F.col("had"), F.lit(True))).select("delivery_id", "part", "at", "confirmed_through"))
+        if old is not None:
+            dropped(old)
+        fit = rows.select("delivery_id", "at", "confirmed_through", "at.status", "at.sequence", "at.total").where(fits())
+        now, had = staged(accepted_by(now, fit.groupBy("delivery_id").agg(F.min("at").alias("r")))), F.col("at.attempt_id")
+        old, left = rows, rows.drop("confirmed_through")
+        if now.isEmpty():
             break
-        after = staged(accepted_by(now, first).drop("moved"))
-        dropped(now)
-        now = after
-        taken.append(first.select("delivery_id", F.col("r.attempt_id").alias("attempt_id"), F.col("r.at").alias("at")))
-    found = taken[0] if taken else left.select("delivery_id", "attempt_id", "at").limit(0)
-    for some in taken[1:]:
-        found = found.unionByName(some)
-    return now, found
+        states.append(now)
+    dropped(old)
+    accepted = now.select("delivery_id", F.col("at.attempt_id").alias("attempt_id"), "at")
+    for some in states[1:]:
+        accepted = accepted.unionByName(some.select(accepted.columns[0], F.col("at.attempt_id").alias("attempt_id"), "at"))
+    return last_of(states), accepted
+
+
+def last_of(states: list[DataFrame]) -> DataFrame:
+    """Each delivery's row in the last of states that has one."""
+    rest = [c for c in states[0].columns if c != "delivery_id"]
+    rows = [s.select("delivery_id", F.lit(k).alias("k"), F.struct(*rest).alias("s")) for k, s in enumerate(states)]
+    every = rows[0]
+    for some in rows[1:]:
+        every = every.unionByName(some)
+    return staged(every.groupBy("delivery_id").agg(F.max_by("s", "k").alias("s")).select("delivery_id", "s.*"))
 
 
 def owners(accepted: DataFrame) -> DataFrame:
@@ -122,44 +141,57 @@ def placed(reports: DataFrame, *order: str) -> DataFrame:
     return reports.select(*said, F.struct(*order, *[c for c in said if c not in order]).alias("at"))
 
 
+def in_parts(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(staged reports with part, the states of their deliveries with parts): reports of a delivery that has very many meet its
+    state in parts, a task for each. There is one such delivery for MOST reports at most."""
+    sizes = staged(rows.groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n")))
+    before = state.join(apart(sizes.select("delivery_id")), "delivery_id", "left_semi").select(*STATE)
+    none = F.lit(None).cast(rows.schema["at"].dataType)
+    new = new_states(sizes.select("delivery_id", none.alias("at"))).join(apart(state.select("delivery_id")), "delivery_id", "left_anti")
+    start = before.unionByName(new)
+    many = sizes.where(F.col("n") > MOST).select("delivery_id", F.ceil(F.col("n") / MOST).cast("int").alias("parts"))
+    if many.isEmpty():
+        return rows.withColumn("part", F.lit(0)), staged(start.withColumn("parts", F.lit(1)))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(many), "delivery_id", "left").withColumn("part", F.pmod(F.xxhash64("at"), parts).cast("int")).drop("parts")
+    return staged(rows), staged(start.join(F.broadcast(many), "delivery_id", "left").withColumn("parts", parts))
+
+
 def continued(reports: DataFrame, state: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state of the reports' deliveries, newly owned ids, counts of what reports were told) of placed() reports, given the
     states and owners before them."""
-    rows = staged(reports)
-    before = state.join(rows.select("delivery_id").distinct(), "delivery_id", "left_semi").select(*STATE)
-    new = new_states(rows).join(state.select("delivery_id"), "delivery_id", "left_anti")
-    start = staged(before.unionByName(new))
-    asked = staged(owned.join(rows.select("attempt_id").distinct(), "attempt_id", "left_semi").select(*OWNED))
-    # ids that several deliveries use, and the deliveries that use these
-    shared = rows.groupBy("attempt_id").agg(F.min("delivery_id").alias("one"), F.max("delivery_id").alias("other")).where("one <> other").select("attempt_id")
-    tied = staged(rows.join(shared, "attempt_id", "left_semi").select("delivery_id").distinct())
-    nobody = asked.limit(0)
-    now, accepted = folded(rows.join(tied, "delivery_id", "left_anti"), start.join(tied, "delivery_id", "left_anti"), asked, nobody)
-    given = owners(accepted)
-    if tied.limit(1).count():
-        theirs, own_start = staged(rows.join(tied, "delivery_id", "left_semi")), staged(start.join(tied, "delivery_id", "left_semi"))
-        rivals = nobody
-        while True:
-            more, some = folded(theirs, own_start, asked, rivals)
-            found = staged(owners(some).select(*OWNED))
-            if not found.exceptAll(rivals).union(rivals.exceptAll(found)).limit(1).count():
-                break
-            rivals = found
-        now, given = now.unionByName(more), given.select(*OWNED).unionByName(found)
-    given = staged(given.select(*OWNED))
-    now = staged(now)
-    told = rows.join(asked.unionByName(given), "attempt_id", "left").join(now.select("delivery_id", F.col("at").alias("last"), F.col("status").isin(*TERMINAL).alias("ended")), "delivery_id")
+    rows, start = in_parts(staged(reports), state)
+    asked = staged(owned.join(apart(rows.select("attempt_id").distinct()), "attempt_id", "left_semi").select(*OWNED))
+    if asked.isEmpty():
+        asked = asked.where(F.lit(False))  # known to be empty before anything moves to meet it
+    now, accepted = folded(rows, start, asked)
+    given, earlier = staged(owners(accepted).select(*OWNED)), None
+    while True:
+        # what the owners take from a delivery, and what the owners before them took and may not take any more
+        theirs = (F.col("owner") != F.col("delivery_id")) & (F.col("at") > F.col("owned_at"))
+        again = accepted.join(apart(given), "attempt_id").where(theirs).select("delivery_id")
+        if earlier is not None:
+            again = again.union(rows.join(staged(earlier.exceptAll(given)), "attempt_id").where(theirs).select("delivery_id"))
+        again = staged(again.distinct())
+        if again.isEmpty():
+            break
+        more, some = folded(rows.join(again, "delivery_id", "left_semi"), start.join(again, "delivery_id", "left_semi"), asked, given)
+        now = staged(now.join(again, "delivery_id", "left_anti").unionByName(more))
+        accepted = staged(accepted.join(again, "delivery_id", "left_anti").select(*some.columns).unionByName(some))
+        given, earlier = staged(owners(accepted).select(*OWNED)), given
     known = F.coalesce(F.col("at") >= F.col("owned_at"), F.lit(False))
     own = known & (F.col("owner") == F.col("delivery_id"))
-    accepted_now = own & (F.col("at") == F.col("owned_at"))
+    by_id = F.when(own & (F.col("at") == F.col("owned_at")), "accepted").when(own, "duplicate").when(known, "conflict")
+    told = rows.join(apart(asked.unionByName(given)), "attempt_id", "left").select("delivery_id", "part", "at", by_id.alias("by_id"))
+    told = told.join(apart(by_part(now, F.col("at").alias("last"), F.col("status").isin(*TERMINAL).alias("ended"))), ["delivery_id", "part"])
     over = F.col("ended") & (F.col("last").isNull() | (F.col("at") > F.col("last")))
-    kind = F.when(accepted_now, "accepted").when(own, "duplicate").when(known, "conflict").when(over, "terminal").otherwise("conflict")
-    kinds = told.groupBy("delivery_id", kind.alias("kind"), "at").agg(F.count(F.lit(1)).alias("n"))
+    told = told.select("delivery_id", F.coalesce("by_id", F.when(over, "terminal").otherwise("conflict")).alias("kind"), "at")
+    kinds = told.groupBy("delivery_id", "kind", F.when(F.col("kind") == "accepted", F.col("at")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     # of equal reports one is accepted, the others repeat it
     count = lambda c, n: F.sum(F.when(F.col("kind") == c, n).otherwise(0)).cast("int").alias(c)
     first = F.when(F.col("kind") == "accepted", 1).otherwise(0)
     counts = kinds.groupBy("delivery_id").agg(F.sum(first).cast("int").alias("accepted"), (F.sum(F.when(F.col("kind") == "duplicate", F.col("n")).otherwise(0)) + F.sum(F.when(F.col("kind") == "accepted", F.col("n") - 1).otherwise(0))).cast("int").alias("duplicate"), count("terminal", F.col("n")), count("conflict", F.col("n")))
-    return now, given, counts
+    return now.select(*STATE), given, counts
 
 
 def outcomes(reports: DataFrame, *order: str) -> DataFrame:
@@ -171,7 +203,7 @@ def outcomes(reports: DataFrame, *order: str) -> DataFrame:
     none = new_states(rows).limit(0)
     owned = rows.select("attempt_id", F.col("delivery_id").alias("owner"), F.col("at").alias("owned_at")).limit(0)
     now, _, counts = continued(rows, none, owned)
-    return now.join(counts, "delivery_id").drop("at")
+    return now.join(apart(counts), "delivery_id").drop("at")
 
 
 def display(items: DataFrame, policy: DataFrame, *by: str) -> DataFrame:

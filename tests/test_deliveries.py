@@ -131,3 +131,13 @@ def test_one_delivery_with_a_third_of_all_reports_is_in_no_array(spark):
     out = delivery.outcomes(rows, *ORDER)
     assert "collect" not in out._jdf.queryExecution().toString().lower()
     assert got(out) == plain([tuple(r) for r in rows.collect()])
+
+
+@pytest.mark.parametrize(("seed", "ids", "many"), [(7, 10_000, 12), (8, 40, 8)])
+def test_deliveries_with_very_many_reports_in_parts(spark, monkeypatch, seed, ids, many):
+    monkeypatch.setattr(delivery, "MOST", 20)
+    rows = some_reports(seed, 300, ids, many)
+    df = spark.createDataFrame(rows, KIND)
+    dealt = {r.delivery_id: r.n for r in delivery.in_parts(delivery.placed(df, *ORDER), delivery.new_states(delivery.placed(df, *ORDER)).limit(0))[0].groupBy("delivery_id").agg(F.countDistinct("part").alias("n")).collect()}
+    assert dealt[0] > 3 and min(dealt.values()) == 1
+    assert got(delivery.outcomes(df, *ORDER)) == plain(rows)

@@ -6,7 +6,7 @@ import io
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from millrace.operators import render, selection
+from millrace.operators import delivery, render, selection
 from millrace.plans import catalog, digests, stores, streams
 from millrace.sources import feeds
 from millrace.streaming import retries
@@ -118,3 +118,12 @@ def test_stored_rows_are_ranked_once(spark, sf, monkeypatch):
     monkeypatch.setattr(stores.versions, "commit", lambda s, base, tables, *a, **b: made.extend(plan(t).count("row_number") for t in tables.values()) or commit(s, base, tables, *a, **b))
     stores.stored_messages(spark, sf)
     assert made[0] and not any(made[1:])
+
+
+def test_states_of_deliveries_meet_reports_by_shuffles(spark, monkeypatch):
+    plans, write = [], delivery.staged
+    monkeypatch.setattr(delivery, "staged", lambda df, *a, **b: plans.append(plan(df)) or write(df, *a, **b))
+    rows = spark.range(90).selectExpr("id % 9 AS delivery_id", "'a' || id AS attempt_id", "id AS attempted_nano", "'success' AS status", "int(id % 4) AS sequence", "3 AS total")
+    out = delivery.outcomes(rows, "attempted_nano")
+    assert "Broadcast" not in plan(out) and sum("SortMergeJoin" in p for p in plans) > 3
+    assert not any("BroadcastExchange" in p for p in plans)
