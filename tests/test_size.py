@@ -6,6 +6,7 @@ import io
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from millrace.functions import text
 from millrace.operators import delivery, render, selection
 from millrace.plans import catalog, digests, stores, streams
 from millrace.sources import feeds
@@ -127,3 +128,9 @@ def test_states_of_deliveries_meet_reports_by_shuffles(spark, monkeypatch):
     out = delivery.outcomes(rows, "attempted_nano")
     assert "Broadcast" not in plan(out) and sum("SortMergeJoin" in p for p in plans) > 3
     assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_texts_are_decoded_in_batches_of_few_rows(spark, sf):
+    """An Arrow batch is ten thousand rows, however long their texts are."""
+    shown = plan(catalog.queries()["clean_feed_text"](spark, sf)) + plan(spark.createDataFrame([], "v array<string>").select(text.clean_strings(F.col("v"), 9, 80)))
+    assert shown.count("BatchEvalPython (") > 1 and "ArrowEvalPython" not in shown
