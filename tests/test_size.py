@@ -107,6 +107,24 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert rows.count() == 60 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
 
 
+def test_folders_of_a_stream_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"source_id={k}").mkdir()
+        (tmp_path / f"source_id={k}" / "body").write_text("x")
+    status = spark.sparkContext.statusTracker()
+    before = set(status.getJobIdsForGroup())
+    feeds.landing_stream(spark, str(tmp_path))
+    jobs = [status.getJobInfo(j) for j in set(status.getJobIdsForGroup()) - before]
+    assert jobs and all(status.getStageInfo(s).numTasks < 60 for j in jobs for s in j.stageIds)
+
+
+def test_landed_files_are_written_by_many_tasks_and_read_once_each(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    streams.land(spark.range(200).selectExpr("id AS source_id", "'x' AS body"), folder)
+    assert len({f.name.split("-")[1] for f in (tmp_path / "files").rglob("*.txt")}) >= spark.sparkContext.defaultParallelism
+    assert plan(feeds.read_landed(feeds.landing(spark, folder))).count("Scan binaryFile") == 4  # small ones and large ones, each in the tree and below it
+
+
 def test_parts_of_a_block_are_worked_out_once(spark):
     item = "struct<place:int,startup_name:string,description:string,signal_type:string,region:string,categories:array<string>,funding:struct<round:string,amount:string,currency:string,investors:array<string>>,sources:array<struct<source_id:string,source_url:string>>>"
     rows = spark.createDataFrame(spark.sparkContext.emptyRDD(), f"k int, digest_date string, timezone string, items array<{item}>")
