@@ -6,8 +6,9 @@ import io
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import text
-from millrace.operators import delivery, render, selection
+from millrace.operators import delivery, receipts, render, selection
 from millrace.plans import catalog, digests, stores, streams
 from millrace.sources import feeds
 from millrace.streaming import retries
@@ -62,6 +63,16 @@ def test_receipts_read_texts_and_attributions_once(spark, sf):
     assert "is_public_address" not in shown and "unescape_all(CASE WHEN RLIKE(regexp_replace" not in shown
 
 
+def test_receipts_rank_lines_once_and_count_values_one_kind_at_a_time(spark, sf, monkeypatch):
+    plans = []
+    for module in (receipts, stores):
+        write = getattr(module, "staged", session.staged)
+        monkeypatch.setattr(module, "staged", lambda df, write=write: plans.append(plan(df)) or write(df), raising=False)
+    plans.append(plan(catalog.queries()["receipt_violations"](spark, sf)))
+    assert sum("row_number" in p for p in plans) == 1
+    assert not any("Expand" in p for p in plans)
+
+
 def test_answers_are_read_once_and_by_many_tasks(spark, sf):
     shown = plan(catalog.queries()["listed_items"](spark, sf))
     assert "from_json(StructField(id" not in shown
